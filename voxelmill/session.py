@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -25,5 +26,5 @@ def ship(spark: SparkSession) -> None:
                         path = os.path.join(folder, name)
                         z.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(f.name)
-    os.unlink(f.name)
+    atexit.register(os.unlink, f.name)  # executors fetch it from the driver until then
     _shipped.add(app)
