@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .near_dedup import op4_minhash_dedup
 from .suffix_dedup import op9_suffix_dedup
 
-QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op4_minhash_dedup": op4_minhash_dedup, "op9_suffix_dedup": op9_suffix_dedup}
 SQL: dict[str, str] = {}
