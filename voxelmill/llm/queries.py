@@ -1,7 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .fingerprints import op2_fingerprints
 from .near_dedup import op4_minhash_dedup
+from .packing import op3_best_fit_packing
 from .suffix_dedup import op9_suffix_dedup
+from .token_files import op8_token_files
 
-QUERIES = {"op4_minhash_dedup": op4_minhash_dedup, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op8_token_files": op8_token_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
+}
 SQL: dict[str, str] = {}
