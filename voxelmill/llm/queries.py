@@ -1,16 +1,22 @@
 """The registered queries of this subpackage and their SQL."""
 
 from .fingerprints import op2_fingerprints
+from .licences import op1_licence_scan, scan_sql
 from .near_dedup import op4_minhash_dedup
 from .packing import op3_best_fit_packing
+from .sharding import op7_sharding
 from .suffix_dedup import op9_suffix_dedup
 from .token_files import op8_token_files
+from .warc import op10_warc
 
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_fingerprints": op2_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op7_sharding": op7_sharding,
     "op8_token_files": op8_token_files,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_licence_scan": scan_sql()}
