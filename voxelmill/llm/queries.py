@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .decontaminate import op6_decontamination
 from .fingerprints import op2_fingerprints
 from .licences import op1_licence_scan, scan_sql
 from .near_dedup import op4_minhash_dedup
 from .packing import op3_best_fit_packing
+from .quality import op5_quality_classifier
 from .sharding import op7_sharding
 from .suffix_dedup import op9_suffix_dedup
 from .token_files import op8_token_files
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_token_files": op8_token_files,
     "op9_suffix_dedup": op9_suffix_dedup,
