@@ -28,3 +28,12 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f.name)
     atexit.register(os.unlink, f.name)  # executors fetch it from the driver until then
     _shipped.add(app)
+
+
+def checkpoint(df):
+    """df written to the shared folder of spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelmill-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
