@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
 
 
@@ -36,19 +37,28 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark removes shuffle files which no table refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs only its tasks.
 
-    Shuffle files behind it are no longer needed; collecting the driver's garbage lets Spark remove them.
+    The shuffle files of this write go when it is done, those of the steps before that nothing refers to any more go first.
     """
     spark = df.sparkSession
+    free(spark)
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelmill_path = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
