@@ -2,20 +2,21 @@
 
 1. Texts with equal shingle sets form a class; one row of each class goes on.
 2. One permutation of the shingle hashes is cut into BINS bins; the least value of each is kept, empty bins borrow
-   from others (optimal densification).  ROWS minima make a band key, BANDS of them are candidates' keys, and
+   from others (optimal densification).  ROWS minima make a band key, as many bands as MISSED asks for, and
    the low BITS bits of all minima are packed as the signature.
 3. Within each band bucket every member is paired with its least and its greatest member. Pairs whose estimated
    similarity is near the threshold or above are confirmed on full shingle sets, confirmed ones linked.
-4. Buckets that still hold several components are compared in blocks: members of different components only,
-   by signature first, by full sets where the estimate doesn't exclude them. So no link that shares a
-   bucket is lost, and no group is ever expanded into all its pairs.
+4. Buckets that still hold several components are compared in blocks: members of different components only. Signatures tell
+   which members may have a partner; full sets decide. So no link that shares a bucket is lost, and of the links of a block
+   only as many as join its components leave it.
 
-A pair at the threshold misses all buckets with probability (1 - 0.85**ROWS)**BANDS, 1e-7 here; the estimate must
-fall short by 0.08, 5 standard errors, for a pair to be passed over.
+A pair at the threshold misses all buckets with probability MISSED at most, a nearer one far more rarely; the estimate must
+fall short by MARGIN, almost 5 standard errors, for a pair to be passed over.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from .components import components
 from .hashing import as_bytes, mix, shingle_sets
 from .scratch import materialise, partitions, row_key, table
 
-BINS, BITS, BANDS, ROWS = 512, 4, 22, 4
+BINS, BITS, ROWS, MISSED = 512, 4, 4, 1e-7
 MARGIN = 0.08
 BLOCK = 512
 _U = np.uint64
@@ -55,9 +56,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    keys = m[: BANDS * ROWS].reshape(BANDS, ROWS) * _LANES[:ROWS]
-    return mix(keys.sum(1) + _LANES[:BANDS]).view(np.int64)
+def bands(least: int) -> int:
+    """How many bands miss a pair at the threshold with probability MISSED at most."""
+    return min(BINS // ROWS, math.ceil(math.log(MISSED) / math.log(1 - (least / 100) ** ROWS)))
+
+
+def band_keys(m: np.ndarray, n: int) -> np.ndarray:
+    keys = m[: n * ROWS].reshape(n, ROWS) * _LANES[:ROWS]
+    return mix(keys.sum(1) + _LANES[:n]).view(np.int64)
 
 
 def pack(m: np.ndarray) -> bytes:
@@ -74,65 +80,121 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal / BINS - chance) / (1 - chance)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, h1, h2, sig, bands = [], [], [], [], []
+        n, h1, h2, sig, keys = [], [], [], [], []
         for s in shingle_sets(as_bytes(batch.column("text").to_pylist()), size):
             n.append(len(s))
             h1.append(int(np.add.reduce(s, dtype=np.uint64).view(np.int64)))
             h2.append(int(np.add.reduce(mix(s), dtype=np.uint64).view(np.int64)))
             m = minima(s) if len(s) else None
             sig.append(None if m is None else pack(m))
-            bands.append(None if m is None else band_keys(m))
+            keys.append(None if m is None else band_keys(m, n_bands))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             names=["rid", "doc_id", "n", "h1", "h2", "sig", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(as_bytes(batch.column("text").to_pylist()), size)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
-
-
-def _pairs_in_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): pairs of one member of block i and one of block j of different components."""
-    held, key = [], None
-
-    def pairs(rows):
-        ids, comps, sizes, sides = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 5))
-        sigs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        i, j = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-        for at in range(0, len(i), 32):
-            x = i[at : at + 32]
-            for to in range(0, len(j), 256):
-                y = j[to : to + 256]
-                small = np.minimum(sizes[x][:, None], sizes[y][None, :]) >= least * np.maximum(sizes[x][:, None], sizes[y][None, :])
-                wanted = (comps[x][:, None] != comps[y][None, :]) & small
-                wanted &= (ids[x][:, None] < ids[y][None, :]) | (sides[x][:, None] != 2)
-                if wanted.any():
-                    px, py = np.nonzero(wanted)
-                    cut = least - MARGIN
-                    est = np.concatenate([estimate(sigs[x[px[k : k + 4096]]], sigs[y[py[k : k + 4096]]]) for k in range(0, len(px), 4096)])
-                    ok = est >= cut
-                    yield ids[x[px[ok]]], ids[y[py[ok]]]
-
-    def flush():
-        if len(held) > 1:
-            found = list(pairs(held))
-            if found:
-                a, b = map(np.concatenate, zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        sets = list(shingle_sets(as_bytes(batch.column("text").to_pylist()), size))
+        full = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), full], names=["id", "members"])
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of their 0/1 rows over shared members."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    rank = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], rank[column[shared]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        lo, hi = np.searchsorted(column, [a, a + 8192])
+        rows = np.zeros((len(sets), 8192), np.float32)
+        rows[owner[lo:hi], column[lo:hi] - a] = 1
+        out += rows @ rows.T
+    return out
+
 
+def _open_pairs(ids, comps, n, sides, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that lie in different components and whose sizes allow a link."""
+    i, j = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+    x, y = np.repeat(i, len(j)), np.tile(j, len(i))
+    ok = (comps[x] != comps[y]) & ((ids[x] < ids[y]) | (sides[x] != 2))
+    ok &= 100 * np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y])
+    return x[ok], y[ok]
+
+
+def _candidates(cols: dict[str, list], least: int) -> list[int]:
+    """Rows of a block that signatures don't keep from every open partner."""
+    ids, comps, n, sides = (np.array(cols[c]) for c in ("id", "component", "n", "side"))
+    sigs = np.frombuffer(b"".join(cols["sig"]), np.uint8).reshape(len(ids), -1)
+    x, y = _open_pairs(ids, comps, n, sides, least)
+    near = [estimate(sigs[x[k : k + 8192]], sigs[y[k : k + 8192]]) >= least / 100 - MARGIN for k in range(0, len(x), 8192)]
+    near = np.concatenate(near) if near else np.zeros(0, bool)
+    return np.unique(np.concatenate([x[near], y[near]])).tolist()
+
+
+def _links(cols: dict[str, list], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a block by full shingle sets: as many as join its components (a forest), not all."""
+    ids, comps, n, sides = (np.array(cols[c]) for c in ("id", "component", "n", "side"))
+    x, y = _open_pairs(ids, comps, n, sides, least)
+    both = _common([np.array(m, np.int64) for m in cols["members"]])[x, y]
+    ok = 100 * both >= least * (n[x] + n[y] - both)
+    x, y = x[ok], y[ok]
+    low, high = np.minimum(comps[x], comps[y]), np.maximum(comps[x], comps[y])
+    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    chosen = []
+    for k in first.tolist():
+        c, d = find(int(low[k])), find(int(high[k]))
+        if c != d:
+            root[c] = d
+            chosen.append(k)
+    return ids[x[chosen]], ids[y[chosen]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each block, from rows sorted by block."""
+    held: dict[str, list] = {}
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "id", "component", "n", "sig", "side")]
-        for row in zip(*cols, strict=True):
-            if row[0] != key:
-                yield from flush()
-                held, key = [], row[0]
-            held.append(row)
-    yield from flush()
+        cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        keys = np.array(cols["key"])
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() if len(keys) else []
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and held["key"][-1] != cols["key"][a]:
+                yield held
+                held = {}
+            for c, v in cols.items():
+                held.setdefault(c, []).extend(v[a:b])
+    if held:
+        yield held
+
+
+def _keep_candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for cols in _blocks(batches):
+        rows = _candidates(cols, least)
+        if rows:
+            names = ("key", "id", "component", "n", "side")
+            yield pa.RecordBatch.from_arrays([pa.array([cols[c][k] for k in rows], pa.int32() if c == "side" else pa.int64()) for c in names], names=names)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for cols in _blocks(batches):
+        a, b = _links(cols, least)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -169,8 +231,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, least: int = 85) -> DataFram
     (alone, it has a null component and is kept). Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("rid", row_key("doc_id", "text"))
+    n_bands = bands(least)
     schema = "rid long, doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"
-    rows = materialise(docs.mapInArrow(lambda it: _sketch(it, size), schema), "sketches")
+    rows = materialise(docs.mapInArrow(lambda it: _sketch(it, size, n_bands), schema), "sketches")
     full = rows.where("n > 0")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("rid").alias("id"), F.min("doc_id").alias("first_doc"))
     members = materialise(full.select("rid", "doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).drop("h1", "h2"), "members")
@@ -203,9 +266,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, least: int = 85) -> DataFram
     placed = placed.select(F.xxhash64("key", low, high).alias("key"), "id", "component", side.alias("side"))
     placed = placed.join(sketches.select("id", "n", "sig"), "id")
     n = partitions(docs.sparkSession)
-    share = least / 100
-    more = placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _pairs_in_blocks(it, share), "a long, b long")
-    more = materialise(_confirm(more.distinct(), sets, least), "block-links")
+    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
+    near = dealt(placed).mapInArrow(lambda it: _keep_candidates(it, least), "key long, id long, component long, n long, side int")
+    near = materialise(near, "near-members")
+    more = dealt(near.join(sets, "id")).mapInArrow(lambda it: _block_links(it, least), "a long, b long")
+    more = materialise(more.distinct(), "block-links")
     if not more.isEmpty():
         labels = materialise(components(links.unionByName(more)), "labels")
     grouped = heads.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -217,5 +282,28 @@ def near_duplicates(docs: DataFrame, size: int = 3, least: int = 85) -> DataFram
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
+    """The rows of docs that stay when one of each group of near duplicates does, with all their columns."""
+    stays = near_duplicates(docs, size, least).where("kept").select(F.col("rid").alias("_stays")).distinct()
+    keyed = docs.withColumn("_stays", row_key("doc_id", "text")).dropDuplicates(["_stays"])
+    return keyed.join(stays, "_stays", "left_semi").drop("_stays")
+
+
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op4_sql() -> str:
+    """The same components in DuckDB's SQL, by counting the shingles that two documents share."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM u x JOIN u y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT root, b FROM r JOIN e ON a = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)"""
