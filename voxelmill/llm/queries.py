@@ -3,13 +3,13 @@
 from .decontaminate import op6_decontamination
 from .fingerprints import op2_fingerprints
 from .licences import op1_licence_scan, scan_sql
-from .near_dedup import op4_minhash_dedup
+from .near_dedup import op4_minhash_dedup, op4_sql
 from .packing import op3_best_fit_packing
 from .quality import op5_quality_classifier
 from .sharding import op7_sharding
 from .suffix_dedup import op9_suffix_dedup
 from .token_files import op8_token_files
-from .warc import op10_warc
+from .warc import op10_sql, op10_warc
 
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op1_licence_scan": scan_sql()}
+SQL: dict[str, str] = {"op1_licence_scan": scan_sql(), "op4_minhash_dedup": op4_sql(), "op10_warc": op10_sql()}
