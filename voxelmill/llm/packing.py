@@ -66,6 +66,22 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int =
     return out
 
 
+def lower_bound(counts: dict[int, int], room: int) -> int:
+    """Sequences that any packing needs: by total length, and with pieces below each size left out, those over half the room being alone."""
+    x = np.array(sorted(counts), np.int64)
+    if not len(x):
+        return 0
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    best = -(-int(x @ n) // room)
+    over = 2 * x > room
+    for least in x[~over].tolist():
+        lone, mid = over & (x > room - least), ~over & (x >= least)
+        pairs = over & ~lone
+        spare = int(n[pairs].sum()) * room - int(x[pairs] @ n[pairs])
+        best = max(best, int(n[over].sum()) + max(0, -(-(int(x[mid] @ n[mid]) - spare) // room)))
+    return best
+
+
 def plan(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """(filling, times) pairs that use up all counts in few sequences.
 
@@ -75,7 +91,7 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[t
     """
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
-    bound = -(-total // room)
+    bound = lower_bound(counts, room)
     best: list | None = None
     best_bins = float("inf")
 
