@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 #: Words kept per process, and the longest word kept; others are encoded again when they come up.
-KEPT_WORDS, KEPT_LENGTH = 600_000, 48
-_ODD_SPACE = re.compile(r"\s | \s")
+KEPT_WORDS, KEPT_LENGTH = 1_500_000, 48
+#: All characters that Python takes for white space; the tokenizers' own lists are parts of it.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_MARKS = ".,!?;:#$%&*|)]}"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[tuple, Encoder] = {}
 
@@ -30,39 +33,72 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.spaces = spaces
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
         if self.spaces == "dropped":
             return text.replace("\n", " ").split(" ")
-        return _BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        if any(c in text and (c + " " in text or " " + c in text) for c in _SPACES if c != " ") or "  " in text:
+            return _BETWEEN.split(text)
+        return text.split(" ")
 
     def _learn(self, words: list[str], lead: str) -> dict[str, bytes]:
-        coded = self.library.encode_batch_fast([lead + w for w in words], add_special_tokens=False)
-        return {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(words, coded, strict=True)}
+        """Ids of single words; the library takes lists of words and says which word each id belongs to."""
+        lists = [words[a : a + 256] for a in range(0, len(words), 256)]
+        coded = self.library.encode_batch([[lead + w for w in x] for x in lists], is_pretokenized=True, add_special_tokens=False)
+        out = {}
+        for x, c in zip(lists, coded, strict=True):
+            raw = np.array(c.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(c.word_ids, np.int64), np.arange(len(x)), side="right")
+            at = 0
+            for w, end in zip(x, ends.tolist(), strict=True):
+                out[w] = raw[at:end]
+                at = end
+        return out
+
+    def _learn_words(self, words: set[str], lead: str) -> dict[str, bytes]:
+        """As _learn, but the marks at a word's end, which always are tokens of their own, are cut off first: fewer words are new then."""
+        plain, cut = set(), {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                cut[w] = core, w[len(core) :]
+                plain.add(core)
+            else:
+                plain.add(w)
+        marks = {m for _, m in cut.values()}.difference(self.marks)
+        self.marks.update(self._learn(list(marks), ""))
+        learnt = self._learn([w for w in plain if w not in self.known], lead)
+        get = lambda w: learnt[w] if w in learnt else self.known[w]
+        whole = {w: get(core) + self.marks[m] for w, (core, m) in cut.items()}
+        if len(self.marks) > KEPT_LENGTH * 1000:
+            self.marks = {}
+        return learnt | whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        out = []
+        out, lead = [], " " if self.spaces == "leading" else ""
         for a in range(0, len(texts), 256):
             cut = [self._split(t) for t in texts[a : a + 256]]
-            if self.spaces == "leading":
+            heads = None
+            if lead:
                 first = [c[0] for c in cut]
                 heads = self._learn(list(set(first)), "")
                 cut = [c[1:] for c in cut]
-                lead = " "
-            else:
-                lead = ""
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            new = set().union(*cut).difference(self.known)
-            learnt = self._learn(list(new), lead)
-            self.known.update((w, c) for w, c in learnt.items() if len(w) <= KEPT_LENGTH)
-            long = {w: c for w, c in learnt.items() if len(w) > KEPT_LENGTH}
-            get = self.known.__getitem__ if not long else lambda w, k=self.known, m=long: k[w] if w in k else m[w]
-            coded = [b"".join(map(get, c)) for c in cut]
-            if lead:
+            known = self.known
+            found = [list(map(known.get, c)) for c in cut]
+            new = {w for c, f in zip(cut, found, strict=True) if None in f for w, x in zip(c, f, strict=True) if x is None}
+            learnt = self._learn_words(new, lead)
+            for k, f in enumerate(found):
+                if None in f:
+                    found[k] = [learnt[w] if x is None else x for w, x in zip(cut[k], f, strict=True)]
+            coded = [b"".join(f) for f in found]
+            if heads:
                 coded = [heads[f] + c for f, c in zip(first, coded, strict=True)]
             out += coded
+            known.update((w, c) for w, c in learnt.items() if len(w) <= KEPT_LENGTH)
+            if len(known) > KEPT_WORDS:
+                self.known = dict(islice(known.items(), KEPT_WORDS // 2))  # the words met first are the frequent ones
         return out
 
 
