@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Buffer, as_bytes, chunks, mix
-from .scratch import drop, materialise, partitions, row_key
+from .scratch import drop, free, materialise, partitions, row_key
 
 K = 50
 BLOCK = 100
 _ANCHORS = "rid long, start int, n int, anchor long, hull long, weight int"
-_SUFFIXES = "rid long, start int, n int, t1 long, t2 long, weight int"
+_SUFFIXES = "rid long, n int, t1 long, rest long"
 
 
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -140,7 +140,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Two tokens for each window of the asked intervals: hashes of its first and of its other bytes."""
+    """The suffixes of the asked intervals: a token of the first bytes, and in ``rest`` 32 bits of the next token, the place and
+    whether it stands for several. Rows with n are spans that repeat within the batch: ``rest`` is their start, t1 any value.
+    """
     for batch in batches:
         rids = batch.column("rid").to_numpy(zero_copy_only=False)
         texts, asked = as_bytes(batch.column("text").to_pylist()), batch.column("asked")
@@ -163,8 +165,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             rid, start, t1, t2 = map(np.concatenate, zip(*parts, strict=True))
             one = np.ones(len(rid), np.int64)
             spans, k, weight = _combine(rid, start, one, t1, t2, size)
-            t2 = t2 >> np.uint64(32)
-            yield _rows(spans, rid[k], start[k], one[k], t1[k], t2[k], weight, ["rid", "start", "n", "t1", "t2", "weight"])
+            place = (start[k].astype(np.uint64) << np.uint64(1)) | (weight > 1).astype(np.uint64)
+            rest = np.concatenate([spans[1].astype(np.uint64), (t2[k] >> np.uint64(32) << np.uint64(32)) | place])
+            n = np.concatenate([spans[2] - spans[1], np.zeros(len(k), np.int64)])
+            first = np.concatenate([mix(spans[0].view(np.uint64) ^ spans[1].view(np.uint64)), t1[k]])
+            cols = [np.concatenate([spans[0], rid[k]]), n.astype(np.int32), first.view(np.int64), rest.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rid", "n", "t1", "rest"])
 
 
 def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
@@ -191,19 +197,43 @@ def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarra
     return order
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sorts one range of suffixes and yields the spans of those equal to a neighbour."""
+_SPAN = np.dtype([("rid", "<i8"), ("start", "<i4"), ("n", "<i4")])
+
+
+def _bucket(batches: Iterator[pa.RecordBatch], size: int, parts_out: int) -> Iterator[pa.RecordBatch]:
+    """Sorts one range of suffixes and yields the spans of those equal to a neighbour, packed by the part of their text."""
     parts = list(batches)
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    rid, start, t1, t2, weight = (t.column(c).to_numpy() for c in ("rid", "start", "t1", "t2", "weight"))
+    rid, n, t1, rest = (t.column(c).to_numpy() for c in ("rid", "n", "t1", "rest"))
+    done = n > 0
+    found = [(rid[done], rest[done], rest[done] + n[done])]
+    rid, t1, rest = rid[~done], t1[~done], rest[~done].view(np.uint64)
+    t2 = rest >> np.uint64(32)
     order = multikey_quicksort([t1, t2])
-    rid, start, t1, t2, weight = rid[order], start[order].astype(np.int64), t1[order], t2[order], weight[order]
+    rid, t1, t2, place = rid[order], t1[order], t2[order], rest[order] & np.uint64(0xFFFFFFFF)
     same = np.zeros(len(rid) + 1, bool)
     same[1:-1] = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1])
-    again = (weight == 1) & (same[1:] | same[:-1])
-    a, b, c = _spans(rid[again], start[again], start[again] + size)
+    again = (place & np.uint64(1) == 0) & (same[1:] | same[:-1])
+    start = (place[again] >> np.uint64(1)).astype(np.int64)
+    found.append(_spans(rid[again], start, start + size))
+    a, b, c = map(np.concatenate, zip(*found, strict=True))
+    rows = np.zeros(len(a), _SPAN)
+    rows["rid"], rows["start"], rows["n"] = a, b, c - b
+    part = (mix(a.view(np.uint64)) % np.uint64(parts_out)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    packed = [x.tobytes() for x in np.split(rows, heads[1:])] if len(heads) else []
+    yield pa.RecordBatch.from_arrays([pa.array(part[heads], pa.int32()), pa.array(packed, pa.binary())], names=["part", "spans"])
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of some texts from all buckets, united."""
+    packed = [raw for batch in batches for raw in batch.column("spans").to_pylist()]
+    rows = np.frombuffer(b"".join(packed), _SPAN)
+    a, b, c = _spans(rows["rid"], rows["start"].astype(np.int64), rows["start"].astype(np.int64) + rows["n"])
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array((c - b).astype(np.int32))], names=["rid", "start", "n"])
 
 
@@ -224,23 +254,22 @@ def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
     asked = materialise(asked, "asked")
     drop(anchors)
     drop(repeated)
+    del keyed, often, hulls, open_, whole, anchors, repeated
     per_text = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
     suffixes = docs.select("rid", "text").join(per_text, "rid").mapInArrow(lambda it: _suffixes(it, size), _SUFFIXES)
-    suffixes = materialise(suffixes, "suffixes")
-    spans = (
-        suffixes.where("weight > 0")
-        .repartitionByRange(partitions(docs.sparkSession), "t1")
-        .mapInArrow(lambda it: _bucket(it, size), "rid long, start int, n int")
-    )
-    spans = materialise(spans.unionByName(suffixes.where("weight = 0").select("rid", "start", "n")), "window-spans")
-    drop(suffixes)
+    n = partitions(docs.sparkSession)
+    spans = suffixes.repartitionByRange(n, "t1").mapInArrow(lambda it: _bucket(it, size, n), "part int, spans binary")
+    spans = materialise(spans.repartitionById(n, "part").mapInArrow(_unite, "rid long, start int, n int"), "window-spans")
+    drop(asked)
+    del asked, per_text, suffixes
+    free(docs.sparkSession)
     return found.unionByName(spans)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = as_bytes(batch.column("text").to_pylist()), batch.column("spans")
-        out = {k: [] for k in ("n_removed", "n_spans", "kept")}
+        n_removed, n_spans, left = [], [], []
         for text, found in zip(texts, spans, strict=True):
             kept, at, removed, runs = [], 0, 0, 0
             if found.is_valid:
@@ -250,32 +279,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(text[at:x])
                     at, removed, runs = y, removed + y - x, runs + 1
             kept.append(text[at:])
-            out["n_removed"].append(removed)
-            out["n_spans"].append(runs)
-            out["kept"].append(b"".join(kept))
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "rid")]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array([len(t) for t in texts], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())],
-            names=[*(c for c in batch.schema.names if c not in ("text", "spans", "rid")), "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+            n_removed.append(removed)
+            n_spans.append(runs)
+            left.append(b"".join(kept))
+        counts = [pa.array(c, pa.int64()) for c in ([len(t) for t in texts], n_removed, n_spans)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *counts, pa.array(left, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept``: the bytes left of each document's UTF-8 text.
+def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row`` (a struct of the carried columns), n_bytes, n_removed, n_spans and ``kept``: the bytes left of each document's UTF-8 text.
 
     A byte is removed if a passage of ``size`` bytes that covers it starts anywhere else too, in the
     same document included; passages never cross documents. Null texts are empty, texts shorter than ``size``
     stay whole. Rows with equal doc_id and text are documents of their own, so that both lose all
-    repeated bytes. A null doc_id is kept. Extra columns are ignored. ``kept`` may break a UTF-8 character.
+    repeated bytes. A null doc_id is kept. ``kept`` may break a UTF-8 character.
     """
-    docs = docs.select("doc_id", "text").withColumn("rid", row_key("doc_id", "text"))
+    docs = docs.select(F.struct(*carry).alias("row"), "text", row_key("doc_id", "text").alias("rid"))
     spans = repeated_spans(docs, size).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = docs.join(spans, "rid", "left")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    counts = "n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, {counts}"
+    return docs.join(spans, "rid", "left").mapInArrow(_cut, schema)
+
+
+def without_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
+    """docs with repeated passages cut from ``text`` and n_chars set anew; characters broken by a cut go. Documents of which nothing is left go."""
+    carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    left = remove_repeats(docs, size, carry)
+
+    def decode(batches):
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    left = left.where("n_removed = 0 or length(kept) > 0").select("row", "kept")
+    out = left.mapInArrow(decode, f"row {left.schema['row'].dataType.simpleString()}, text string")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    known = {c: F.col(f"row.`{c}`").alias(c) for c in carry}
+    return out.select(*(known.get(c, F.col(c)) for c in docs.columns))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
