@@ -1,8 +1,59 @@
-"""Corpus preparation: each stage works on all that the one before it kept."""
+"""Corpus preparation in stages: each works on all that the one before it kept, written as Parquet and read again.
 
-STAGES: list = []
+The stages drop documents that the quality classifier rejects, all but one of each group of near duplicates
+(five words, 0.8), repeated passages of 200 bytes, and documents with benchmark items; the last one packs what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxelmill.llm.decontaminate import without_contaminated
+from voxelmill.llm.near_dedup import keep_one
+from voxelmill.llm.packing import pack_documents
+from voxelmill.llm.quality import keep_good
+from voxelmill.llm.scratch import new_folder, table
+from voxelmill.llm.suffix_dedup import without_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL can't express the learnt classifier, the links' components or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = new_folder(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
