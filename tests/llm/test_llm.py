@@ -167,6 +167,19 @@ def test_plan_uses_all_pieces():
     assert packing.plan({}) == [] and packing.plan({10: 7}, 30) == [((10, 10, 10), 2), ((10,), 1)]
 
 
+def test_plan_of_many_short_pieces():
+    rng = random.Random(5)
+    mixed = collections.Counter(min(4095, int(rng.lognormvariate(5, 1.3)) + 1) for _ in range(5000)) + collections.Counter({1: 30_000, 6: 30_000})
+    for counts in ({1: 100_000}, {5: 100_000}, {10: 100_000}, mixed):
+        fills = packing.plan(dict(counts))
+        used = collections.Counter()
+        for f, times in fills:
+            assert sum(f) <= packing.ROOM
+            for x in f:
+                used[x] += times
+        assert used == counts and sum(t for _, t in fills) <= packing.lower_bound(dict(counts), packing.ROOM) + 1
+
+
 def test_packing(spark, odd):
     got = packing.pack_documents(table(spark, odd)).collect()
     by = collections.defaultdict(list)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .tokens import encoder
 ROOM, END_OF_TEXT = 4096, 1
 #: Steps of the search after the first solution, and fillings tried around one document.
 NODES, FILLINGS = 2000, 24
+#: Fillings are compared up to this product of their numbers of pieces; beyond it both stay, which costs steps only.
+COMPARED = 1 << 12
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -37,31 +40,47 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
+def _complete(chosen: tuple[int, ...], left: int, top: int, lengths: list[int], counts: dict[int, int]) -> tuple[int, ...]:
+    """A filling with as many pieces of each length up to ``top`` as fit, longest first: nothing that is left fits any more."""
+    while (k := bisect_right(lengths, min(left, top)) - 1) >= 0:
+        x = lengths[k]
+        n = min(left // x, counts[x])
+        chosen, left, top = chosen + (x,) * n, left - n * x, x - 1
+    return chosen
+
+
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by available lengths (ascending list), those of least waste first."""
+    """Undominated fillings of the room by available lengths (ascending list), those of least waste first.
+
+    A step takes a length with its multiplicity, so the depth is the number of different lengths, not of pieces. Beyond
+    8 * ``most`` steps a filling branches no more, but is still completed.
+    """
     found: list[tuple[int, ...]] = []
     steps = 0
 
-    def extend(chosen: list[int], left: int, top: int) -> None:
+    def extend(chosen: tuple[int, ...], left: int, top: int) -> None:
         nonlocal steps
         steps += 1
         k, tried = bisect_right(lengths, min(left, top)) - 1, 0
-        while k >= 0 and tried < 3 and len(found) < most and steps < 8 * most:
+        if k < 0 or steps >= 8 * most:
+            found.append(_complete(chosen, left, top, lengths, counts))
+            return
+        while k >= 0 and tried < 3 and len(found) < most:
             x = lengths[k]
-            if counts[x] > chosen.count(x):
-                extend([*chosen, x], left - x, x)
-                tried += 1
-                if found and sum(found[-1]) == room and tried == 1 and len(found) > most // 2:
-                    break
+            n = min(left // x, counts[x])
+            for times in range(n, max(n - 2, 0), -1):
+                if len(found) < most and (tried == 0 or steps < 8 * most):
+                    extend(chosen + (x,) * times, left - times * x, x - 1)
+            tried += 1
+            if found and sum(found[-1]) == room and tried == 1 and len(found) > most // 2:
+                break
             k -= 1
-        if not tried:
-            found.append(tuple(chosen))
 
-    extend([], room, room)
+    extend((), room, room)
     found = sorted(set(found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))
     out: list[tuple[int, ...]] = []
     for f in found:
-        if not any(sum(o) >= sum(f) and _dominates(o, f) for o in out):
+        if not any(sum(o) >= sum(f) and len(o) * len(f) <= COMPARED and _dominates(o, f) for o in out):
             out.append(f)
     return out
 
@@ -108,22 +127,24 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[t
     while stack:
         now, top, options, k = stack.pop()
         path = path[: len(stack)]
-        used, waste = sum(t for _, t in path), sum((room - sum(f)) * t for f, t in path)
+        used, waste = sum(t for _, t, _ in path), sum(w for _, _, w in path)
         if k >= len(options) or (best is not None and left <= 0):
             continue
         stack.append((now, top, options, k + 1))
         filling = (top, *options[k])
-        times = min(now[x] // filling.count(x) for x in set(filling))
-        if best is not None and waste + (room - sum(filling)) * times > (best_bins - 1) * room - total:
+        taken = Counter(filling)
+        times = min(now[x] // n for x, n in taken.items())
+        more = (room - sum(filling)) * times
+        if best is not None and waste + more > (best_bins - 1) * room - total:
             continue
-        path.append((filling, times))
-        after = {x: n - times * filling.count(x) for x, n in now.items()}
+        path.append((filling, times, more))
+        after = {x: n - times * taken[x] if x in taken else n for x, n in now.items()}
         after = {x: n for x, n in after.items() if n}
         left -= best is not None
         if after:
             stack.append((after, *choices(after), 0))
         elif used + times < best_bins:
-            best, best_bins = list(path), used + times
+            best, best_bins = [(f, t) for f, t, _ in path], used + times
             if best_bins == bound:
                 break
     return best or []
