@@ -336,6 +336,16 @@ def test_inconsistent_slots(spark):
     assert {r.doc_id for r in got.collect()} == {1}
 
 
+def test_copy_beside_other_variants(spark):
+    item = "Ann has 3 red pears and gives 12 green plums to old Bob who then eats 5 of them in the garden near 40 large trees"
+    changed = [item.replace("3", f"{k}1").replace("12", f"{k}2").replace("5", f"{k}3").replace("40", f"{k}4").replace("Bob", n) for k, n in ((6, "Zoe"), (7, "Max"), (8, "Eve"))]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, ". ".join([*changed[:2], item, changed[2]])), (2, " ".join(["some words before it"] * 9 + [item, *changed])), (3, "nothing of the kind " * 40)]
+    got = decontaminate.contaminated(table(spark, rows), items).collect()
+    assert {r.doc_id for r in got} == {1, 2} and len(got) == 2
+    assert [r.doc_id for r in decontaminate.without_contaminated(table(spark, rows), items).collect()] == [3]
+
+
 def test_benchmark_passages_are_found(spark):
     docs, items = documents(spark), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in docs for i, s in items if s in (t or "")}

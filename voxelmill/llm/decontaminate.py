@@ -3,8 +3,9 @@
 A text becomes a sequence of canonical tokens: numbers, names (capitalised words inside a sentence) and units after a number turn
 into typed placeholders, other words into lower case. Windows of WINDOW tokens are hashed and joined with those of the
 benchmark. For each document and item the matched windows give pairs of slot values; a slot is
-consistent if one value of the item always stands for one value of the document. A document is contaminated by an item
-if it has enough of the item's windows and its slots are consistent, so re-parameterised copies are caught.
+consistent if one value of the item always stands for one value of the document. Each occurrence of an item in a document is
+judged by itself, and so is the document as a whole: it is contaminated by an item if any of these has enough of the item's
+windows with consistent slots, so re-parameterised copies are caught, also beside other variants of the same template.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Buffer, as_bytes, chunks, mix, shingles
@@ -100,7 +101,7 @@ class Tokens:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window (hash), at, slots, of (windows of the item), size. Items shorter than a window are one window of their own length."""
+    """item_id, window (hash), at, slots, of (windows of the item), size, width (see _occurrences). Items shorter than a window are one window of their own length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,12 +112,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 if size < LEAST_TOKENS:
                     continue
                 _, at, h = tokens.windows(size)
-                out += [(ids[k], int(x), int(p), tokens.slots(int(p), size), len(h), size) for p, x in zip(at, h.view(np.int64), strict=True)]
-            cols = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "window", "at", "slots", "of", "size"])
+                out += [(ids[k], int(x), int(p), tokens.slots(int(p), size), len(h), size, max(2, len(tokens.start) // 2)) for p, x in zip(at, h.view(np.int64), strict=True)]
+            cols = zip(*out, strict=True) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "window", "at", "slots", "of", "size", "width"])
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, window long, at int, slots array<string>, of int, size int")
+    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, window long, at int, slots array<string>, of int, size int, width int")
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -129,10 +130,23 @@ def _filter(windows: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _occurrences() -> Column:
+    """The occurrences that a hit may belong to: its place less its place in the item, in cells of half an item's length.
+
+    Cells of two grids overlap by half, so an occurrence whose insertions shift it by no more than half a cell is whole in one of them; the next one
+    is further away. 0, 0 is the document as a whole, for which a window that the document repeats says nothing new.
+    """
+    shift = F.col("pos") - F.col("at")
+    cell = lambda grid, by: F.struct(F.lit(grid).alias("grid"), F.floor((shift + by) / F.col("width")).alias("cell"))
+    whole = F.struct(F.lit(0).alias("grid"), F.lit(0).cast("long").alias("cell"))
+    places = F.array(cell(1, F.lit(0)), cell(2, F.floor(F.col("width") / 2)))
+    return F.when(F.col("first"), F.array_append(places, whole)).otherwise(places)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, consistent: float = CONSISTENT) -> DataFrame:
     """rid, doc_id, item_id, n_windows, of, cover and consistency of every contaminated document and item.
 
-    n_windows of the item's ``of`` windows occur in the document. Null and empty texts and items of fewer than LEAST_TOKENS tokens match nothing; items with equal ids are one item. Rows that repeat a doc_id
+    n_windows of the item's ``of`` windows occur in the document, or in its best occurrence where only that is consistent. Null and empty texts and items of fewer than LEAST_TOKENS tokens match nothing; items with equal ids are one item. Rows that repeat a doc_id
     and text give one result; a null doc_id is reported as null. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -155,25 +169,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, co
                     hit = np.flatnonzero(bits[(h & mask).astype(np.int64)])
                     for k, p, x in zip(text[hit].tolist(), at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
                         slots = tokens.slots(p, size)
-                        if (k, x, *slots) not in done:  # a window that the document repeats says nothing new
-                            done.add((k, x, *slots))
-                            out.append((rids[a + k], ids[a + k], x, slots))
-            cols = zip(*out, strict=True) if out else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "doc_id", "window", "found"])
-
-    hits = docs.mapInArrow(cut, "rid long, doc_id long, window long, found array<string>")
-    key = ["rid", "doc_id", "item_id"]
-    both = hits.join(items, "window").where(F.size("slots") == F.size("found"))
+                        out.append((rids[a + k], ids[a + k], x, slots, p - int(tokens.at[k]), (k, x, *slots) not in done))
+                        done.add((k, x, *slots))
+            cols = zip(*out, strict=True) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "doc_id", "window", "found", "pos", "first"])
+
+    hits = docs.mapInArrow(cut, "rid long, doc_id long, window long, found array<string>, pos long, first boolean")
+    key = ["rid", "doc_id", "item_id", "place"]
+    both = hits.join(items, "window").where(F.size("slots") == F.size("found")).withColumn("place", F.explode(_occurrences()))
     covered = both.groupBy(*key).agg(F.count_distinct("at").alias("n_windows"), F.max("of").alias("of")).where(F.col("n_windows") >= cover * F.col("of"))
     pairs = both.select(*key, F.explode(F.arrays_zip("slots", "found")).alias("p")).select(*key, "p.slots", "p.found")
     votes = pairs.groupBy(*key, "slots", "found").agg(F.count(F.lit(1)).alias("n"))
     votes = votes.groupBy(*key, "slots").agg(F.max("n").alias("best"), F.sum("n").alias("all"))
     slots = votes.groupBy(*key).agg((F.sum("best") / F.sum("all")).alias("consistency"))
-    null_safe = covered["doc_id"].eqNullSafe(slots["doc_id"])
-    out = covered.join(slots, (covered["rid"] == slots["rid"]) & (covered["item_id"].eqNullSafe(slots["item_id"])) & null_safe, "left")
-    out = out.select(covered["rid"], covered["doc_id"], covered["item_id"], "n_windows", "of", (F.col("n_windows") / F.col("of")).alias("cover"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    return out.where(F.col("consistency") >= consistent)
+    same = [covered[c].eqNullSafe(slots[c]) if c in ("doc_id", "item_id") else covered[c] == slots[c] for c in key]
+    out = covered.join(slots, same, "left").select(*(covered[c] for c in key), "n_windows", "of", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    out = out.where(F.col("consistency") >= consistent).groupBy(*key[:3]).agg(F.max(F.struct("n_windows", "consistency", "of")).alias("m"))
+    return out.select(*key[:3], "m.n_windows", "m.of", (F.col("m.n_windows") / F.col("m.of")).alias("cover"), "m.consistency")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
