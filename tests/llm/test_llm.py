@@ -346,6 +346,15 @@ def test_copy_beside_other_variants(spark):
     assert [r.doc_id for r in decontaminate.without_contaminated(table(spark, rows), items).collect()] == [3]
 
 
+def test_copies_full_of_numbers_or_in_other_case(spark):
+    sums = "12 + 30 = 42, 15 + 27 = 42 and 9 * 7 = 63"
+    names = "Yesterday the young Émile met Anna Berg and Karl Stein near Old Paris Bridge with Uncle Tom Grey, then Rosa Luna sang for Max Born"
+    items = spark.createDataFrame([(1, sums), (2, names)], "item_id long, text string")
+    rows = [(1, "See: " + sums + "."), (2, sums.replace("1", "8").replace("2", "5")), (3, names.lower()), (4, "so " + names.upper()), (5, names), (6, names.title()), (7, "nothing of the kind " * 40)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), items).collect()}
+    assert got == {(1, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
+
+
 def test_benchmark_passages_are_found(spark):
     docs, items = documents(spark), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in docs for i, s in items if s in (t or "")}

@@ -2,7 +2,8 @@
 
 A text becomes a sequence of canonical tokens: numbers, names (capitalised words inside a sentence) and units after a number turn
 into typed placeholders, other words into lower case. Windows of WINDOW tokens are hashed and joined with those of the
-benchmark. For each document and item the matched windows give pairs of slot values; a slot is
+benchmark: with all placeholders, with those of numbers only, as names depend on letter case, and with none, so that verbatim
+copies full of numbers and copies in other letter case are found too. For each document and item the matched windows give pairs of slot values; a slot is
 consistent if one value of the item always stands for one value of the document. Each occurrence of an item in a document is
 judged by itself, and so is the document as a whole: it is contaminated by an item if any of these has enough of the item's
 windows with consistent slots, so re-parameterised copies are caught, also beside other variants of the same template.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .hashing import Buffer, as_bytes, chunks, mix, shingles
 from .scratch import materialise, row_key, table
 
 WINDOW, LEAST_TOKENS = 8, 4
+#: The form of a token with all its placeholders.
+FULL = 0
 #: Share of an item's windows that a document must have, and share of consistent slots.
 COVER, CONSISTENT = 0.5, 0.8
 #: Bits of the filter of benchmark windows: a fixed size; beyond it more windows reach the join, none is lost.
@@ -35,20 +39,35 @@ _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1B873593CC9E2D51, 0x38B34AE5A1
 _DASHES = re.compile(rb"\xe2\x80[\x90-\xbf]")
 
 
+def _lower(text: bytes) -> bytes:
+    """The text in lower case, of the same length in bytes: letters that would change theirs stay."""
+    if text.isascii():
+        return text.lower()
+    plain = text.decode("utf-8", "surrogatepass")
+    low = plain.lower().encode("utf-8", "surrogatepass")
+    if len(low) == len(text):
+        return low
+    pairs = ((c.encode("utf-8", "surrogatepass"), c.lower().encode("utf-8", "surrogatepass")) for c in plain)
+    return b"".join(x if len(x) == len(c) else c for c, x in pairs)
+
+
 class Tokens:
     """Canonical tokens of some texts, all at once.
 
     A token is a run of letters and digits, with the points and commas inside numbers; bytes above 127 count as letters, save for
-    typographic dashes and quotes. ``kind`` is the hash of its lower case or of its placeholder.
+    typographic dashes and quotes. ``forms`` has hashes and marks of placeholders, FULL, with those of numbers and units only, and
+    with none: a hash is that of a token's lower case or of its placeholder.
     A name starts with a capital, goes on in small letters and doesn't follow a line or sentence end.
     """
 
     def __init__(self, texts: list[bytes]):
-        self.buf = buf = Buffer([_DASHES.sub(b" ", t) if b"\xe2\x80" in t else t for t in texts])
+        texts = [_DASHES.sub(b" ", t) if b"\xe2\x80" in t else t for t in texts]
+        self.buf = buf = Buffer(texts)
+        low = Buffer([_lower(t) for t in texts])
         b = buf.bytes
         if not len(b):
             self.start = self.end = self.at = np.zeros(0, np.int64)
-            self.kind, self.slot = np.zeros(0, np.uint64), np.zeros(0, bool)
+            self.forms = [(np.zeros(0, np.uint64), np.zeros(0, bool))] * 3
             self.at = np.zeros(len(texts) + 1, np.int64)
             return
         digit = (b >= 48) & (b <= 57)
@@ -67,7 +86,7 @@ class Tokens:
         last[tails] |= solid[tails]
         self.start, self.end = start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.at = np.searchsorted(start, buf.ends)
-        self.kind = buf.ranges(start, end, True)
+        word = low.ranges(start, end)
         stops = np.concatenate([[0], np.cumsum((b == 46) | (b == 33) | (b == 63) | (b == 10))])
         opens = np.ones(len(start), bool)
         opens[1:] = stops[start[1:]] > stops[end[:-1]]
@@ -80,28 +99,35 @@ class Tokens:
         name = capital & ~opens & (end - start > 1) & (capitals[end] - capitals[start] <= 1)
         after = np.flatnonzero(number[:-1] & ~opens[1:]) + 1
         unit = np.zeros(len(start), bool)
-        unit[after] = np.isin(self.kind[after], _UNIT_HASHES)
-        self.slot = number | name | unit
-        self.kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.kind)))
+        unit[after] = np.isin(word[after], _UNIT_HASHES)
+        typed = np.where(number, _NUMBER, np.where(unit, _UNIT, word))
+        self.forms = [(np.where(name & ~unit & ~number, _NAME, typed), number | name | unit), (typed, number | unit), (word, np.zeros(len(start), bool))]
+
+    def windows(self, size: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first token and hash of all windows of one size in a form, with literal words in half their places: others say nothing.
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first token and hash of all windows of one size with literal words in half their places: others say nothing."""
-        h = shingles(self.kind, size)
+        Windows that a fuller form has alike are left out.
+        """
+        kind, slot = self.forms[form]
+        h = shingles(kind, size)
         if not len(h):
             return self.at[:0], self.at[:0], h
+        count = lambda marks: (c := np.concatenate([[0], np.cumsum(marks)]))[size:] - c[:-size]
         text = np.searchsorted(self.at, np.arange(len(h)), side="right") - 1
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        keep = np.flatnonzero((np.arange(len(h)) + size <= self.at[text + 1]) & (2 * (slots[size:] - slots[:-size]) <= size))
+        keep = (np.arange(len(h)) + size <= self.at[text + 1]) & (2 * count(slot) <= size)
+        for fuller, marks in self.forms[:form]:
+            keep &= (count(kind != fuller) > 0) | (2 * count(marks) > size)
+        keep = np.flatnonzero(keep)
         return text[keep], keep, mix(h[keep] ^ np.uint64(size))
 
-    def slots(self, at: int, size: int) -> list[str]:
+    def slots(self, at: int, size: int, form: int) -> list[str]:
         """What stands in the placeholders of a window."""
-        k = at + np.flatnonzero(self.slot[at : at + size])
-        return [self.buf.bytes[a:b].tobytes().lower().decode("utf-8", "replace") for a, b in zip(self.start[k], self.end[k], strict=True)]
+        k = at + np.flatnonzero(self.forms[form][1][at : at + size])
+        return [self.buf.bytes[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(self.start[k], self.end[k], strict=True)]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window (hash), at, slots, of (windows of the item), size, width (see _occurrences). Items shorter than a window are one window of their own length."""
+    """item_id, window (hash), at, slots, worded (whether half of it are words), of_worded and of (windows of the item, such and all), size, width (see _occurrences). Items shorter than a window are one window of their own length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,13 +137,16 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 size = min(WINDOW, len(tokens.start))
                 if size < LEAST_TOKENS:
                     continue
-                _, at, h = tokens.windows(size)
-                out += [(ids[k], int(x), int(p), tokens.slots(int(p), size), len(h), size, max(2, len(tokens.start) // 2)) for p, x in zip(at, h.view(np.int64), strict=True)]
-            cols = zip(*out, strict=True) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "window", "at", "slots", "of", "size", "width"])
+                own = set(tokens.windows(size, FULL)[1].tolist())
+                of = len(tokens.start) - size + 1
+                for form in range(len(tokens.forms)):
+                    _, at, h = tokens.windows(size, form)
+                    out += [(ids[k], int(x), int(p), tokens.slots(int(p), size, form), int(p) in own, len(own), of, size, max(2, len(tokens.start) // 2)) for p, x in zip(at, h.view(np.int64), strict=True)]
+            cols = zip(*out, strict=True) if out else [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "window", "at", "slots", "worded", "of_worded", "of", "size", "width"])
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, window long, at int, slots array<string>, of int, size int, width int")
+    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, window long, at int, slots array<string>, worded boolean, of_worded int, of int, size int, width int")
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -164,21 +193,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, co
             texts = as_bytes(batch.column("text").to_pylist())
             for a, b in chunks(texts):
                 tokens, done = Tokens(texts[a:b]), set()
-                for size in sizes:
-                    text, at, h = tokens.windows(size)
+                for size, form in product(sizes, range(len(tokens.forms))):
+                    text, at, h = tokens.windows(size, form)
                     hit = np.flatnonzero(bits[(h & mask).astype(np.int64)])
                     for k, p, x in zip(text[hit].tolist(), at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
-                        slots = tokens.slots(p, size)
-                        out.append((rids[a + k], ids[a + k], x, slots, p - int(tokens.at[k]), (k, x, *slots) not in done))
+                        slots = tokens.slots(p, size, form)
+                        out.append((rids[a + k], ids[a + k], x, form, slots, p - int(tokens.at[k]), (k, x, *slots) not in done))
                         done.add((k, x, *slots))
-            cols = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "doc_id", "window", "found", "pos", "first"])
+            cols = zip(*out, strict=True) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rid", "doc_id", "window", "form", "found", "pos", "first"])
 
-    hits = docs.mapInArrow(cut, "rid long, doc_id long, window long, found array<string>, pos long, first boolean")
+    hits = docs.mapInArrow(cut, "rid long, doc_id long, window long, form int, found array<string>, pos long, first boolean")
     key = ["rid", "doc_id", "item_id", "place"]
-    both = hits.join(items, "window").where(F.size("slots") == F.size("found")).withColumn("place", F.explode(_occurrences()))
-    covered = both.groupBy(*key).agg(F.count_distinct("at").alias("n_windows"), F.max("of").alias("of")).where(F.col("n_windows") >= cover * F.col("of"))
+    both = hits.join(items, "window").where(F.size("slots") == F.size("found"))
+    # A place that matches in several forms votes once, by the fullest of them.
+    fixed = ["worded", "of_worded", "of", "width"]
+    both = both.groupBy(*key[:3], "at", "pos").agg(F.min(F.struct("form", "first", "slots", "found", *fixed)).alias("h")).select(*key[:3], "at", "pos", "h.*")
+    both = both.withColumn("place", F.explode(_occurrences()))
+    # Windows of words in half their places or more speak for the item; all of them do where they cover more of it.
+    covered = both.groupBy(*key).agg(F.count_distinct(F.when(F.col("worded"), F.col("at"))).alias("w"), F.max("of_worded").alias("of_w"), F.count_distinct("at").alias("n"), F.max("of").alias("of_n"))
+    words = F.col("w") * F.col("of_n") >= F.col("n") * F.col("of_w")
+    words = words & (F.col("of_w") > 0)
+    covered = covered.select(*key, F.when(words, F.col("w")).otherwise(F.col("n")).alias("n_windows"), F.when(words, F.col("of_w")).otherwise(F.col("of_n")).alias("of"))
+    covered = covered.where(F.col("n_windows") >= cover * F.col("of"))
     pairs = both.select(*key, F.explode(F.arrays_zip("slots", "found")).alias("p")).select(*key, "p.slots", "p.found")
     votes = pairs.groupBy(*key, "slots", "found").agg(F.count(F.lit(1)).alias("n"))
     votes = votes.groupBy(*key, "slots").agg(F.max("n").alias("best"), F.sum("n").alias("all"))
