@@ -95,6 +95,15 @@ def test_licences_of_odd_texts(spark):
     assert licences.licence_scan(table(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_inside_longer_texts(spark):
+    apache = [t for n, t in licences.TEMPLATES if n == "Apache-2.0"]
+    w = (apache[1] + " # " + apache[2]).split()
+    header = "\n#\n".join("# " + " ".join(w[k : k + 5]) for k in range(0, len(w), 5))
+    rows = [(1, "This package is free to use. Released under the MIT License. See the manual."), (2, header), (3, "We say that this work is\nlicensed under the GNU General Public License,\nversion 2. Ask us for more\nof it"), (4, "see the license of the software in the manual " * 9)]
+    got = {(r.doc_id, r.licence): (r.n_units, r.dice) for r in licences.licence_scan(table(spark, rows)).collect()}
+    assert got == {(1, "MIT"): (1, 1.0), (2, "Apache-2.0"): (2, 1.0), (3, "GPL-2.0"): (1, 1.0)}
+
+
 # 2 fingerprints
 
 

@@ -2,7 +2,8 @@
 
 A text is scanned by its lines, its paragraphs of several lines and as a whole. A unit and a template of m distinct
 bigrams can reach a coefficient of t only if the unit has between m * t / (2 - t) and m * (2 - t) / t of them, so
-a template is joined on the sizes it can match: an equality join with a small table of fixed size.
+a template is joined on the sizes it can match: an equality join with a small table of fixed size. Notices inside longer
+units, wrapped or in comments are found in windows of the text's words that begin with a bigram of a template.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import row_key, table
 
 LEAST = Fraction(4, 5)
 
@@ -61,18 +62,57 @@ def _rows() -> list[tuple[int, str, list[str], int, int]]:
     return out
 
 
-def bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of the normalised unit: lower case, anything but letters and digits between words."""
+def _word_pairs(unit: Column) -> Column:
+    """Word bigrams, in order, of the normalised unit: lower case, anything but letters and digits between words."""
     words = F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
     pair = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pair(words))
+    return pair(words)
+
+
+def bigrams(unit: Column) -> Column:
+    """Distinct word bigrams of the normalised unit."""
+    return F.array_distinct(_word_pairs(unit))
+
+
+def _in_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, licence, dice of every place in running words that matches a template; of places that overlap, the best, of equal ones the longest.
+
+    The best window begins and ends with a bigram of its template and has at most as many bigrams as its size bound.
+    """
+    spark = docs.sparkSession
+    rows = _rows()
+    by_gram = [(g, len(grams), low, high, k, name, grams) for k, name, grams, low, high in rows for g in grams]
+    templates = F.broadcast(spark.createDataFrame(by_gram, "gram string, m int, low int, high int, template int, licence string, grams array<string>"))  # a fixed table
+    known = sorted({g for _, _, grams, _, _ in rows for g in grams})
+    longest = max(r[4] for r in rows)
+    words = docs.where("text is not null").select("doc_id", row_key("doc_id", "text").alias("rid"), _word_pairs(F.col("text")).alias("g"))
+    words = words.where(F.size("g") >= min(r[3] for r in rows))
+    starts = F.filter(F.sequence(F.lit(1), F.size("g")), lambda i: F.element_at("g", i).isin(known))
+    segments = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("g", i, longest).alias("s")))
+    hits = words.select("doc_id", "rid", F.explode(segments).alias("x")).select("doc_id", "rid", "x.i", "x.s", F.col("x.s")[0].alias("gram"))
+    hits = hits.join(templates, "gram").withColumn("s", F.slice("s", 1, F.col("high")))
+    hits = hits.where(F.size(F.array_intersect("s", "grams")) >= F.col("low"))
+
+    def scored(n: Column) -> Column:
+        part = F.slice("s", 1, n)
+        dice = 2.0 * F.size(F.array_intersect(part, F.col("grams"))) / (F.size(F.array_distinct(part)) + F.col("m"))
+        return F.struct((-dice).alias("d"), n.alias("n"))
+
+    hits = hits.withColumn("b", F.array_min(F.transform(F.sequence("low", F.size("s")), scored))).where(F.col("b.d") <= -float(LEAST))
+    found = F.struct("b.d", (-F.col("b.n")).alias("l"), "template", "licence", F.col("i").alias("a"), (F.col("i") + F.col("b.n")).alias("z"))
+    places = hits.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_set(found)).alias("all"))
+    kind = "array<struct<d:double,l:int,template:int,licence:string,a:int,z:int>>"
+    apart = lambda kept, x: F.when(F.exists(kept, lambda k: (k["a"] <= x["z"]) & (x["a"] <= k["z"])), kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.col("all").cast(kind), F.array().cast(kind), apart)
+    return places.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.licence", (-F.col("k.d")).alias("dice"))
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licence, n_units and dice (the best) of every licence whose template a unit of the document matches.
+    """doc_id, licence, n_units and dice (the best) of every licence whose template a unit of the document matches, or a window of its words.
 
     A unit is matched to the template of the highest coefficient, at least LEAST; of equal ones the first listed. Null and empty texts
-    and units of fewer than two words match nothing. Rows that repeat a doc_id are scanned together; units are counted once per document.
+    and units of fewer than two words match nothing. Rows that repeat a doc_id are scanned together; units are counted once per document. For a licence that
+    no unit matches n_units counts the places of its windows; ``scan_sql`` has the units only.
     """
     spark = docs.sparkSession
     rows = _rows()
@@ -90,11 +130,15 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     both = both.where(F.col("dice") >= float(LEAST))
     best = both.groupBy("doc_id", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template", "licence")).alias("m"))
     best = best.select("doc_id", "m.licence", (-F.col("m.d")).alias("dice"))
-    return best.groupBy("doc_id", "licence").agg(F.count(F.lit(1)).alias("n_units"), F.max("dice").alias("dice"))
+    count = [F.count(F.lit(1)).alias("n"), F.max("dice").alias("dice")]
+    sides = best.groupBy("doc_id", "licence").agg(*count).withColumn("side", F.lit(0))
+    sides = sides.unionByName(_in_windows(docs).groupBy("doc_id", "licence").agg(*count).withColumn("side", F.lit(1)))
+    out = sides.groupBy("doc_id", "licence").agg(F.min(F.struct("side", "n", "dice")).alias("m"))
+    return out.select("doc_id", "licence", F.col("m.n").alias("n_units"), F.col("m.dice").alias("dice"))
 
 
 def scan_sql() -> str:
-    """The same scan in DuckDB's SQL."""
+    """The scan of units in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {quote(name)}, [{', '.join(map(quote, grams))}])" for k, name, grams, _, _ in _rows())
     t = float(LEAST)
