@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
-#: Words kept per process, and the longest word kept; others are encoded again when they come up.
-KEPT_WORDS, KEPT_LENGTH = 1_500_000, 48
+#: Words of each of the two generations that a process keeps, and the longest word kept: some 70 MB at most, whatever the corpus. Others are
+#: encoded again when they come up; ids don't depend on it.
+KEPT_WORDS, KEPT_LENGTH = 150_000, 48
 #: All characters that Python takes for white space; the tokenizers' own lists are parts of it.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _MARKS = ".,!?;:#$%&*|)]}"
@@ -30,9 +30,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.spaces = spaces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
@@ -75,8 +76,26 @@ class Encoder:
             self.marks = {}
         return learnt | whole
 
+    def _keep(self, found: dict[str, bytes]) -> None:
+        """Words in use are kept: a full generation becomes the older one, of which only words that come up again go on."""
+        self.known.update((w, c) for w, c in found.items() if len(w) <= KEPT_LENGTH)
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
+        """The ids of each text, as bytes. Texts that hold the string of a special token are left to the library whole."""
+        out, at = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            low = text.lower()
+            if any(x in low for x in self.special):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                at.append(k)
+        for k, ids in zip(at, self._encode([texts[k] for k in at]), strict=True):
+            out[k] = ids
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out, lead = [], " " if self.spaces == "leading" else ""
         for a in range(0, len(texts), 256):
             cut = [self._split(t) for t in texts[a : a + 256]]
@@ -88,7 +107,8 @@ class Encoder:
             known = self.known
             found = [list(map(known.get, c)) for c in cut]
             new = {w for c, f in zip(cut, found, strict=True) if None in f for w, x in zip(c, f, strict=True) if x is None}
-            learnt = self._learn_words(new, lead)
+            learnt = {w: self.older[w] for w in new if w in self.older}
+            learnt |= self._learn_words(new.difference(learnt), lead)
             for k, f in enumerate(found):
                 if None in f:
                     found[k] = [learnt[w] if x is None else x for w, x in zip(cut[k], f, strict=True)]
@@ -96,9 +116,7 @@ class Encoder:
             if heads:
                 coded = [heads[f] + c for f, c in zip(first, coded, strict=True)]
             out += coded
-            known.update((w, c) for w, c in learnt.items() if len(w) <= KEPT_LENGTH)
-            if len(known) > KEPT_WORDS:
-                self.known = dict(islice(known.items(), KEPT_WORDS // 2))  # the words met first are the frequent ones
+            self._keep(learnt)
         return out
 
 
