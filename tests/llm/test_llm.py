@@ -104,6 +104,28 @@ def test_licences_inside_longer_texts(spark):
     assert got == {(1, "MIT"): (1, 1.0), (2, "Apache-2.0"): (2, 1.0), (3, "GPL-2.0"): (1, 1.0)}
 
 
+def test_licences_in_running_words_match_sql(spark, monkeypatch):
+    monkeypatch.setattr(licences, "BLOCK", 64)
+    rng, texts = random.Random(6), [t for _, t in licences.TEMPLATES]
+    rows = [(1, None), (2, ""), (3, "x"), (3, "mit license")]
+    for k in range(120):
+        w = prose(rng, rng.randint(0, 90)).split()
+        for t in rng.sample(texts, rng.randint(1, 3)):
+            t = t.split()
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(len(t))] = rng.choice(["the", "other", ""])
+            at = rng.randint(0, len(w))
+            w[at:at] = t[rng.choice([0, 0, 0, 1]) :]
+        rows.append((10 + k // 2, rng.choice([" ", " ", "\n", "\n# "]).join(w)))
+    rows += [(500, " ".join([texts[0], prose(rng, 40)] * 300)), rows[9]]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.sql(licences.scan_sql()).fetchall()
+    got = [tuple(r) for r in licences.licence_scan(table(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 40
+
+
 # 2 fingerprints
 
 
@@ -124,6 +146,11 @@ def test_fingerprints(spark, odd):
         a = shingle_set(text, 5)
         assert abs(r.near_edited - like(a, shingle_set(edited, 5))) < 0.15
         assert abs(r.near_next - like(a, shingle_set(after, 5))) < 0.15
+        e = shingle_set(edited, 5)
+        assert abs(r.n_distinct - len(a)) <= 0.25 * len(a)
+        assert abs(r.contained_edited - (len(a & e) / len(a) if a else 1)) < 0.2
+        both = sorted({*fingerprints.decode(r.fingerprint).tolist(), *fingerprints.decode(r.edited_fingerprint).tolist()})[: fingerprints.K]
+        assert fingerprints.decode(r.merged_fingerprint).tolist() == both
     assert fingerprints.fingerprint_documents(table(spark, [])).count() == 0
 
 
@@ -143,14 +170,22 @@ def test_fingerprints_merge(spark):
     assert got == {"g": fingerprints.encode(merged), None: fingerprints.encode(parts[0])}
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = [b"", prose(rng, 900).encode(), b"x" * 3000, b"a b", prose(rng, 3000).encode(), " ".join("é" * 40 for _ in range(90)).encode()]
+    read = lambda: [[w.tolist() for w in hashing.word_lists(texts)], [s.tolist() for s in hashing.shingle_sets(texts, 5)], [s.tolist() for s in fingerprints.sketches(texts)]]
+    whole = read()
+    monkeypatch.setattr(hashing, "CHUNK_BYTES", 700)
+    assert read() == whole and len(hashing.pieces(texts)[0]) > 20
+
+
 # 3 packing and 8 token files
 
 
 def test_tokens_match_the_library():
-    texts = ["", " ", "a  b\n c\t d ", "don't  stop now \x1c ok", "  lead", "tail  ", "x\n\n y", "é ̈a", "1234 56  ΑΣ Σ", "<|endoftext|> hi", "a  b", "\nfoo bar\n", "z" * 500]
+    texts = ["", " ", "a  b\n c\t d ", "don't  stop now \x1c ok", "  lead", "tail  ", "x\n\n y", "é ̈a", "1234 56  ΑΣ Σ", "<|endoftext|> hi", "a <|EndOfText|> b <|startoftext|>c", "a  b", "\nfoo bar\n", "z" * 500]
     for name, spaces in (("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading")):
         library = Tokenizer.from_file(public_tokenizers.path(name))
-        library.encode_special_tokens = True
         want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         e = tokens.Encoder(public_tokenizers.path(name), spaces)
         assert e.encode(texts) == want and e.encode(texts) == want
@@ -158,7 +193,6 @@ def test_tokens_match_the_library():
 
 def ids_of(name, texts, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes() for t in texts]
 
 
@@ -281,6 +315,18 @@ def test_near_duplicates(spark, odd, block, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == linked(rows, 3, 85)
 
 
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(5)
+    base = [prose(rng, 60) for _ in range(3)]
+    near = [t.replace(t.split()[9], "changed", 1) + " " for t in base]
+    rows = [(None, base[0]), (None, near[0]), (7, base[1]), (7, near[1]), (7, near[1]), (9, base[2]), (None, near[2]), (4, ""), (4, ""), (5, None), (None, None)]
+    docs = table(spark, rows)
+    out = near_dedup.keep_one(docs)
+    got = collections.Counter((r.doc_id, (r.text or "").strip()[:9]) for r in out.collect())
+    assert out.columns == docs.columns and sum(got.values()) == 6
+    assert {k: n for k, n in got.items() if k[0] in (4, 5, 7, 9)} == {(4, ""): 1, (5, ""): 1, (7, base[1][:9]): 1, (9, base[2][:9]): 1}
+
+
 def test_no_documents_no_duplicates(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     assert near_dedup.near_duplicates(table(spark, [(1, None), (2, "")])).where("kept").count() == 2
@@ -364,6 +410,112 @@ def test_copies_full_of_numbers_or_in_other_case(spark):
     assert got == {(1, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
 
 
+def test_short_and_slot_heavy_items(spark):
+    texts = ["In 2019 Paris had 12 km, 30 kg, 5 hours, 7 days, 9 mph, 44 usd.", "2 + 3", "What is 17 times 23?", "yes", "Solve for x"]
+    items = spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, text string")
+    rows = [(k, f"Some words before. {t} And some after it") for k, t in enumerate(texts, 1)]
+    rows += [(6, "So: What is 17 times 23?"), (7, "He asked (What is 18 times 25?) and left"), (8, "yes"), (9, "2, 3 and 2 3"), (10, "SOLVE  FOR x"), (11, "now solve for x")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (5, 5), (6, 3), (7, 3), (8, 4), (11, 5)}
+
+
+UNITS = set(decontaminate.UNITS)
+
+
+def canonical(text):
+    """The tokens of a text in three forms, each with its placeholders, and where they stand; by characters, not arrays."""
+    text = re.sub("[\u2018-\u201f\u2022]", '"', text)
+    text = re.sub("[\u2010-\u203f]", " ", text)
+    out, after = [], 0
+    for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7f]|(?<=[0-9])[.,](?=[0-9]))+", text):
+        raw, low = m[0], "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in m[0])
+        opens = not out or bool(re.search(r'[.!?\n:;"(\[{*]', text[after : m.start()]))
+        number = raw[0] in "0123456789"
+        unit = bool(out) and out[-1]["number"] and not opens and low in UNITS
+        capital = raw[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or ("\xc0" <= raw[0] <= "\xde" and len(raw.encode()) > 2)
+        name = capital and not opens and len(raw.encode()) > 1 and sum("A" <= c <= "Z" for c in raw) <= 1
+        out.append({"number": number, "unit": unit, "name": name and not unit and not number, "low": low, "span": m.span()})
+        after = m.end()
+    typed = lambda t: "#" if t["number"] else "U" if t["unit"] else None
+    forms = [[(typed(t) or ("N" if t["name"] else None) or t["low"], bool(typed(t)) or t["name"]) for t in out], [(typed(t) or t["low"], bool(typed(t))) for t in out], [(t["low"], False) for t in out]]
+    return text.lower(), out, forms
+
+
+def template_windows(text, size):
+    """(place, form, key, slots) of the windows of a text."""
+    low, tokens, forms = canonical(text)
+    if size < 4:
+        return [(p, 3, low[tokens[p]["span"][0] : tokens[p + size - 1]["span"][1]], []) for p in range(len(tokens) - size + 1) if size > 1 or len(tokens) == 1]
+    found = []
+    for p in range(len(tokens) - size + 1):
+        keys = [tuple(k for k, _ in f[p : p + size]) for f in forms]
+        fits = [2 * sum(s for _, s in f[p : p + size]) <= size for f in forms]
+        for k, f in enumerate(forms):
+            if fits[k] and not any(keys[j] == keys[k] and fits[j] for j in range(k)):
+                found.append((p, k, keys[k], [t["low"] for t, (_, s) in zip(tokens[p : p + size], f[p : p + size], strict=True) if s]))
+    return found
+
+
+def contaminated_by(text, item, cover=0.5, consistent=0.8):
+    n = len(canonical(item)[1])
+    size = min(8, n)
+    if not size:
+        return False
+    mine = template_windows(item, size)
+    worded = {p for p, f, *_ in mine if f in (0, 3)}
+    of, width, hits, seen = n - size + 1, max(2, n // 2), {}, set()
+    for pos, form, key, found in template_windows(text, size):
+        first = (key, *found) not in seen
+        seen.add((key, *found))
+        for at, f, k, slots in mine:
+            if k == key and (form == 3) == (f == 3) and len(slots) == len(found):
+                hits[at, pos] = min(hits.get((at, pos), (9,)), (form, first, slots, found))
+    places = collections.defaultdict(list)
+    for (at, pos), (_, first, slots, found) in hits.items():
+        shift = pos - at
+        for place in [(1, shift // width), (2, (shift + width // 2) // width)] + [(0, 0)] * first:
+            places[place].append((at, slots, found))
+    for rows in places.values():
+        w, n = len({a for a, *_ in rows if a in worded}), len({a for a, *_ in rows})
+        words = worded and w * of >= n * len(worded)
+        votes = collections.defaultdict(collections.Counter)
+        for _, slots, found in rows:
+            for s, f in zip(slots, found, strict=True):
+                votes[s][f] += 1
+        best, total = sum(max(c.values()) for c in votes.values()), sum(sum(c.values()) for c in votes.values())
+        if (w >= cover * len(worded) if words else n >= cover * of) and best >= consistent * total:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_contamination_matches_brute_force(spark, chunk, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
+    rng = random.Random(12)
+    names, units = ["Anna", "Bob", "\u00c9mile", "Zo\u00eb", "McKay"], sorted(UNITS)[:6]
+
+    def token():
+        r = rng.random()
+        return rng.choice(names) if r < 0.15 else str(rng.randint(1, 30)) + rng.choice(["", ".5", ",", " " + rng.choice(units)]) if r < 0.35 else rng.choice(["red", "house", "walks", "Then", "\u00fcber", "of", "the", "a"]) + rng.choice(["", "", "", ".", ":", "?", " \u201c", " \u2013"])
+
+    items = [" ".join(token() for _ in range(n)) for n in (1, 2, 3, 4, 6, 8, 9, 12, 20, 30, 45) for _ in range(2)] + ["house of the", ""]
+    rows = [(1, None), (2, ""), (3, "house of the")]
+    for k in range(90):
+        out = []
+        for _ in range(rng.randint(1, 5)):
+            copy = rng.choice(items).split(" ")
+            for _ in range(rng.randint(0, 3) if len(copy) > 3 else 0):
+                at = rng.randrange(len(copy))
+                copy[at] = token() if rng.random() < 0.5 else re.sub(r"\d+", str(rng.randint(1, 30)), copy[at])
+            text = " ".join(copy)
+            out += [rng.choice([str, str.lower, str.upper])(text) if rng.random() < 0.3 else text, " ".join(token() for _ in range(rng.randint(0, 40)))]
+        rows.append((10 + k, " ".join(out)))
+    bench = spark.createDataFrame([*enumerate(items), (3, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    want = {(d, k) for d, t in rows for k, i in enumerate(items) if t and contaminated_by(t, i)}
+    assert got == want and len(want) > 100
+
+
 def test_benchmark_passages_are_found(spark):
     docs, items = documents(spark), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in docs for i, s in items if s in (t or "")}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Buffer, as_bytes, chunks, text_shingles
+from .hashing import as_bytes, text_shingles, word_lists
 from .scratch import partitions, table
 
 K, SHINGLE, BITS = 256, 5, 48
@@ -32,10 +32,8 @@ def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def sketches(texts: list[bytes], k: int = K, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    for a, b in chunks(texts):
-        words, _, _, at = Buffer(texts[a:b]).words()
-        for i in range(b - a):
-            yield bottom(text_shingles(words[at[i] : at[i + 1]], size) >> np.uint64(64 - BITS), k)
+    for words in word_lists(texts):
+        yield bottom(text_shingles(words, size) >> np.uint64(64 - BITS), k)
 
 
 def encode(sketch: np.ndarray) -> str:
@@ -169,6 +167,9 @@ def _compare(rows: list[tuple[int | None, str]], after: str) -> Iterator[pa.Reco
             "edited_fingerprint": [encode(s) for s in new],
             "near_edited": [resemblance(a, b) for a, b in zip(own[:-1], new, strict=True)],
             "near_next": [resemblance(a, b) for a, b in zip(own[:-1], own[1:], strict=True)],
+            "n_distinct": [distinct_count(s) for s in own[:-1]],
+            "contained_edited": [containment(a, b) for a, b in zip(own[:-1], new, strict=True)],
+            "merged_fingerprint": [encode(merge(a, b)) for a, b in zip(own[:-1], new, strict=True)],
         }
     )
 
@@ -177,10 +178,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts.
 
     The edited text has its last third replaced by the start of the next document's text, in descending doc_id
-    order. Null texts are empty; an empty text has an empty fingerprint; texts of fewer words than a shingle are one shingle.
+    order. n_distinct estimates the text's distinct shingles, contained_edited the share of them that the edited text has, merged_fingerprint is that of
+    both texts together. Null texts are empty; an empty text has an empty fingerprint; texts of fewer words than a shingle are one shingle.
     Rows with equal doc_ids follow each other by text; null doc_ids come last. One document alone is its own next.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_edited double, merged_fingerprint string"
     return with_next(docs, _compare, schema)
 
 

@@ -7,6 +7,7 @@ in constant time, so neither words nor windows are visited one at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -62,6 +63,23 @@ def chunks(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The texts with very long ones cut at white space into pieces of about CHUNK_BYTES, and the text of each piece."""
+    out, owner = [], []
+    for i, text in enumerate(texts):
+        a = 0
+        while len(text) - a > 2 * CHUNK_BYTES and (cut := _BLANK.search(text, a + CHUNK_BYTES)):
+            out.append(text[a : cut.start()])
+            owner.append(i)
+            a = cut.start()
+        out.append(text[a:])
+        owner.append(i)
+    return out, np.array(owner, np.int64)
+
+
 class Buffer:
     """Texts end to end: ``bytes`` and ``ends``; text i is ``[ends[i], ends[i + 1])``."""
 
@@ -134,9 +152,20 @@ def as_bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
 
 
+def word_lists(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, in order."""
+    cut, owner = pieces(texts)
+    held: list[np.ndarray] = []
+    for a, b in chunks(cut):
+        words, _, _, at = Buffer(cut[a:b]).words()
+        for i in range(a, b):
+            held.append(words[at[i - a] : at[i - a + 1]])
+            if i + 1 == len(cut) or owner[i + 1] != owner[i]:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+
+
 def shingle_sets(texts: Sequence[bytes], size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles."""
-    for a, b in chunks(texts):
-        words, _, _, at = Buffer(texts[a:b]).words()
-        for i in range(b - a):
-            yield np.unique(text_shingles(words[at[i] : at[i + 1]], size))
+    for words in word_lists(texts):
+        yield np.unique(text_shingles(words, size))

@@ -2,8 +2,8 @@
 
 1. Texts with equal shingle sets form a class; one row of each class goes on.
 2. One permutation of the shingle hashes is cut into BINS bins; the least value of each is kept, empty bins borrow
-   from others (optimal densification).  ROWS minima make a band key, as many bands as MISSED asks for, and
-   the low BITS bits of all minima are packed as the signature.
+   from others (optimal densification).  Some minima make a band key, as many bands as MISSED asks for, of as many minima as
+   the bins allow then; the low BITS bits of all minima are packed as the signature.
 3. Within each band bucket every member is paired with its least and its greatest member. Pairs whose estimated
    similarity is near the threshold or above are confirmed on full shingle sets, confirmed ones linked.
 4. Buckets that still hold several components are compared in blocks: members of different components only. Signatures tell
@@ -28,9 +28,9 @@ from .components import components
 from .hashing import as_bytes, mix, shingle_sets
 from .scratch import materialise, partitions, row_key, table
 
-BINS, BITS, ROWS, MISSED = 512, 4, 4, 1e-7
+BINS, BITS, MISSED = 512, 4, 1e-7
 MARGIN = 0.08
-BLOCK = 512
+BLOCK = 1024
 _U = np.uint64
 _LANES = (np.arange(1, BINS + 1, dtype=np.uint64)) * _U(0x9E3779B97F4A7C15)
 
@@ -56,13 +56,18 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(least: int) -> int:
-    """How many bands miss a pair at the threshold with probability MISSED at most."""
-    return min(BINS // ROWS, math.ceil(math.log(MISSED) / math.log(1 - (least / 100) ** ROWS)))
+def bands(least: int) -> tuple[int, int]:
+    """How many bands of how many minima: the longest ones (fewest chance meetings) that miss a pair at the threshold with probability MISSED at most."""
+    fits = []
+    for rows in range(1, 17):
+        n = math.ceil(math.log(MISSED) / math.log(1 - (least / 100) ** rows)) if least < 100 else 1
+        if n * rows <= BINS:
+            fits.append((n, rows))
+    return fits[-1]
 
 
-def band_keys(m: np.ndarray, n: int) -> np.ndarray:
-    keys = m[: n * ROWS].reshape(n, ROWS) * _LANES[:ROWS]
+def band_keys(m: np.ndarray, n: int, rows: int) -> np.ndarray:
+    keys = m[: n * rows].reshape(n, rows) * _LANES[:rows]
     return mix(keys.sum(1) + _LANES[:n]).view(np.int64)
 
 
@@ -80,7 +85,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal / BINS - chance) / (1 - chance)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int, n_bands: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, h1, h2, sig, keys = [], [], [], [], []
         for s in shingle_sets(as_bytes(batch.column("text").to_pylist()), size):
@@ -89,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, n_bands: int) -> Itera
             h2.append(int(np.add.reduce(mix(s), dtype=np.uint64).view(np.int64)))
             m = minima(s) if len(s) else None
             sig.append(None if m is None else pack(m))
-            keys.append(None if m is None else band_keys(m, n_bands))
+            keys.append(None if m is None else band_keys(m, *shape))
         yield pa.RecordBatch.from_arrays(
             [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             names=["rid", "doc_id", "n", "h1", "h2", "sig", "bands"],
@@ -230,21 +235,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, least: int = 85) -> DataFram
     are all kept if their id is the smallest; a null doc_id takes part in links but is never the smallest
     (alone, it has a null component and is kept). Extra columns are ignored.
     """
+    return _components(docs, size, least).drop("group")
+
+
+def _components(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """near_duplicates with ``group``, the same number for all rows that links join; null for rows without words."""
     docs = docs.select("doc_id", "text").withColumn("rid", row_key("doc_id", "text"))
-    n_bands = bands(least)
-    schema = "rid long, doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"
-    rows = materialise(docs.mapInArrow(lambda it: _sketch(it, size, n_bands), schema), "sketches")
+    shape = bands(least)
+    schema = "rid struct<a:long,b:long>, doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"
+    rows = materialise(docs.mapInArrow(lambda it: _sketch(it, size, shape), schema), "sketches")
     full = rows.where("n > 0")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("rid").alias("id"), F.min("doc_id").alias("first_doc"))
-    members = materialise(full.select("rid", "doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).drop("h1", "h2"), "members")
-    heads = members.where("rid = id").select("id", "n", "first_doc").distinct()
-    sketches = full.select(F.col("rid").alias("id"), "sig", "bands").dropDuplicates(["id"]).join(heads, "id")
+    classes = full.groupBy("h1", "h2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"))
+    heads = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers, so no two classes meet by chance
+    sketches = full.select("rid", "sig", "bands").join(heads.select("rid", "id", "n"), "rid").drop("rid").dropDuplicates(["id"])
     sketches = materialise(sketches, "class-sketches")
     banded = sketches.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     banded = materialise(banded.join(buckets, "key"), "buckets")
     asked = banded.select("id").distinct()
-    sets = docs.withColumnRenamed("rid", "id").join(asked, "id").select("id", "text").mapInArrow(lambda it: _sets(it, size), "id long, members array<long>")
+    sets = docs.select("rid", "text").join(heads.select("rid", "id").join(asked, "id"), "rid").select("id", "text").mapInArrow(lambda it: _sets(it, size), "id long, members array<long>")
     sets = materialise(sets.dropDuplicates(["id"]), "sets")
     stars = banded.select(F.explode(F.array("low", "high")).alias("a"), F.col("id").alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -275,18 +284,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, least: int = 85) -> DataFram
         labels = materialise(components(links.unionByName(more)), "labels")
     grouped = heads.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_doc = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = grouped.join(least_doc, "component").select("id", "component_id")
-    linked = members.join(named, "id").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = grouped.join(least_doc, "component").select("id", "component", "component_id")
+    linked = full.select("rid", "doc_id", "h1", "h2", "n").join(heads.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).join(named, "id")
+    linked = linked.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("component").alias("group"))
+    none = F.lit(None).cast("long").alias("group")
+    alone = rows.where("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), none)
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
-    """The rows of docs that stay when one of each group of near duplicates does, with all their columns."""
-    stays = near_duplicates(docs, size, least).where("kept").select(F.col("rid").alias("_stays")).distinct()
-    keyed = docs.withColumn("_stays", row_key("doc_id", "text")).dropDuplicates(["_stays"])
-    return keyed.join(stays, "_stays", "left_semi").drop("_stays")
+    """One row of each group of near duplicates, that of the least doc_id (null last), with all its columns.
+
+    Rows without words stay; rows that repeat a doc_id and text are one document, of which one row stays.
+    """
+    found = _components(docs, size, least)
+    first = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("m"))
+    stays = first.select("m.rid").unionByName(found.where("group is null").select("rid").distinct())
+    rows = docs.select(row_key("doc_id", "text").alias("rid"), F.struct(*docs.columns).alias("row"))
+    return rows.join(stays, "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

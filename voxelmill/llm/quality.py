@@ -7,7 +7,8 @@
 * A two-layer network in NumPy is fitted on the driver to at most SAMPLE labelled documents, and the temperature of its
   logits to a fifth of them that it didn't see.
 
-The sample bound is the only one; the vectors come from all texts and all documents are scored.
+The sample bound is the only one; the vectors come from all texts and all documents are scored. Very long texts are read in
+pieces of a MB; words on both sides of a cut aren't neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Buffer, as_bytes, chunks
+from .hashing import Buffer, as_bytes, chunks, pieces
 from .scratch import partitions, table
 
 WORDS, FORMS, DIM, NONZERO, WINDOW = 1 << 14, 1 << 10, 32, 4, 2
@@ -68,7 +69,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add(total, np.bincount(cells, sign[near].ravel(), minlength=len(total)), out=total)
 
     for batch in batches:
-        texts = as_bytes(batch.column("text").to_pylist())
+        texts, _ = pieces(as_bytes(batch.column("text").to_pylist()))
         for a, b in chunks(texts):
             word, form, at = _slots(Buffer(texts[a:b]))
             owner = np.searchsorted(at, np.arange(len(word)), side="right")
@@ -106,15 +107,18 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 def pool(texts: list[bytes], context: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The pooled vectors of texts, zero for those without words."""
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    for a, b in chunks(texts):
-        word, form, at = _slots(Buffer(texts[a:b]))
+    out, words = np.zeros((len(texts), WIDTH), np.float32), np.zeros(len(texts), np.int64)
+    cut, owner = pieces(texts)
+    for a, b in chunks(cut):
+        word, form, at = _slots(Buffer(cut[a:b]))
         n = np.diff(at)
         some = np.flatnonzero(n)
         if len(some):
+            words_of = owner[a + some]
+            np.add.at(words, words_of, n[some])
             for k, (source, slot) in enumerate(((context, word), (context, form), (index, form))):
-                out[a + some, k * DIM : (k + 1) * DIM] = np.add.reduceat(source[slot], at[some], axis=0) / n[some, None]
-    return out
+                np.add.at(out[:, k * DIM : (k + 1) * DIM], words_of, np.add.reduceat(source[slot], at[some], axis=0))
+    return out / np.maximum(words, 1)[:, None].astype(np.float32)
 
 
 class Network:
@@ -174,7 +178,7 @@ class Classifier:
     """Fitted to the labels of some documents and the texts of all.
 
     Only labels of documents that aren't held out are learnt, at most ``sample`` of them, chosen by a hash of the id. Several labels of a document are
-    averaged; null labels and labels without a document are passed over. With one kind of label or none every score is that label's, or 1.
+    averaged, of several texts with one id that of the least vector counts; null labels and labels without a document are passed over. With one kind of label or none every score is that label's, or 1.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -193,7 +197,7 @@ class Classifier:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
         rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, x binary")
-        rows = rows.orderBy("doc_id", "x").limit(2 * sample).collect()
+        rows = rows.groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # a row of each labelled id, so ``sample`` at most
         y = np.array([r.y for r in rows], float)
         self.only = float(y[0]) if len(y) else 1.0
         self.network = None

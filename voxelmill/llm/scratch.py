@@ -85,9 +85,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row; rows equal in all these columns share it. Nulls count as a value of their own."""
+    """A 128-bit key of a row, a struct; rows equal in all these columns share it. Nulls count as a value of their own."""
     parts = [c for name in columns for c in (F.col(name).isNull(), F.col(name))]
-    return F.xxhash64(*parts)
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
 def number_rows(df: DataFrame, groups: list[str], order: list[str], salt: Column, salts: int, name: str) -> DataFrame:

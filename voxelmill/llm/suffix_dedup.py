@@ -2,22 +2,23 @@
 
 Every passage of ``size`` bytes that starts at two or more places of the corpus
 marks the bytes it covers.  Sorting all suffixes would move each byte of text
-many times over, so suffixes that cannot repeat are put aside first, exactly:
+many times over, so suffixes that cannot repeat are put aside first, exactly, and those that repeat together go as one row:
 
 * Each window of ``size`` bytes has one *anchor*: the K-byte string in it of least
   hash (leftmost if tied).  Equal windows have equal anchors at equal offsets,
   so a window whose anchor string is unique in the corpus cannot repeat.
-* Consecutive windows with one anchor form an interval.  If its whole *hull* occurs
-  twice around equal anchors, all its windows repeat and need no sorting.
-* Only intervals whose anchor repeats but whose hull does not are sorted window by
-  window, together with one representative of each repeated hull of that anchor.
-
-Those suffixes are range-partitioned by their leading token at splitters that Spark samples,
-each bucket is sorted by multikey quicksort and neighbours are compared. A token is
-the hash of a 100-byte block. Splitters are leading tokens, so that suffixes with the same leading
-token share a bucket; the first suffix of a bucket therefore never equals the last of the one before.
-Equal anchors and windows within one batch of texts are combined before any shuffle, as hot passages would
-otherwise meet in one task.
+* Consecutive windows with one anchor form a *run*, a packed row of suffixes with two leading tokens: the anchor and the
+  whole *hull* of the run.  Runs are range-partitioned by their tokens, each bucket is sorted and neighbours are compared. Equal
+  runs repeat in all their windows; runs alone with their anchor can't repeat.
+* The other runs are unpacked, with one representative of each repeated run of their anchor: each suffix has two tokens,
+  the hashes of its first BLOCK bytes and of the rest up to ``size``.  They are range-partitioned, sorted and compared likewise.
+
+Splitters are sampled by Spark from leading tokens and, as the last part of the key, places: so a passage that is everywhere is dealt over many buckets.
+Each bucket is sorted by multikey quicksort, and the first and last suffix of each bucket are compared with those of the others.
+Equal runs and windows within one batch of texts are combined before any shuffle. Runs at the ends of a bucket are always
+unpacked, as their bucket can't tell that they are alone.
+
+Equality is that of hashes: 128 bits of a run, 96 bits of a window.
 """
 
 from __future__ import annotations
@@ -173,10 +174,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rid", "n", "t1", "rest"])
 
 
-def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
+def multikey_quicksort(tokens: list[np.ndarray], small: int = 1024) -> np.ndarray:
     """The order that sorts rows by their tokens: three-way partition by one token at a time.
 
-    Rows less or greater than the pivot are sorted on by the same token, equal rows by the next one.
+    Rows less or greater than the pivot are sorted on by the same token, equal rows by the next one, runs of up to ``small`` rows at once.
     """
     order = np.arange(len(tokens[0]))
     todo = [(0, len(order), 0)]
@@ -197,36 +198,81 @@ def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarra
     return order
 
 
+def _heads(*tokens: np.ndarray) -> np.ndarray:
+    """Marks the first row of each group of equal rows, from sorted tokens."""
+    new = np.ones(len(tokens[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([t[1:] != t[:-1] for t in tokens])
+    return new
+
+
+def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray] | None:
+    parts = list(batches)
+    return [pa.chunked_array([b.column(c) for b in parts]).to_numpy() for c in names] if parts else None
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorts one range of runs: byte spans of those equal to a neighbour, and the runs that are to be unpacked (``open``)."""
+    cols = _columns(batches, ("rid", "start", "n", "anchor", "hull", "weight"))
+    if cols is None:
+        return
+    order = multikey_quicksort(cols[3:5])
+    rid, start, n, anchor, hull, weight = (c[order] for c in cols)
+    first_a, first_h = _heads(anchor), _heads(anchor, hull)
+    of_a, of_h = np.cumsum(first_a) - 1, np.cumsum(first_h) - 1
+    times = np.bincount(of_h, weight)
+    again = (times[of_h] > 1) & (weight == 1)  # rows that stand for several have their spans already
+    head = np.flatnonzero(first_h)
+    in_a = of_a[head]
+    total, alone = np.bincount(in_a, times), np.bincount(in_a, times == 1)
+    unpack = (total > 1) & (alone > 0)
+    unpack[[0, -1]] = True
+    ask = head[unpack[in_a]]
+    pick = np.concatenate([np.flatnonzero(again), ask])
+    marks = np.arange(len(pick)) >= len(pick) - len(ask)
+    length = np.where(marks, n[pick], n[pick] - 1 + size)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (marks, rid[pick], start[pick], length.astype(np.int32))], names=["open", "rid", "start", "n"])
+
+
 _SPAN = np.dtype([("rid", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_EDGE = pa.struct([("t1", pa.int64()), ("t2", pa.int64()), ("alone", pa.bool_()), ("rid", pa.int64()), ("start", pa.int32())])
+_BUCKET = "part int, spans binary, edge struct<t1:long,t2:long,alone:boolean,rid:long,start:int>"
 
 
 def _bucket(batches: Iterator[pa.RecordBatch], size: int, parts_out: int) -> Iterator[pa.RecordBatch]:
-    """Sorts one range of suffixes and yields the spans of those equal to a neighbour, packed by the part of their text."""
-    parts = list(batches)
-    if not parts:
+    """Sorts one range of suffixes: the spans of those equal to a neighbour, packed by the part of their text, and its first and last suffix
+    for the comparison across boundaries."""
+    cols = _columns(batches, ("rid", "n", "t1", "rest"))
+    if cols is None:
         return
-    t = pa.Table.from_batches(parts)
-    rid, n, t1, rest = (t.column(c).to_numpy() for c in ("rid", "n", "t1", "rest"))
+    rid, n, t1, rest = cols
     done = n > 0
     found = [(rid[done], rest[done], rest[done] + n[done])]
     rid, t1, rest = rid[~done], t1[~done], rest[~done].view(np.uint64)
     t2 = rest >> np.uint64(32)
     order = multikey_quicksort([t1, t2])
-    rid, t1, t2, place = rid[order], t1[order], t2[order], rest[order] & np.uint64(0xFFFFFFFF)
-    same = np.zeros(len(rid) + 1, bool)
-    same[1:-1] = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1])
-    again = (place & np.uint64(1) == 0) & (same[1:] | same[:-1])
-    start = (place[again] >> np.uint64(1)).astype(np.int64)
-    found.append(_spans(rid[again], start, start + size))
+    rid, t1, t2, place = rid[order], t1[order], t2[order].astype(np.int64), rest[order] & np.uint64(0xFFFFFFFF)
+    new = _heads(t1, t2)
+    same = np.append(~new, False)
+    open_ = place & np.uint64(1) == 0
+    start = (place >> np.uint64(1)).astype(np.int64)
+    again = open_ & (same[1:] | same[:-1])
+    found.append(_spans(rid[again], start[again], start[again] + size))
     a, b, c = map(np.concatenate, zip(*found, strict=True))
     rows = np.zeros(len(a), _SPAN)
     rows["rid"], rows["start"], rows["n"] = a, b, c - b
     part = (mix(a.view(np.uint64)) % np.uint64(parts_out)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
-    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(_heads(part))
     packed = [x.tobytes() for x in np.split(rows, heads[1:])] if len(heads) else []
-    yield pa.RecordBatch.from_arrays([pa.array(part[heads], pa.int32()), pa.array(packed, pa.binary())], names=["part", "spans"])
+    ends = sorted({0, int(np.flatnonzero(new)[-1])}) if len(rid) else []
+    alone = open_ & ~again
+    edges = [{"t1": int(t1[k]), "t2": int(t2[k]), "alone": bool(alone[k]), "rid": int(rid[k]), "start": int(start[k])} for k in ends]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([*part[heads].tolist(), *[0] * len(edges)], pa.int32()), pa.array(packed + [None] * len(edges), pa.binary()), pa.array([None] * len(packed) + edges, _EDGE)],
+        names=["part", "spans", "edge"],
+    )
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,31 +285,36 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
     """Byte spans (rid, start, n), not yet united, of repeated passages. docs: rid, text."""
+    n = partitions(docs.sparkSession)
     anchors = materialise(docs.select("rid", "text").mapInArrow(lambda it: _anchors(it, size), _ANCHORS), "anchors")
-    keyed = anchors.where("weight > 0")
-    often = keyed.groupBy("anchor").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor")
-    repeated = materialise(keyed.join(often, "anchor"), "repeated")
-    hulls = repeated.groupBy("anchor", "hull").agg(
-        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("rid", "start", "n")).alias("one")
-    )
-    open_ = hulls.where("total = 1").groupBy("anchor").agg(F.count(F.lit(1)).alias("open"))
-    asked = hulls.join(open_, "anchor").select("one.*")
-    whole = repeated.where("weight = 1").join(hulls.where("rows > 1").select("anchor", "hull"), ["anchor", "hull"])
-    whole = whole.select("rid", "start", (F.col("n") - 1 + size).alias("n"))
-    found = materialise(anchors.where("weight = 0").select("rid", "start", "n").unionByName(whole), "whole-spans")
-    asked = materialise(asked, "asked")
+    ranged = anchors.where("weight > 0").repartitionByRange(n, "anchor", "hull", "rid")
+    runs = materialise(ranged.mapInArrow(lambda it: _runs(it, size), "open boolean, rid long, start int, n int"), "runs")
+    within = materialise(anchors.where("weight = 0").select("rid", "start", "n"), "batch-spans")
     drop(anchors)
-    drop(repeated)
-    del keyed, often, hulls, open_, whole, anchors, repeated
-    per_text = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    del anchors, ranged
+    per_text = runs.where("open").groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
     suffixes = docs.select("rid", "text").join(per_text, "rid").mapInArrow(lambda it: _suffixes(it, size), _SUFFIXES)
-    n = partitions(docs.sparkSession)
-    spans = suffixes.repartitionByRange(n, "t1").mapInArrow(lambda it: _bucket(it, size, n), "part int, spans binary")
-    spans = materialise(spans.repartitionById(n, "part").mapInArrow(_unite, "rid long, start int, n int"), "window-spans")
-    drop(asked)
-    del asked, per_text, suffixes
+    buckets = materialise(suffixes.repartitionByRange(n, "t1", "rest").mapInArrow(lambda it: _bucket(it, size, n), _BUCKET), "buckets")
+    del per_text, suffixes
+    packed = buckets.where("spans is not null").select("part", "spans")
+    spans = materialise(packed.repartitionById(n, "part").mapInArrow(_unite, "rid long, start int, n int"), "window-spans")
+    # The first and last suffixes of all buckets, two of each: those that equal one of another bucket.
+    edges = buckets.where("edge is not null").select("edge.*")
+    twice = edges.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    across = edges.where("alone").join(twice, ["t1", "t2"]).select("rid", "start", F.lit(size).alias("n"))
     free(docs.sparkSession)
-    return found.unionByName(spans)
+    return within.unionByName(runs.where("not open").drop("open")).unionByName(spans).unionByName(across)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (text, key: 128 bits) with ``rid``, 64 bits that tell all keys apart.
+
+    It is half of the key, save for those few keys (n * n / 2**65 of n rows) that share that half with another one.
+    """
+    met = docs.groupBy("key.a").agg(F.min("key.b").alias("x"), F.max("key.b").alias("y")).where("x <> y")
+    shared = [r[0] for r in met.select("a").collect()]
+    other = F.xxhash64(F.lit(2), "key.b")
+    return docs.withColumn("rid", F.when(F.col("key.a").isin(shared), other).otherwise(F.col("key.a")) if shared else F.col("key.a")).drop("key")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +343,9 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ("
     A byte is removed if a passage of ``size`` bytes that covers it starts anywhere else too, in the
     same document included; passages never cross documents. Null texts are empty, texts shorter than ``size``
     stay whole. Rows with equal doc_id and text are documents of their own, so that both lose all
-    repeated bytes. A null doc_id is kept. ``kept`` may break a UTF-8 character.
+    repeated bytes. A null doc_id is kept. ``kept`` may break a UTF-8 character. A task holds one whole text at a time, with some tens of bytes for each of its bytes.
     """
-    docs = docs.select(F.struct(*carry).alias("row"), "text", row_key("doc_id", "text").alias("rid"))
+    docs = numbered(docs.select(F.struct(*carry).alias("row"), "text", row_key("doc_id", "text").alias("key")))
     spans = repeated_spans(docs, size).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     counts = "n_bytes long, n_removed long, n_spans long, kept binary"
     schema = f"row {docs.schema['row'].dataType.simpleString()}, {counts}"
