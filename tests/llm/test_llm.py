@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import datetime
 import glob
 import hashlib
 import math
@@ -600,20 +601,29 @@ def test_no_repeats(spark):
 # 10 WARC
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_warc(spark, small, monkeypatch):
+    if small:
+        for name, value in (("RUN", 3), ("LINES", 2), ("FAN", 2)):
+            monkeypatch.setattr(warc, name, value)
     big = "<p>" + "é" * 700 + "</p>"
     rows = [(1, "http://www.A.com:80/x?b=1#f", big), (2, None, big), (3, "https://a.com/x", "small"), (4, "https://a.com/x", "small"), (5, "not a url", None), (6, "http://b.org/", big + " "), (7, "http://a.com/y", big), (7, "http://a.com/y", big), (None, "http://c.com", big), (9, "http://[bad", "")]
+    rows += [(100 + k, f"http://s{k % 5}.net/{k * 37 % 11}", f"page {k}") for k in range(40)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     index, records = warc.archive_pages(spark, pages)
-    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records.collect())
+    found = records.collect()
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found)
     want = collections.Counter()
     for page_id, _, html in rows:
         b = (html or "").encode()
         refers = 7 if html == big and page_id != 7 else None
         want[page_id, len(b), hashlib.sha1(b).hexdigest(), "revisit" if refers else "response", refers] += 1
     assert got == want
-    keys = [(r.key, r.stamp, r.page_id) for r in index.orderBy("part").collect()]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    stamp = lambda i: (datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    order = sorted((warc.url_key(u), stamp(i), -1 if i is None else i) for i, u, _ in rows)
+    entries = sorted(index.collect(), key=lambda r: r.position)
+    assert [r.position for r in entries] == list(range(len(rows))) and [(r.key, r.stamp, r.page_id) for r in entries] == order
+    assert [(r.url_key, r.capture_stamp) for r in sorted(found, key=lambda r: r.position)] == [x[:2] for x in order]
     assert warc.archive_pages(spark, pages.limit(0))[1].count() == 0
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import CHUNK_BYTES, Buffer, as_bytes, chunks, mix, shingles
-from .scratch import materialise, row_key, table
+from .scratch import materialise, row_key, slices, table
 
 WINDOW, LEAST_TOKENS = 8, 4
 #: Forms of windows: with all placeholders, with those of numbers and units, without any, and the letters of a short item as they stand.
@@ -282,7 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, co
     seen = spark.sparkContext.broadcast(_filter(items))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = list(_hits(as_bytes(batch.column("text").to_pylist()), sizes, seen.value))
             at, *cols = zip(*out, strict=True) if out else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.bool_())

@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text worked on at once: it bounds a task's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import as_bytes, mix, shingle_sets
-from .scratch import materialise, partitions, row_key, table
+from .scratch import materialise, partitions, row_key, slices, table
 
 BINS, BITS, MISSED = 512, 4, 1e-7
 MARGIN = 0.08
@@ -86,7 +86,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, h1, h2, sig, keys = [], [], [], [], []
         for s in shingle_sets(as_bytes(batch.column("text").to_pylist()), size):
             n.append(len(s))
@@ -102,7 +102,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, shape: tuple[int, int]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = list(shingle_sets(as_bytes(batch.column("text").to_pylist()), size))
         full = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), full], names=["id", "members"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, number_rows, partitions, table
+from .scratch import materialise, number_rows, partitions, slices, table
 from .tokens import encoder
 
 ROOM, END_OF_TEXT = 4096, 1
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str = "dropped", room: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaces).encode
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             coded = encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):

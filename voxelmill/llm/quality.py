@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Buffer, as_bytes, chunks, pieces
-from .scratch import partitions, table
+from .scratch import partitions, slices, table
 
 WORDS, FORMS, DIM, NONZERO, WINDOW = 1 << 14, 1 << 10, 32, 4, 2
 SLOTS, SLICES = WORDS + FORMS, 17
@@ -68,7 +68,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = (of[:, None] * DIM + place[near]).ravel()
         np.add(total, np.bincount(cells, sign[near].ravel(), minlength=len(total)), out=total)
 
-    for batch in batches:
+    for batch in slices(batches):
         texts, _ = pieces(as_bytes(batch.column("text").to_pylist()))
         for a, b in chunks(texts):
             word, form, at = _slots(Buffer(texts[a:b]))
@@ -192,7 +192,7 @@ class Classifier:
 
         def vectors(batches):
             index = index_vectors()
-            for batch in batches:
+            for batch in slices(batches):
                 x = pool(as_bytes(batch.column("text").to_pylist()), contexts.value, index)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     score = Classifier(docs, labels, sample).scorer()
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             scores = score(as_bytes(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -241,7 +241,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = Classifier(docs, labels).scorer()
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(score(as_bytes(batch.column("text").to_pylist())) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

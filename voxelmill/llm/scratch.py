@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,30 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
 
 
+#: Bytes of a batch that a task works on at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SLICE_BYTES, so that long texts don't add up to large lists. When a task ends, it gives the memory it freed back to the machine."""
+    try:
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for a in range(0, batch.num_rows, step):
+                yield batch.slice(a, step)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir; only where that is unset on one machine, as in tests, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voxelmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Buffer, as_bytes, chunks, mix
-from .scratch import drop, free, materialise, partitions, row_key
+from .scratch import drop, free, materialise, partitions, row_key, slices
 
 K = 50
 BLOCK = 100
@@ -144,7 +144,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     """The suffixes of the asked intervals: a token of the first bytes, and in ``rest`` 32 bits of the next token, the place and
     whether it stands for several. Rows with n are spans that repeat within the batch: ``rest`` is their start, t1 any value.
     """
-    for batch in batches:
+    for batch in slices(batches):
         rids = batch.column("rid").to_numpy(zero_copy_only=False)
         texts, asked = as_bytes(batch.column("text").to_pylist()), batch.column("asked")
         starts = [np.array(x.values.field("start")) for x in asked]
@@ -318,7 +318,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, spans = as_bytes(batch.column("text").to_pylist()), batch.column("spans")
         n_removed, n_spans, left = [], [], []
         for text, found in zip(texts, spans, strict=True):
@@ -337,6 +337,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), *counts, pa.array(left, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _with_spans(docs: DataFrame, size: int, carry: tuple[str, ...]) -> DataFrame:
+    docs = numbered(docs.select(F.struct(*carry).alias("row"), "text", row_key("doc_id", "text").alias("key")))
+    spans = repeated_spans(docs, size).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return docs.join(spans, "rid", "left").select("row", "text", "spans")
+
+
 def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``row`` (a struct of the carried columns), n_bytes, n_removed, n_spans and ``kept``: the bytes left of each document's UTF-8 text.
 
@@ -345,25 +351,23 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ("
     stay whole. Rows with equal doc_id and text are documents of their own, so that both lose all
     repeated bytes. A null doc_id is kept. ``kept`` may break a UTF-8 character. A task holds one whole text at a time, with some tens of bytes for each of its bytes.
     """
-    docs = numbered(docs.select(F.struct(*carry).alias("row"), "text", row_key("doc_id", "text").alias("key")))
-    spans = repeated_spans(docs, size).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    counts = "n_bytes long, n_removed long, n_spans long, kept binary"
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, {counts}"
-    return docs.join(spans, "rid", "left").mapInArrow(_cut, schema)
+    marked = _with_spans(docs, size, carry)
+    return marked.mapInArrow(_cut, f"row {marked.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     """docs with repeated passages cut from ``text`` and n_chars set anew; characters broken by a cut go. Documents of which nothing is left go."""
     carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    left = remove_repeats(docs, size, carry)
+    marked = _with_spans(docs, size, carry)
 
     def decode(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+        for batch in _cut(batches):
+            kept, removed = batch.column("kept").to_pylist(), batch.column("n_removed").to_pylist()
+            some = [k for k, (b, n) in enumerate(zip(kept, removed, strict=True)) if b or not n]
+            texts = [kept[k].decode("utf-8", "ignore") for k in some]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(some, pa.int64())), pa.array(texts, pa.string())], names=["row", "text"])
 
-    left = left.where("n_removed = 0 or length(kept) > 0").select("row", "kept")
-    out = left.mapInArrow(decode, f"row {left.schema['row'].dataType.simpleString()}, text string")
+    out = marked.mapInArrow(decode, f"row {marked.schema['row'].dataType.simpleString()}, text string")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     known = {c: F.col(f"row.`{c}`").alias(c) for c in carry}
