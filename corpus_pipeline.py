@@ -14,25 +14,45 @@ from voxelmill.llm.packing import pack_documents
 from voxelmill.llm.quality import keep_good
 from voxelmill.llm.scratch import new_folder, table
 from voxelmill.llm.suffix_dedup import without_repeats
+from voxelmill.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labels of sf_dir and the texts of docs, scores a half or more.
+
+    A null or empty text has the score of no words; without labels all stay. Repeated rows are scored each, an empty table gives an empty one.
+    """
+    ship(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.8 and more over five-word shingles join: that of the least doc_id, null last.
+
+    Documents without words stay; of rows that repeat a doc_id and text one stays.
+    """
+    ship(spark)
     return keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 200 bytes that start at two places or more; those of which nothing is left go.
+
+    A null text becomes empty; n_chars counts what is left.
+    """
+    ship(spark)
     return without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of sf_dir's benchmark is found, as it is or with other numbers, names and units. Null and empty texts stay."""
+    ship(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 4096 tokens. A null or empty text is one token; repeated rows are packed each."""
+    ship(spark)
     return pack_documents(docs)
 
 
@@ -49,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir, each written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
