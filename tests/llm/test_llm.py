@@ -544,13 +544,46 @@ def test_sharding(spark, odd):
     assert sharding.shard_documents(table(spark, [])).count() == 0
 
 
+def placed(shares, shards):
+    """The rule item by item, without arrays."""
+    room, out = [[1 / shards] * 3 for _ in range(shards)], [0] * len(shares)
+    for k in sorted(range(len(shares)), key=lambda k: (-max(shares[k]), k)):
+        dots = [sum(a * b for a, b in zip(r, shares[k], strict=True)) for r in room]
+        best = max(range(shards), key=lambda s: (round(dots[s], 15), -s))
+        out[k] = best
+        room[best] = [a - b for a, b in zip(room[best], shares[k], strict=True)]
+    return out
+
+
 def test_placing_is_even():
     rng = np.random.default_rng(0)
     items = rng.pareto(2, (4000, 3))
     items /= items.sum(0)
-    where = sharding.place(items, 10)
+    where = sharding.place(items, np.full((10, 3), 0.1))
     sums = np.array([items[where == k].sum(0) for k in range(10)])
     assert sums.max() < 0.105 and sums.min() > 0.095
+    few = items[:60] / items[:60].sum(0)
+    assert sharding.place(few, np.full((7, 3), 1 / 7)).tolist() == placed(few.tolist(), 7)
+
+
+@pytest.mark.parametrize("small", [400, 1])
+def test_shards_are_even(spark, small, monkeypatch):
+    monkeypatch.setattr(sharding, "SMALL", small)  # 1: nearly all groups are placed by tasks
+    rng = random.Random(7)
+    rows = [(k, "one text of many rows") for k in range(1500)] + [(9, "again and again")] * 900 + [(5000 + k, "") for k in range(600)]
+    rows += [(7000 + k, prose(rng, min(400, int(rng.lognormvariate(3, 1))))) for k in range(3000)]
+    got = sharding.shard_documents(table(spark, rows), 10).collect()
+    size, count, where = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        count[r.shard] += 1
+        where[r.text_crc32].add(r.shard)
+    mean = sum(size.values()) / 10
+    assert len(got) == len(rows) and max(size.values()) < 1.05 * mean and min(size.values()) > 0.95 * mean
+    assert max(count.values()) < 1.25 * len(rows) / 10 and min(count.values()) > 0.75 * len(rows) / 10
+    assert sum(len(x) > 1 for x in where.values()) == 3
+    for k in range(10):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(count[k]))
 
 
 # 9 suffix dedup

@@ -1,40 +1,59 @@
 """Shards by vector bin packing (operator 7).
 
 Groups of equal texts are placed so that bytes, tokens and rows come out even together: each goes, largest first, where
-the dot product of its shares with a shard's remaining shares is highest. Only groups with a share above
-1 / (SMALL * shards) are placed one by one, at most 3 * SMALL * shards of them; the rest are dealt by hash into
-BUNDLES * shards bundles that are placed like groups. So the driver's work is bounded whatever the corpus,
-and small groups stay whole, as a bundle does.
+the dot product of its shares with a shard's remaining shares is highest. Groups with a share above
+1 / (SMALL * shards), at most 3 * SMALL * shards of them, are placed on the driver. All others are placed by the same rule in
+parallel: each task has its part of what the large groups left of every shard, in proportion to what its groups hold, and places
+them within that. A task misses its part by about one small group, so the shards come out even however many tasks there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise, number_rows, partitions, table
 
-SHARDS, SMALL, BUNDLES = 40, 400, 128
+SHARDS, SMALL = 40, 400
 KEY = ["group", "text_crc32", "size"]
 
 
-def place(shares: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of shares of each measure), largest item first."""
-    room = np.full((shards, shares.shape[1]), 1 / shards)
+def place(shares: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The shard of each item (rows of shares of each measure), largest item first; ``room`` (shards, measures) is what remains and is used up."""
     out = np.zeros(len(shares), np.int64)
-    for k in np.argsort(-shares.max(1), kind="stable"):
+    for k in np.argsort(-shares.max(1), kind="stable").tolist():
         out[k] = best = int(np.argmax(room @ shares[k]))
         room[best] -= shares[k]
     return out
 
 
+def _place_small(groups: DataFrame, totals: np.ndarray, room: np.ndarray) -> DataFrame:
+    """KEY and shard of each group, placed within each task's part of the room."""
+    spare = np.maximum(room, 0)
+    spare /= np.maximum(spare.sum(0), 1e-300)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in KEY])
+            shares = np.stack([t.column(c).to_numpy() for c in "btr"], 1) / totals
+            shard = place(shares, spare * shares.sum(0))
+            cols = [t.column(c).combine_chunks() for c in KEY]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int32())], names=[*KEY, "shard"])
+
+    return groups.select(*KEY, "b", "t", "r").mapInArrow(work, "group long, text_crc32 long, size long, shard int")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, by the law ``bytes``.
 
-    Equal texts share a shard unless together they are larger than a shard's equal part; such a group is
-    split by doc_id into parts of half a shard at most. Null texts count as empty. Slots run from 0 without gaps in each shard;
-    repeated rows and null doc_ids take slots of their own.
+    Equal texts share a shard unless together they have more of the bytes, tokens or rows than a shard's equal part; the rows of such a group are
+    numbered and dealt in turn into parts of half a shard at most, which are placed each. Null texts count as empty. Slots run from 0 without gaps in each shard;
+    repeated rows and null doc_ids take slots of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -48,31 +67,29 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = materialise(rows, "sizes")
     groups = rows.groupBy(*KEY).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
     groups = materialise(groups, "groups")
-    total = groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()
-    b, t, r = (float(x or 1) or 1.0 for x in total)
-    share = F.greatest(F.col("b") / b, F.col("t") / t, F.col("r") / r)
-    sized = groups.withColumn("big", share > 1 / (SMALL * shards))
-    bundle = F.pmod(F.xxhash64(*KEY), F.lit(BUNDLES * shards)).cast("int")
-    large = [tuple(x) for x in sized.where("big").select(*KEY, "b", "t", "r").collect()]
-    small = [tuple(x) for x in sized.where("not big").groupBy(bundle.alias("bundle")).agg(F.sum("b"), F.sum("t"), F.sum("r")).collect()]
-    parts, items = [], []
-    for *key, gb, gt, gr in large:
-        n = 1 if gb / b <= 1 / shards else int(np.ceil(2 * shards * gb / b))
-        for k in range(n):
-            parts.append((*key, n, k))
-            items.append((gb / b / n, gt / t / n, gr / r / n))
-    items += [(x[1] / b, x[2] / t, x[3] / r) for x in small]
-    where = place(np.array(items, float).reshape(-1, 3), shards).tolist()
-    one_by_one = spark.createDataFrame(
-        [(*p, s) for p, s in zip(parts, where[: len(parts)], strict=True)], "group long, text_crc32 long, size long, parts int, part int, s1 int"
-    )
-    bundles = spark.createDataFrame([(x[0], s) for x, s in zip(small, where[len(parts) :], strict=True)], "bundle int, s2 int")
-    # Both tables have a bound that doesn't grow with the corpus.
-    split = F.broadcast(one_by_one.select(*KEY, "parts").distinct())
-    out = rows.join(split, KEY, "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    out = out.join(F.broadcast(one_by_one.drop("parts")), [*KEY, "part"], "left")
-    out = out.withColumn("bundle", bundle).join(F.broadcast(bundles), "bundle", "left")
-    out = out.withColumn("shard", F.coalesce("s1", "s2")).select("doc_id", "size", "text_crc32", "shard", "group")
+    totals = np.array([float(x or 1) for x in groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()])
+    big = F.greatest(*(F.col(c) / x for c, x in zip("btr", totals.tolist(), strict=True))) > 1 / (SMALL * shards)
+    large = groups.where(big).orderBy(*KEY).collect()  # 3 * SMALL * shards at most
+    parts, shares = [], []
+    for g in large:
+        share = np.array([g.b, g.t, g.r]) / totals
+        n = 1 if share.max() <= 1 / shards else int(np.ceil(2 * shards * share.max()))
+        parts += [(g.group, g.text_crc32, g.size, n, k) for k in range(n)]
+        shares += [share / n] * n
+    room = np.full((shards, 3), 1 / shards)
+    where = place(np.array(shares).reshape(-1, 3), room).tolist()
+    key = "group long, text_crc32 long, size long"
+    whole = spark.createDataFrame([(*p[:3], s) for p, s in zip(parts, where, strict=True) if p[3] == 1], key + ", shard int")
+    split = spark.createDataFrame([(*p, s) for p, s in zip(parts, where, strict=True) if p[3] > 1], key + ", parts int, part int, shard int")
+    small = materialise(_place_small(groups.where(~big), totals, room), "placed")
+    split_keys = F.broadcast(split.select(*KEY, "parts").distinct())  # 3 * shards at most, as each has more than a shard's part
+    out = rows.drop("tokens").join(split_keys.drop("parts"), KEY, "left_anti").join(small.unionByName(whole), KEY)
+    if any(p[3] > 1 for p in parts):
+        dealt = materialise(rows.drop("tokens").join(split_keys, KEY), "split-rows")
+        dealt = number_rows(dealt, KEY, ["doc_id"], F.col("doc_id"), partitions(spark), "rank").withColumn("part", (F.col("rank") % F.col("parts")).cast("int"))
+        dealt = dealt.drop("parts").join(F.broadcast(split.drop("parts")), [*KEY, "part"])
+        out = out.unionByName(dealt.select(*out.columns))
+    out = materialise(out.select("doc_id", "size", "text_crc32", "shard", "group"), "sharded")
     out = number_rows(out, ["shard"], ["doc_id", "group"], F.struct("doc_id", "group"), partitions(spark), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
