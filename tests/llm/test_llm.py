@@ -4,6 +4,7 @@ import collections
 import datetime
 import glob
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -211,6 +212,49 @@ def test_plan_uses_all_pieces():
     assert packing.plan({}) == [] and packing.plan({10: 7}, 30) == [((10, 10, 10), 2), ((10,), 1)]
 
 
+def test_all_fillings_of_few_lengths():
+    rng = random.Random(9)
+    for _ in range(60):
+        counts = {x: rng.randint(1, 3) for x in rng.sample(range(2, 30), rng.randint(1, 5))}
+        room = rng.randint(5, 50)
+        want = set()
+        for ns in itertools.product(*(range(n + 1) for n in counts.values())):
+            left = room - sum(x * n for x, n in zip(counts, ns, strict=True))
+            if left >= 0 and not any(x <= left and n < counts[x] for x, n in zip(counts, ns, strict=True)):
+                want.add(tuple(sorted((x for x, n in zip(counts, ns, strict=True) for _ in range(n)), reverse=True)))
+        assert {tuple(f) for f in packing._all(sorted(counts), counts, room)} == want
+        out = packing.fillings(sorted(counts), counts, room, 1000)
+        assert set(out) <= want and sum(out[0]) == max(map(sum, want))
+        assert all(any(packing._dominates(o, f) for o in out) for f in want)
+
+
+def least_bins(pieces, room):
+    """The fewest sequences, by trying all."""
+    best = len(pieces)
+
+    def put(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(pieces):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] >= pieces[k] and bins[b] not in bins[:b]:
+                put(k + 1, [*bins[:b], bins[b] - pieces[k], *bins[b + 1 :]])
+        put(k + 1, [*bins, room - pieces[k]])
+
+    put(0, [])
+    return best
+
+
+def test_plan_needs_no_more_than_brute_force():
+    rng = random.Random(4)
+    for _ in range(40):
+        pieces = sorted((rng.randint(3, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        assert sum(t for _, t in packing.plan(dict(collections.Counter(pieces)), 24)) == least_bins(pieces, 24)
+
+
 def test_plan_of_many_short_pieces():
     rng = random.Random(5)
     mixed = collections.Counter(min(4095, int(rng.lognormvariate(5, 1.3)) + 1) for _ in range(5000)) + collections.Counter({1: 30_000, 6: 30_000})

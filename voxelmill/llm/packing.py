@@ -22,8 +22,8 @@ from .scratch import materialise, number_rows, partitions, slices, table
 from .tokens import encoder
 
 ROOM, END_OF_TEXT = 4096, 1
-#: Steps of the search after the first solution, and fillings tried around one document.
-NODES, FILLINGS = 2000, 24
+#: Nodes of the search after the first solution, fillings kept around one document, and the lengths and pieces tried by a full enumeration of them.
+NODES, FILLINGS, FEW, STEPS = 1000, 12, 24, 3000
 #: Fillings are compared up to this product of their numbers of pieces; beyond it both stay, which costs steps only.
 COMPARED = 1 << 12
 
@@ -40,51 +40,108 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def _complete(chosen: tuple[int, ...], left: int, top: int, lengths: list[int], counts: dict[int, int]) -> tuple[int, ...]:
-    """A filling with as many pieces of each length up to ``top`` as fit, longest first: nothing that is left fits any more."""
-    while (k := bisect_right(lengths, min(left, top)) - 1) >= 0:
+def _all(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, ...]] | None:
+    """All fillings that no piece left fits into any more; None if there are more than FEW lengths or STEPS to try."""
+    if len(lengths) > FEW:
+        return None
+    found: list[tuple[int, ...]] = []
+    steps = 0
+
+    def extend(chosen: tuple[int, ...], left: int, k: int, skipped: int) -> bool:
+        nonlocal steps
+        steps += 1
+        if steps > STEPS:
+            return False
+        while k >= 0 and lengths[k] > left:
+            k -= 1
+        if k < 0:
+            if left < skipped:  # else the shortest piece passed over would still fit
+                found.append(chosen)
+            return True
         x = lengths[k]
-        n = min(left // x, counts[x])
-        chosen, left, top = chosen + (x,) * n, left - n * x, x - 1
-    return chosen
+        most = min(left // x, counts[x])
+        return all(extend(chosen + (x,) * n, left - x * n, k - 1, skipped if n == counts[x] else min(skipped, x)) for n in range(most, -1, -1))
+
+    return found if extend((), room, len(lengths) - 1, room + 1) else None
+
+
+def _ends(x: np.ndarray, n: np.ndarray, left: int, most: int) -> list[tuple[int, ...]]:
+    """Of the fillings by one, two or three pieces (three only where two leave waste) those of least waste: all lengths are tried, at once."""
+    k = int(np.searchsorted(x, left, side="right"))
+    if not k:
+        return [()]
+    found = [(int(x[k - 1]),)]
+
+    def pairs(x: np.ndarray, n: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second piece (not longer than the first) and waste."""
+        first = x[: int(np.searchsorted(x, left, side="right"))]
+        at = np.minimum(np.searchsorted(x, left - first, side="right") - 1, np.arange(len(first)))
+        at -= (at == np.arange(len(first))) & (n[: len(first)] < 2)
+        ok = at >= 0
+        first, second = first[ok], x[at[ok]]
+        return first, second, left - first - second
+
+    a, b, waste = pairs(x[:k], n[:k], left)
+    best = np.lexsort((-a, waste))[:most]
+    found += [(int(a[j]), int(b[j])) for j in best]
+    if not len(waste) or waste.min() > 0:
+        for j in range(k - 1, max(-1, k - 1 - most), -1):
+            rest = n[: j + 1].copy()
+            rest[j] -= 1
+            top = j + 1 if rest[j] else j
+            a, b, waste = pairs(x[:top], rest[:top], left - int(x[j]))
+            if len(waste):
+                at = int(waste.argmin())
+                found.append((int(x[j]), int(a[at]), int(b[at])))
+    return found
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by available lengths (ascending list), those of least waste first.
+    """Undominated fillings of the room by available lengths (ascending list), those of least waste first, ``most`` at most.
 
-    A step takes a length with its multiplicity, so the depth is the number of different lengths, not of pieces. Beyond
-    8 * ``most`` steps a filling branches no more, but is still completed.
+    All of them, if FEW lengths and STEPS pieces suffice to enumerate them. Else the first pieces are the longest that fit, with their multiplicity, and the last two or three
+    are chosen among all lengths for the least waste, from the last step back; nothing that is left fits any more.
     """
-    found: list[tuple[int, ...]] = []
-    steps = 0
-
-    def extend(chosen: tuple[int, ...], left: int, top: int) -> None:
-        nonlocal steps
-        steps += 1
-        k, tried = bisect_right(lengths, min(left, top)) - 1, 0
-        if k < 0 or steps >= 8 * most:
-            found.append(_complete(chosen, left, top, lengths, counts))
-            return
-        while k >= 0 and tried < 3 and len(found) < most:
+    found = _all(lengths, counts, room)
+    if found is None:
+        found, chosen, left, top, steps = [], (), room, room, []
+        while (k := bisect_right(lengths, min(left, top)) - 1) >= 0:
             x = lengths[k]
             n = min(left // x, counts[x])
-            for times in range(n, max(n - 2, 0), -1):
-                if len(found) < most and (tried == 0 or steps < 8 * most):
-                    extend(chosen + (x,) * times, left - times * x, x - 1)
-            tried += 1
-            if found and sum(found[-1]) == room and tried == 1 and len(found) > most // 2:
+            steps += [(chosen + (x,) * m, left - m * x) for m in range(max(0, n - 2), n)]
+            chosen, left, top = chosen + (x,) * n, left - n * x, x - 1
+        found.append(chosen)
+        full = np.array(lengths, np.int64)
+        have = np.array([counts[x] for x in lengths], np.int64)
+        for chosen, left in reversed(steps):
+            n = have.copy()
+            for x, m in Counter(chosen).items():
+                n[bisect_right(lengths, x) - 1] -= m
+            some = n > 0
+            found += [tuple(sorted(chosen + end, reverse=True)) for end in _ends(full[some], n[some], left, 4)]
+            if sum(sum(f) == room for f in found) >= most:
                 break
-            k -= 1
-
-    extend((), room, room)
+        found = [_complete(f, lengths, counts, room) for f in found]
     found = sorted(set(found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))
     out: list[tuple[int, ...]] = []
     for f in found:
-        if not any(sum(o) >= sum(f) and len(o) * len(f) <= COMPARED and _dominates(o, f) for o in out):
+        if len(out) < most and not any(sum(o) >= sum(f) and len(o) * len(f) <= COMPARED and _dominates(o, f) for o in out):
             out.append(f)
     return out
 
 
+def _complete(chosen: tuple[int, ...], lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, ...]:
+    """The filling with as many pieces more as fit, longest first."""
+    left, taken = room - sum(chosen), Counter(chosen)
+    k = bisect_right(lengths, left) - 1
+    while k >= 0:
+        x = lengths[k]
+        n = min(left // x, counts[x] - taken[x])
+        chosen, left = chosen + (x,) * n, left - n * x
+        k = bisect_right(lengths, min(left, x - 1)) - 1
+    return tuple(sorted(chosen, reverse=True))
+
+
 def lower_bound(counts: dict[int, int], room: int) -> int:
     """Sequences that any packing needs: by total length, and with pieces below each size left out, those over half the room being alone."""
     x = np.array(sorted(counts), np.int64)
@@ -114,37 +171,40 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[t
     best: list | None = None
     best_bins = float("inf")
 
-    def choices(now: dict[int, int]) -> tuple[int, list]:
+    def choices(now: dict[int, int], most: int) -> tuple[int, list]:
         top = max(now)
         now[top] -= 1
-        found = fillings(sorted(x for x, n in now.items() if n), now, room - top)
+        found = fillings(sorted(x for x, n in now.items() if n), now, room - top, most)
         now[top] += 1
         return top, found
 
-    # Each level: counts before it, choices left, and the filling taken.
-    state, path, used, waste, left = dict(counts), [], 0, 0, nodes
-    stack = [(state, *choices(state), 0)] if state else []
+    # Each level: counts before it, its fillings (at first only the best one), how many have been taken, and what its path has used so far.
+    path, left = [], nodes
+    stack = [(counts, *choices(counts, 1), 0, 0, 0)] if counts else []
     while stack:
-        now, top, options, k = stack.pop()
+        now, top, options, k, used, waste = stack.pop()
         path = path[: len(stack)]
-        used, waste = sum(t for _, t, _ in path), sum(w for _, _, w in path)
-        if k >= len(options) or (best is not None and left <= 0):
+        if best is not None and left <= 0:
+            break
+        if k == 1 and len(options) == 1:
+            options += [f for f in choices(now, FILLINGS)[1] if f != options[0]]
+        if k >= len(options):
             continue
-        stack.append((now, top, options, k + 1))
+        stack.append((now, top, options, k + 1, used, waste))
         filling = (top, *options[k])
         taken = Counter(filling)
         times = min(now[x] // n for x, n in taken.items())
         more = (room - sum(filling)) * times
         if best is not None and waste + more > (best_bins - 1) * room - total:
             continue
-        path.append((filling, times, more))
+        path.append((filling, times))
         after = {x: n - times * taken[x] if x in taken else n for x, n in now.items()}
         after = {x: n for x, n in after.items() if n}
         left -= best is not None
         if after:
-            stack.append((after, *choices(after), 0))
+            stack.append((after, *choices(after, 1), 0, used + times, waste + more))
         elif used + times < best_bins:
-            best, best_bins = [(f, t) for f, t, _ in path], used + times
+            best, best_bins = list(path), used + times
             if best_bins == bound:
                 break
     return best or []
