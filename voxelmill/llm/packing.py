@@ -165,46 +165,55 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[t
     first, so that the first descent is a best-fit solution and the incumbent. A branch is cut when the waste so
     far exceeds what a better solution could afford; the search ends at the lower bound or after ``nodes`` steps.
     """
-    counts = {x: n for x, n in counts.items() if n}
-    total = sum(x * n for x, n in counts.items())
-    bound = lower_bound(counts, room)
+    now = {x: n for x, n in counts.items() if n}
+    total = sum(x * n for x, n in now.items())
+    bound = lower_bound(now, room)
     best: list | None = None
-    best_bins = float("inf")
+    best_bins, left = float("inf"), nodes
 
-    def choices(now: dict[int, int], most: int) -> tuple[int, list]:
+    def choices(most: int) -> tuple[int, list]:
         top = max(now)
-        now[top] -= 1
-        found = fillings(sorted(x for x, n in now.items() if n), now, room - top, most)
-        now[top] += 1
+        put((top,), -1)
+        found = fillings(sorted(now), now, room - top, most)
+        put((top,), 1)
         return top, found
 
-    # Each level: counts before it, its fillings (at first only the best one), how many have been taken, and what its path has used so far.
-    path, left = [], nodes
-    stack = [(counts, *choices(counts, 1), 0, 0, 0)] if counts else []
+    def put(filling: tuple[int, ...], times: int) -> None:
+        """Gives pieces back to the counts, or takes them for negative times."""
+        for x, n in Counter(filling).items():
+            now[x] = now.get(x, 0) + n * times
+            if not now[x]:
+                del now[x]
+
+    # Each level: its largest piece and fillings (at first only the best one), how many have been tried, the one taken now, and what its path has used before.
+    # Counts are held once; going back undoes what was taken.
+    stack: list[list] = [[*choices(1), 0, None, 0, 0]] if now else []
     while stack:
-        now, top, options, k, used, waste = stack.pop()
-        path = path[: len(stack)]
+        level = stack[-1]
+        top, options, k, taken, used, waste = level
+        if taken:
+            put(*taken)
+            level[3] = None
         if best is not None and left <= 0:
             break
         if k == 1 and len(options) == 1:
-            options += [f for f in choices(now, FILLINGS)[1] if f != options[0]]
+            options += [f for f in choices(FILLINGS)[1] if f != options[0]]
         if k >= len(options):
+            stack.pop()
             continue
-        stack.append((now, top, options, k + 1, used, waste))
+        level[2] += 1
         filling = (top, *options[k])
-        taken = Counter(filling)
-        times = min(now[x] // n for x, n in taken.items())
+        times = min(now[x] // n for x, n in Counter(filling).items())
         more = (room - sum(filling)) * times
         if best is not None and waste + more > (best_bins - 1) * room - total:
             continue
-        path.append((filling, times))
-        after = {x: n - times * taken[x] if x in taken else n for x, n in now.items()}
-        after = {x: n for x, n in after.items() if n}
+        put(filling, -times)
+        level[3] = (filling, times)
         left -= best is not None
-        if after:
-            stack.append((after, *choices(after, 1), 0, used + times, waste + more))
+        if now:
+            stack.append([*choices(1), 0, None, used + times, waste + more])
         elif used + times < best_bins:
-            best, best_bins = list(path), used + times
+            best, best_bins = [x[3] for x in stack], used + times
             if best_bins == bound:
                 break
     return best or []
