@@ -1,5 +1,7 @@
-"""Small inputs with answers worked out by hand."""
+"""Small inputs of our own: random volumes against plain Python and NumPy, and a few answers worked out by hand."""
 
+import collections
+import itertools
 import json
 import math
 
@@ -9,8 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelmill import model
 from voxelmill.functions import scalars
-from voxelmill.operators import connect, connectome, elementwise, evaluate, geometry, morphology, overlap, rank, registration, score, stats
-from voxelmill.plans import runner
+from voxelmill.operators import connect, connectome, elementwise, evaluate, geometry, morphology, order, overlap, rank, registration, score, stats, steps
 from voxelmill.sources import assets, nifti, pack
 from voxelmill.streaming import overlap as streaming
 
@@ -35,38 +36,39 @@ def with_vid(df, dims):
 # Overlap
 
 
-def phantom(spark, extra=()):
-    label = lambda x, y: {(1, 1): 1, (0, 1): 2, (1, 0): 0, (0, 0): 3}[(int(x < 2), int(y < 2))]
-    atlas = spark.createDataFrame([(x + 4 * y, label(x, y)) for x in range(4) for y in range(4) if label(x, y)], "vid int, label int")
-    at = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (2, 0, 0), *extra]
-    return spark.createDataFrame([(x + 4 * y + 16 * z,) for x, y, z in at], "vid int"), atlas
+def random_overlap(spark, seed, extra=0):
+    """A mask and an atlas of four labels on 5 x 3 x 6 voxels, as tables and as plain values."""
+    rng = np.random.default_rng(seed)
+    atlas = {v: int(rng.integers(0, 5)) for v in range(60)}
+    mask = sorted({int(v) for v in rng.integers(0, 60, 30)} | set(range(60, 60 + extra)))
+    tables = spark.createDataFrame([(v,) for v in mask], "vid int"), spark.createDataFrame([(v, k) for v, k in atlas.items() if k], "vid int, label int")
+    return (*tables, mask, atlas)
 
 
-def test_parcel_overlap(spark):
-    mask, atlas = phantom(spark)
+@pytest.mark.parametrize("extra", [0, 11])
+def test_parcel_overlap(spark, extra):
+    mask, atlas, at, labels = random_overlap(spark, 3 + extra, extra)
+    hits, sizes = collections.Counter(labels.get(v, 0) for v in at), collections.Counter(labels.values())
     rows = {r.label: r for r in overlap.parcel_overlap(mask, atlas).collect()}
-    assert set(rows) == {1, 2}
-    assert (rows[1].voxels, rows[1].parcel_size, rows[1].fraction_of_parcel, rows[1].fraction_of_lesion) == (4, 4, 1.0, 0.8)
-    assert (rows[2].voxels, rows[2].fraction_of_parcel) == (1, 0.25)
-    names = spark.createDataFrame([(1, "a", "Default")], "label int, parcel string, network string")
-    assert {r.network: r.voxels for r in overlap.network_rollup(overlap.parcel_overlap(mask, atlas), names).collect()} == {"Default": 4, "Unassigned": 1}
-
-
-def test_overlap_outside_and_empty(spark):
-    mask, atlas = phantom(spark, [(0, 0, 1), (0, 1, 1)])
+    assert set(rows) == set(hits) - {0}
+    for k, r in rows.items():
+        assert (r.voxels, r.parcel_size) == (hits[k], sizes[k])
+        assert (r.fraction_of_parcel, r.fraction_of_lesion) == pytest.approx((hits[k] / sizes[k], hits[k] / len(at)))
+    names = spark.createDataFrame([(1, "a", "North"), (2, "b", "South"), (4, "c", "North")], "label int, parcel string, network string")
+    want = {"North": hits[1] + hits[4], "South": hits[2], "Unassigned": hits[3]}
+    assert {r.network: r.voxels for r in overlap.network_rollup(overlap.parcel_overlap(mask, atlas), names).collect()} == want
     total = overlap.overlap_totals(mask, atlas).first()
-    assert (total.total_voxels, total.outside_voxels) == (7, 2)
-    assert overlap.parcel_overlap(mask, atlas).where("label = 1").first().fraction_of_lesion == 4 / 7
+    assert (total.total_voxels, total.outside_voxels, total.assigned_voxels) == (len(at), hits[0], len(at) - hits[0])
     assert overlap.parcel_overlap(mask.limit(0), atlas).count() == 0
 
 
 def test_overlap_csv(spark):
-    rows = [("Visual", 6, 0.6, [1, 2], 200, 0.03), ("Unassigned", 3, 0.3, [99], None, None), ("Default", 1, 0.1, [7], 400, 0.0025)]
+    rows = [("Unassigned", 50, 0.5, [8], None, None), ("North", 31, 0.31, [3, 12, 20], 62, 0.5), ("East", 19, 0.19, [5], 3000, 19 / 3000)]
     table = spark.createDataFrame(rows, "network string, voxels long, fraction double, parcels array<int>, network_size long, fraction_of_network double")
     lines = [r.line for r in overlap.overlap_csv(table).collect()]
-    assert lines[1:] == ["Visual,6,0.6000,200,0.0300,1;2", "Default,1,0.1000,400,0.0025,7", "Unassigned,3,0.3000,,,99"]
+    assert lines[1:] == ["North,31,0.3100,62,0.5000,3;12;20", "East,19,0.1900,3000,0.0063,5", "Unassigned,50,0.5000,,,8"]
     assert overlap.overlap_csv(table.limit(0)).count() == 1
-    assert overlap.percent_table(table).where("network = 'Visual'").first().pct == "60.0"
+    assert overlap.percent_table(table).where("network = 'North'").first().pct == "31.0"
 
 
 def test_locale_order(spark):
@@ -78,30 +80,35 @@ def test_locale_order(spark):
 
 
 def test_weights_and_sum(spark):
-    channels = spark.createDataFrame([(k, n) for k, n in enumerate(["Visual", "A", "B", "C", "D", "E", "Default"])], "channel int, network string")
-    summary = spark.createDataFrame([("Default", 0.6), ("Visual", 0.3), ("Unassigned", 0.1)], "network string, fraction double")
-    w = connect.network_weights(channels, summary)
-    assert [r.w for r in w.orderBy("channel").collect()] == [0.3, 0, 0, 0, 0, 0, 0.6]
-    maps = spark.createDataFrame([(k, v, float(4 * k + v)) for k in range(7) for v in range(4)], "channel int, vid int, t double")
-    got = {r.vid: r.value for r in connect.weighted_sum(maps, w).collect()}
-    assert got == pytest.approx({v: 0.3 * v + 0.6 * (24 + v) for v in range(4)})
-    parcels = spark.createDataFrame([(7, 0.6), (22, 0.4)], "label int, fraction_of_lesion double")
-    labels = spark.createDataFrame([("22",), ("99",), ("7",)], "label string")
-    assert [r.w for r in connect.parcel_weights(labels, parcels).collect()] == [0.6, 0.4, 0.0]
+    rng = np.random.default_rng(8)
+    names = ["North", "East", "South", "West", "Up"]
+    share = {"East": 0.45, "Up": 0.2, "Unassigned": 0.35}
+    channels = spark.createDataFrame(list(enumerate(names)), "channel int, network string")
+    w = connect.network_weights(channels, spark.createDataFrame(list(share.items()), "network string, fraction double"))
+    assert [r.w for r in w.orderBy("channel").collect()] == [share.get(n, 0) for n in names]
+    maps = rng.normal(size=(5, 6))
+    rows = spark.createDataFrame([(k, v, float(maps[k, v])) for k in range(5) for v in range(6)], "channel int, vid int, t double")
+    got = {r.vid: r.value for r in connect.weighted_sum(rows, w).collect()}
+    assert got == pytest.approx(dict(enumerate(np.array([share.get(n, 0) for n in names]) @ maps)))
+    parcels = spark.createDataFrame([(103, 0.7), (12, 0.1)], "label int, fraction_of_lesion double")
+    labels = spark.createDataFrame([("103",), ("12",), ("60",)], "label string")
+    assert [(r.label, r.w) for r in connect.parcel_weights(labels, parcels).collect()] == [("12", 0.1), ("60", 0.0), ("103", 0.7)]
 
 
 def test_half_floats():
-    raw = np.array([0x3C00, 0x4000, 0xC200, 0x4400, 0, 0x3800, 0x0001, 0x03FF], "<u2").tobytes()
-    assert pack.half_floats(raw).tolist() == pytest.approx([1, 2, -3, 4, 0, 0.5, 5.9604645e-08, 6.097555e-05])
+    """All finite codes, against their sign, exponent and fraction."""
+    codes = [c for c in range(1 << 16) if (c >> 10) & 31 != 31]
+    value = lambda c: (-1) ** (c >> 15) * ((c & 1023) * 2.0**-24 if not (c >> 10) & 31 else (1024 + (c & 1023)) * 2.0 ** (((c >> 10) & 31) - 25))
+    assert pack.half_floats(np.array(codes, "<u2").tobytes()).tolist() == [value(c) for c in codes]
 
 
 @pytest.mark.parametrize("order", ["row-major", "fortran"])
 def test_pack_orders(spark, order):
-    data = np.array([[[[1000 * k + 100 * x + 10 * y + z for z in range(4)] for y in range(3)] for x in range(2)] for k in range(2)], "<f4")
+    data = np.random.default_rng(1).normal(size=(3, 4, 2, 5)).astype("<f4")
     raw = b"".join(m.tobytes(order="F" if order == "fortran" else "C") for m in data)
-    described = pack.index(json.dumps({"shape": [2, 2, 3, 4], "voxelOrder": order}))
+    described = pack.index(json.dumps({"shape": [3, 4, 2, 5], "voxelOrder": order}))
     rows = pack.decode_pack(spark.createDataFrame([(1, raw)], "first_channel int, content binary"), described).collect()
-    assert len(rows) == 48 and all(r.t == 1000 * (r.channel - 1) + 100 * r.x + 10 * r.y + r.z for r in rows)
+    assert len(rows) == 120 and all(r.t == data[r.channel - 1, r.x, r.y, r.z] for r in rows)
     with pytest.raises(ValueError):
         pack.index('{"voxelOrder": "zigzag"}')
 
@@ -123,118 +130,176 @@ def test_shards_are_pruned(spark, tmp_path):
 
 
 def test_quantiles_and_masks(spark):
-    ramp = spark.createDataFrame([("v", i, i, 0, 0, float(i)) for i in range(64)], "volume_id string, vid int, x int, y int, z int, value double")
-    centred = ramp.withColumn("value", F.col("value") - 32)
-    assert elementwise.above(ramp, 20).count() == 43
-    assert elementwise.above(centred, 10, True).count() == 43
-    assert stats.percentile_mask(ramp, 0.5).count() == 32
-    cut = lambda q, df=ramp: stats.abs_quantile(df, q).first().cutoff
-    assert (cut(0.5), cut(0), cut(1), cut(0.5, ramp.limit(0))) == (31.5, 0, 63, 0)
-    assert stats.percentile_mask(ramp.withColumn("value", F.lit(3.0)), 0.5).count() == 0
-    assert model.top_percent_quantile(5) == 0.95 and model.top_percent_quantile(50) == 0.9
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=150).round(1)
+    v = spark.createDataFrame([("v", i, i, 0, 0, float(x)) for i, x in enumerate(data)], "volume_id string, vid int, x int, y int, z int, value double").repartition(3)
+    assert elementwise.above(v, 0.4).count() == (data > 0.4).sum() and elementwise.above(v, 0.4, True).count() == (abs(data) > 0.4).sum()
+    for q in (0, 0.13, 0.5, 0.9, 0.99, 1):
+        want = np.quantile(abs(data), q) if q else 0
+        assert stats.abs_quantile(v, q).first().cutoff == pytest.approx(want)
+        assert stats.percentile_mask(v, q).count() == (data > want + 1e-12).sum() and stats.percentile_mask(v, q, True).count() == (abs(data) > want + 1e-12).sum()
+    assert stats.abs_quantile(v.limit(0), 0.5).first().cutoff == 0
+    assert stats.percentile_mask(v.withColumn("value", F.lit(-2.5)), 0.7).count() == 0
+    assert model.top_percent_quantile(3) == 0.97 and model.top_percent_quantile(40) == 0.9
+    both = v.unionByName(v.limit(40).withColumn("volume_id", F.lit("w")))
+    for name, n in (("v", 150), ("w", 40)):
+        rows = order.ranked(both, ["volume_id"], ["value", "vid"]).where(F.col("volume_id") == name).orderBy("r").collect()
+        assert [r.r for r in rows] == list(range(n)) and all(r.n == n for r in rows) and [r.value for r in rows] == sorted(r.value for r in rows)
 
 
 def test_cluster_cleanup(spark):
-    values = {(x, y, z): 20 for x in range(2) for y in range(2) for z in range(2)} | {(5, 5, 5): 25}
-    values |= {(x, 3, 3): 1 for x in range(6)}
-    kept, counts = morphology.threshold_and_clean(volume(spark, values), (6, 6, 6), 0.39, least=5)
+    rng = np.random.default_rng(12)
+    values = {(x, y, 1): 3.0 + x for x in range(4) for y in range(3)} | {(7, 0, 5): 9.0, (7, 1, 5): 8.0}
+    values |= {(int(x), int(y), 3): 0.5 for x, y in rng.integers(0, 8, (20, 2))}
+    cut = sorted(values.values())[-15] + 0.01  # just below the fourteen strong ones
+    q = np.interp(cut, np.sort(list(values.values())), np.linspace(0, 1, len(values)))
+    kept, counts = morphology.threshold_and_clean(volume(spark, values), (8, 8, 8), float(q), least=3)
     row = counts.first()
-    assert (row.raw_count, row.kept_count, row.removed_by_cluster) == (9, 8, 1) and kept.count() == 8
+    assert (row.raw_count, row.kept_count, row.removed_by_cluster) == (14, 12, 2) and {p[2] for p in points(kept)} == {1}
 
 
 def test_normalisation(spark):
-    v = with_vid(volume(spark, {(i, 0, 0): 5 for i in range(100)} | {(100, 0, 0): 1000}), (101, 1, 1))
-    got = {r.x: r.value for r in elementwise.p99_normalise(v).collect()}
-    assert got[100] == 1 and all(got[i] == 0 for i in range(100))
-    zero = v.withColumn("value", F.lit(0.0))
-    assert {r.value for r in elementwise.p99_normalise(zero).collect()} == {0.0}
-    assert {r.value for r in elementwise.z_score(zero).collect()} == {0.0}
-    assert {r.value for r in elementwise.min_max(zero).collect()} == {0.0}
-    masked = elementwise.robust_normalise(v, v.where("x < 3"), True)
-    assert masked.count() == 101 and masked.where("x > 3 and value <> 0").count() == 0
-    assert elementwise.at_least(spark.createDataFrame([(0.5, 1.0), (0.0, 0.0)], "p double, w double"), 0.4).count() == 1
+    rng = np.random.default_rng(3)
+    data = rng.gamma(2, 30, 211).round(3)
+    v = with_vid(volume(spark, {(i, 0, 0): x for i, x in enumerate(data)}), (211, 1, 1))
+    low = data - data.min()
+    some = np.sort(low[low > 0])
+    want = np.clip(low / some[int(len(some) * 0.99)], 0, 1)
+    assert {r.x: r.value for r in elementwise.p99_normalise(v).collect()} == pytest.approx(dict(enumerate(want)))
+    flat = v.withColumn("value", F.lit(0.0))
+    for f in (elementwise.p99_normalise, elementwise.z_score, elementwise.min_max, elementwise.z_score_nonzero):
+        assert {r.value for r in f(flat).collect()} == {0.0}
+    inside = np.arange(211) % 3 == 0
+    strided = np.sort(data[inside][:: len(data[inside]) // 20])
+    lo, hi = strided[int(len(strided) * 0.01)], strided[int(len(strided) * 0.99)]
+    want = np.where(inside, np.clip((data - lo) / (hi - lo), 0, 1), 0)
+    got = elementwise.robust_normalise(v, v.where("x % 3 = 0"), True, sample=20)
+    assert {r.x: r.value for r in got.collect()} == pytest.approx(dict(enumerate(want)))
+    assert elementwise.at_least(spark.createDataFrame([(0.9, 2.0), (0.7, 2.0), (0.0, 0.0)], "p double, w double"), 0.4).count() == 1
 
 
 def test_boxes_and_moments(spark):
-    cube = volume(spark, {(x, y, z): 1 for x in range(2, 6) for y in range(3, 7) for z in range(1, 5)})
+    rng = np.random.default_rng(10)
+    at = rng.integers((1, 4, 2), (7, 9, 5), (25, 3))
+    cloud = volume(spark, {tuple(map(int, p)): 1 for p in at})
     box = lambda *a, **k: tuple(stats.bounding_box(*a, **k).first()[c] for c in ("x0", "y0", "z0", "x1", "y1", "z1"))
-    assert box(cube, (8, 8, 8)) == (2, 3, 1, 6, 7, 5)
-    assert box(cube, (8, 8, 8), 2) == (0, 1, 0, 8, 8, 7)
-    assert box(cube.limit(0), (8, 8, 8)) == (None,) * 6
-    assert box(cube.limit(0), (8, 8, 8), full_if_empty=True) == (0, 0, 0, 8, 8, 8)
-    small = volume(spark, {(x, y, z): 1 for x in (1, 2) for y in (1, 2) for z in (1, 2)})
-    assert stats.centroid(small) == (1.5, 1.5, 1.5)
-    row = stats.moments(small).first()
-    assert (row.cxx, row.cxy, row.czz) == pytest.approx((0.25, 0, 0.25))
+    lo, hi = at.min(0), at.max(0) + 1
+    assert box(cloud, (9, 10, 6)) == (*lo, *hi)
+    assert box(cloud, (9, 10, 6), 3) == (*np.maximum(lo - 3, 0), *np.minimum(hi + 3, (9, 10, 6)))
+    assert box(cloud.limit(0), (9, 10, 6)) == (None,) * 6 and box(cloud.limit(0), (9, 10, 6), full_if_empty=True) == (0, 0, 0, 9, 10, 6)
+    signed = cloud.withColumn("value", F.when(F.col("x") > 3, -1.0).otherwise(1.0))
+    some = at[at[:, 0] <= 3]
+    assert box(signed, (9, 10, 6), positive=True) == (*some.min(0), *(some.max(0) + 1))
+    unique = np.unique(at, axis=0)
+    assert stats.centroid(cloud) == pytest.approx(tuple(unique.mean(0)))
+    row, cov = stats.moments(cloud).first(), np.cov(unique.T, bias=True)
+    assert (row.cxx, row.cxy, row.czz) == pytest.approx((cov[0, 0], cov[0, 1], cov[2, 2]))
     with pytest.raises(ValueError):
-        stats.centroid(small.limit(0))
+        stats.centroid(cloud.limit(0))
 
 
 # Components
 
 
-def test_components(spark):
-    assert morphology.label_components(volume(spark, {(0, 0, 0): 1, (3, 3, 3): 1}), (4, 4, 4)).select("component").distinct().count() == 2
-    assert morphology.label_components(volume(spark, {(0, 0, 0): 1, (1, 1, 1): 1}), (4, 4, 4)).select("component").distinct().count() == 1
-    cube = {(x, y, z): 1 for x in range(2) for y in range(2) for z in range(2)} | {(5, 5, 5): 1}
-    assert morphology.remove_small(volume(spark, cube), (6, 6, 6), 2).count() == 8
-    both = volume(spark, {(0, 0, 0): 1, (1, 0, 0): 1}, "a").unionByName(volume(spark, {(2, 0, 0): 1}, "b"))
-    assert morphology.component_sizes(morphology.label_components(both, (4, 4, 4))).count() == 2
-
-
-def test_random_components(spark):
-    rng = np.random.default_rng(5)
-    at = {tuple(map(int, p)) for p in rng.integers(0, 9, (150, 3))}
-    seen, want = {}, 0
-    for p in sorted(at):
-        if p not in seen:
-            want += 1
-            todo = [p]
-            while todo:
-                q = todo.pop()
-                if q in at and q not in seen:
-                    seen[q] = want
-                    todo += [tuple(np.add(q, d)) for d in np.ndindex(3, 3, 3) for d in [np.subtract(d, 1)]]
-    got = morphology.label_components(volume(spark, dict.fromkeys(at, 1)), (9, 9, 9)).select("component").distinct().count()
-    assert got == want
+def flood(at):
+    """The components of a set of voxels, each as a set."""
+    left, found = set(at), []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            p = todo.pop()
+            seen.add(p)
+            for d in itertools.product((-1, 0, 1), repeat=3):
+                q = tuple(int(v) for v in np.add(p, d))
+                if q in left:
+                    left.remove(q)
+                    todo.append(q)
+        found.append(seen)
+    return found
+
+
+@pytest.mark.parametrize(("n", "block"), [(90, 32), (90, 4), (200, 3), (330, 5)])
+def test_components(spark, n, block):
+    rng = np.random.default_rng(n + block)
+    dims = (11, 9, 13)
+    at = {tuple(map(int, p)) for p in rng.integers(0, dims, (n, 3))}
+    other = {(0, 0, 0), (1, 1, 1), (10, 8, 12)}
+    both = volume(spark, dict.fromkeys(at, 1), "a").unionByName(volume(spark, dict.fromkeys(other, 1), "b"))
+    ids = lambda ps: min(x + 11 * (y + 9 * z) for x, y, z in ps)
+    want = {("a", *p): ids(c) for c in flood(at) for p in c} | {("b", *p): ids(c) for c in flood(other) for p in c}
+    labelled = morphology.label_components(both, dims, block)
+    assert {(r.volume_id, r.x, r.y, r.z): r.component for r in labelled.collect()} == want
+    assert morphology.component_sizes(labelled).count() == len(flood(at)) + 2
+    top = sorted((len(c) for c in flood(at)), reverse=True)
+    row = morphology.component_summary(labelled).where("volume_id = 'a'").first()
+    assert (row.components, row.largest, row.largest_five) == (len(top), top[0], ",".join(map(str, top[:5])))
+    if block == 32:
+        assert morphology.remove_small(both.where("volume_id = 'a'"), dims, 3).count() == sum(k for k in top if k >= 3)
+
+
+def test_long_snake_is_one_component(spark):
+    line = [(x, 2 * y, 0) for y in range(8) for x in (range(15) if y % 2 == 0 else range(14, -1, -1))]
+    turns = [(14 if y % 2 == 0 else 0, 2 * y + 1, 0) for y in range(7)]
+    assert {r.component for r in morphology.label_components(volume(spark, dict.fromkeys(line + turns, 1)), (15, 15, 1), 6).collect()} == {0}
 
 
 def test_fill_and_dilate(spark):
-    shell = {(x, y, z): 1 for x in range(1, 4) for y in range(1, 4) for z in range(1, 4) if (x, y, z) != (2, 2, 2)}
-    filled = morphology.keep_largest_and_fill(volume(spark, shell | {(5, 5, 5): 1}), (6, 6, 6))
-    assert filled.count() == 27 and (5, 5, 5) not in points(filled)
-    assert morphology.keep_largest_and_fill(volume(spark, shell), (6, 6, 6)).count() == 26
-    assert morphology.keep_largest_and_fill(volume(spark, shell), (6, 6, 6), True).count() == 27
-    assert morphology.dilate(volume(spark, {(2, 2, 2): 1}), (5, 5, 5)).count() == 7
+    room = {p: 1 for p in itertools.product(range(5), range(4), range(6)) if not (1 <= p[0] <= 2 and p[1] == 2 and 2 <= p[2] <= 4)}
+    filled = morphology.keep_largest_and_fill(volume(spark, room | {(8, 8, 8): 1, (8, 7, 8): 1}), (9, 9, 9))
+    assert points(filled) == set(itertools.product(range(5), range(4), range(6)))
+    assert morphology.keep_largest_and_fill(volume(spark, room), (9, 9, 9)).count() == len(room)
+    assert morphology.keep_largest_and_fill(volume(spark, room), (9, 9, 9), True).count() == 120
+    start = {(1, 0, 3), (4, 4, 4)}
+    grown = {q for p in start for q in itertools.product(range(6), repeat=3) if sum(abs(a - b) for a, b in zip(p, q, strict=True)) <= 2}
+    assert points(morphology.dilate(volume(spark, dict.fromkeys(start, 1)), (6, 6, 6), 2)) == grown
 
 
 # Geometry
 
 
 def test_resampling(spark):
-    ramp = dense(spark, np.fromfunction(lambda x, y, z: x + 10 * y + 100 * z, (4, 4, 4)))
-    two = np.diag([2.0, 2, 2, 1])
-    same = geometry.resample_nearest(ramp, np.eye(4), (4, 4, 4), np.eye(4))
-    assert all(r.value == r.x + 10 * r.y + 100 * r.z for r in same.collect())
-    assert all(r.value == 2 * r.x + 20 * r.y + 200 * r.z for r in geometry.resample_nearest(ramp, np.eye(4), (2, 2, 2), two).collect())
-    away = np.eye(4)
-    away[:3, 3] = 5
-    assert {r.value for r in geometry.resample_nearest(ramp, np.eye(4), (4, 4, 4), away).collect()} == {0}
-    half = np.eye(4)
-    half[0, 3] = 0.5
-    line = volume(spark, {(x, 0, 0): 10 * x for x in range(4)})
-    got = {r.x: r.value for r in geometry.resample_linear(line, np.eye(4), (4, 1, 1), half).collect()}
-    assert got == {0: 5, 1: 15, 2: 25, 3: 15}
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(5, 6, 4))
+    v = dense(spark, data)
+    src = np.array([[1.5, 0, 0, -3], [0, 2, 0, 1], [0, 0, 1, 4], [0, 0, 0, 1]])
+    dst = np.array([[0, 1.2, 0, -2], [2.5, 0, 0, 2], [0, 0, 0.8, 4.1], [0, 0, 0, 1]])
+    m = np.linalg.inv(src) @ dst
+    near, linear = {}, {}
+    for p in itertools.product(range(4), range(5), range(6)):
+        s = (m @ [*p, 1])[:3]
+        q = tuple(int(np.floor(c + 0.5)) for c in s)
+        near[p] = data[q] if all(0 <= c < n for c, n in zip(q, data.shape, strict=True)) else 0
+        low, total = np.floor(s).astype(int), 0.0
+        for d in itertools.product((0, 1), repeat=3):
+            c = low + d
+            if all(0 <= a < n for a, n in zip(c, data.shape, strict=True)):
+                total += np.prod(1 - abs(s - c)) * data[tuple(c)]
+        linear[p] = total
+    got = lambda df: {(r.x, r.y, r.z): r.value for r in df.collect()}
+    assert got(geometry.resample_nearest(v, src, (4, 5, 6), dst)) == pytest.approx(near)
+    assert got(geometry.resample_linear(v, src, (4, 5, 6), dst)) == pytest.approx(linear, abs=1e-9)
     with pytest.raises(ValueError):
-        model.inverse(np.zeros((4, 4)))
+        model.inverse(np.diag([1.0, 0, 1, 1]))
 
 
 def test_round_trip(spark):
-    cube = volume(spark, {(x, y, z): 1 for x in range(3, 6) for y in range(3, 6) for z in range(3, 6)})
-    two = np.diag([2.0, 2, 2, 1])
-    up = geometry.resample_mask(cube, two, (20, 20, 20), np.eye(4))
-    back = geometry.resample_mask(up, np.eye(4), (10, 10, 10), two)
-    assert points(back) == points(cube)
+    rng = np.random.default_rng(4)
+    cloud = volume(spark, {tuple(map(int, p)): 1 for p in rng.integers(1, 6, (30, 3))})
+    coarse, fine = np.diag([3.0, 3, 3, 1]), np.diag([1.5, 1.5, 1.5, 1])
+    up = geometry.resample_mask(cloud, coarse, (14, 14, 14), fine)
+    assert points(geometry.resample_mask(up, fine, (7, 7, 7), coarse)) == points(cloud)
+
+
+def test_padding_and_slices(spark):
+    v = dense(spark, np.arange(1.0, 25).reshape(2, 3, 4))
+    padded, dims = geometry.zero_pad(v, (2, 3, 4), (4, 2, 4))
+    assert dims == (4, 4, 4) and padded.count() == 64 and padded.where("value <> 0").count() == 24
+    assert points(geometry.unpad(padded, (2, 3, 4))) == points(v)
+    part = geometry.slice_range(v, 1, 9, 4)
+    assert {p[2] for p in points(part)} == {0, 1, 2} and points(geometry.slice_embed(part, 1, (2, 3, 3), (2, 3, 4))) == {p for p in points(v) if p[2]}
+    assert {p[2] for p in points(geometry.slice_embed(part, 2, (2, 3, 3), (2, 3, 4)))} == {2, 3}
+    with pytest.raises(ValueError):
+        geometry.slice_embed(part, 0, (2, 2, 3), (2, 3, 4))
 
 
 def test_layouts(spark):
@@ -264,40 +329,55 @@ def field(spark, dims, d):
 
 
 def test_fields(spark):
-    dims = (4, 4, 4)
-    for r in registration.integrate(field(spark, dims, (1, 2, 3)), dims, 2).collect():
-        assert (r.dx, r.dy, r.dz) == pytest.approx((1, 2, 3))
-    for r in registration.enlarge(field(spark, (2, 2, 2), (1, 2, 3)), (2, 2, 2), dims).collect():
-        assert (r.dx, r.dy, r.dz) == pytest.approx((2, 4, 6))
-    ramp = dense(spark, np.fromfunction(lambda x, y, z: x + 1.0, dims))
-    moved = {(r.x, r.y, r.z): r.value for r in registration.warp(ramp, field(spark, dims, (2, 0, 0)), dims).collect()}
-    assert moved[0, 1, 1] == 3 and moved[1, 2, 2] == 4 and moved[2, 0, 0] == 0
-    back = registration.inverse_warp(registration.warp(ramp, field(spark, dims, (2, 0, 0)), dims), field(spark, dims, (2, 0, 0)), dims, True, 3)
-    assert {r.value for r in back.where("x = 3").collect()} == {4}
-    assert spark.range(1).select(elementwise.magnitude(F.lit(3.0), F.lit(4.0), F.lit(0.0))).first()[0] == 5
+    dims = (5, 4, 3)
+    for r in registration.integrate(field(spark, dims, (0.6, -1.2, 0.3)), dims, 3).collect():
+        assert (r.dx, r.dy, r.dz) == pytest.approx((0.6, -1.2, 0.3))
+    for r in registration.enlarge(field(spark, (3, 2, 2), (0.5, 1.5, -1)), (3, 2, 2), (6, 6, 2)).collect():
+        assert (r.dx, r.dy, r.dz) == pytest.approx((1, 4.5, -1))
+    data = np.random.default_rng(5).normal(size=dims) + 5
+    v = dense(spark, data)
+    moved = {(r.x, r.y, r.z): r.value for r in registration.warp(v, field(spark, dims, (1, -2, 0)), dims).collect()}
+    want = {(x, y, z): data[x + 1, y - 2, z] if x + 1 < 5 and y >= 2 else 0 for x, y, z in np.ndindex(dims)}
+    assert moved == pytest.approx(want)
+    back = registration.inverse_warp(registration.warp(v, field(spark, dims, (1, -2, 0)), dims), field(spark, dims, (1, -2, 0)), dims, True, 2)
+    inside = {(r.x, r.y, r.z): r.value for r in back.collect() if r.x >= 1 and r.y <= 1}
+    assert inside == pytest.approx({k: data[k] for k in np.ndindex(dims) if k[0] >= 1 and k[1] <= 1})
+    assert spark.range(1).select(elementwise.magnitude(F.lit(2.0), F.lit(-3.0), F.lit(6.0))).first()[0] == 7
+    field_, warped = registration.register(field(spark, (3, 2, 2), (0.0, 0.0, 0.0)), v, (3, 2, 2), dims, 2)
+    assert {r.magnitude for r in field_.collect()} == {0.0} and {(r.x, r.y, r.z): r.value for r in warped.collect()} == pytest.approx({k: data[k] for k in np.ndindex(dims)})
 
 
 def test_prealignment():
-    values, axes = model.principal_axes([[2, 1, 0], [1, 2, 0], [0, 0, 3]])
-    assert sorted(values) == pytest.approx([1, 3, 3]) and np.allclose(axes.T @ axes, np.eye(3))
-    m = model.axes_prealign((0, 0, 0), np.diag([3.0, 2, 1]), (5, 6, 7), np.diag([3.0, 2, 1]))
-    assert np.linalg.det(m[:3, :3]) == pytest.approx(1) and np.allclose(m[:3, 3], (5, 6, 7))
-    c = model.centroid_prealign((1, 2, 3), (4, 5, 6))
-    assert np.allclose(c @ [1, 2, 3, 1], [4, 5, 6, 1])
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(3, 3))
+    cov = a @ a.T
+    values, axes = model.principal_axes(cov)
+    assert list(values) == sorted(values, reverse=True) and np.allclose(axes @ np.diag(values) @ axes.T, cov)
+    turn, _ = np.linalg.qr(np.eye(3) + 0.2 * rng.normal(size=(3, 3)))
+    turn = turn * np.sign(np.diag(turn))
+    turn[:, 2] *= np.linalg.det(turn)
+    shape = np.diag([9.0, 4.0, 1.0])
+    m = model.axes_prealign((1, 2, 3), shape, (7, 8, 6), turn @ shape @ turn.T)
+    assert np.allclose(m[:3, :3], turn) and np.allclose(m @ [1, 2, 3, 1], [7, 8, 6, 1])
+    c = model.centroid_prealign((2, 0, 5), (-1, 4, 8), (1, -1, 1))
+    assert np.allclose(c @ [2, 0, 5, 1], [-1, 4, 8, 1]) and np.allclose(np.diag(c), (1, -1, 1, 1))
 
 
 # Ranking, evaluation, connectivity
 
 
 def test_rank_terms(spark):
-    weights = spark.createDataFrame([("Visual", 0.5), ("Default", 0.25), ("Unassigned", 0.25), ("Missing", 0.4)], "network string, fraction double")
-    rows = [("Visual", "visual", 0.8), ("Visual", "attention", 0.2), ("Default", "memory", 0.7), ("Default", "Attention ", 0.6), ("Motor", "motor", 0.9)]
+    weights = spark.createDataFrame([("North", 0.2), ("East", 0.6), ("Unassigned", 0.9), ("Nowhere", 0.3), ("South", float("nan"))], "network string, fraction double")
+    rows = [("East", "river", 0.5), ("North", "hill", 0.9), ("North", " River", 0.75), ("East", "lake", 0.1), ("South", "dune", 0.9), ("North", "moor", -0.5)]
     profile = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "network string, term string, score double, ord int")
     got = rank.rank_terms(weights, profile).collect()
-    assert [(r.term, pytest.approx(r.score)) for r in got] == [("visual", 0.4), ("attention", 0.25), ("memory", 0.175)]
-    assert got[1].contributors == ["Default", "Visual"] and got[1].parts == pytest.approx([0.15, 0.1])
-    assert [r.term for r in rank.rank_terms(weights, profile, top=1).collect()] == ["visual"]
+    assert [(r.term, pytest.approx(r.score)) for r in got] == [("river", 0.45), ("hill", 0.18), ("lake", 0.06)]
+    assert got[0].contributors == ["East", "North"] and got[0].parts == pytest.approx([0.3, 0.15])
+    assert [r.term for r in rank.rank_terms(weights, profile, top=2).collect()] == ["river", "hill"] and rank.rank_terms(weights, profile, least=0.2).count() == 1
     assert rank.rank_terms(weights.withColumn("fraction", F.lit(0.0)), profile).count() == 0
+    assert [r.label for r in rank.distinct_labels(spark.createDataFrame([(7,), (0,), (3,), (7,)], "label int"), 2).collect()] == [3, 7]
+    with pytest.raises(ValueError):
+        rank.distinct_labels(spark.createDataFrame([(7,)], "label int"), 2)
     words = spark.createDataFrame([("ab",), ("123",), ("the",), ("Motor",)], "t string")
     assert [r.t for r in words.where(rank.keep_term(F.col("t"), ["the"])).collect()] == ["Motor"]
 
@@ -331,6 +411,30 @@ def test_sliding_window(spark):
     assert stats_.count() == 2
 
 
+def test_segmentation_of_other_spacing(spark):
+    data = np.zeros((8, 8, 6))
+    data[2:6, 2:6, 1:5] = 10
+    data[7, 7, 5] = 10
+    v = dense(spark, data)
+    mask = steps.segment(v, (8, 8, 6), (1.0, 1.0, 1.0), lambda b: b, (4, 4, 4), target=(2.0, None, None), least=5, sigma=2.0)
+    assert points(mask) >= {(3, y, z) for y in range(2, 6) for z in range(1, 5)} and (7, 7, 5) not in points(mask)
+
+
+def test_brain_extraction(spark):
+    rng = np.random.default_rng(1)
+    data = np.zeros((9, 10, 8))
+    data[1:7, 2:9, 1:6] = rng.uniform(50, 100, (6, 7, 5))
+    data[3, 4, 3] = 1  # a hole inside
+    data[8, 0, 7] = 100  # and a speck
+    v = dense(spark, data)
+    inside = lambda b: np.where(b > 0.2, -1.0, 5.0)
+    mask = steps.extract_brain(v, (9, 10, 8), (1.0, 1.0, 1.0), inside, conform=lambda d: tuple(n + 4 for n in d))
+    assert points(mask) == set(itertools.product(range(1, 7), range(2, 9), range(1, 6)))
+    coarse = steps.extract_brain(v, (9, 10, 8), (2.0, 2.0, 2.0), inside, conform=lambda d: tuple(n + 1 for n in d))
+    assert len(points(coarse) ^ points(mask)) < 0.5 * len(points(mask)) and (8, 0, 7) not in points(coarse)
+    assert steps.extract_brain(v.withColumn("value", F.lit(0.0)), (9, 10, 8), (1.0, 1.0, 1.0), inside).count() == 0
+
+
 # Sources
 
 
@@ -346,6 +450,20 @@ def test_nifti_round_trip(spark, tmp_path):
     assert nifti.read_voxels(spark, str(tmp_path), nonzero=True).count() == 23
 
 
+def test_nifti_keeps_a_source_header(spark, tmp_path):
+    import struct
+
+    source = bytearray(nifti.encode(np.ones((2, 3, 4)), np.diag([2.0, 3, 4, 1])))
+    source[148:160] = b"made by hand"
+    struct.pack_into("<h", source, 252, 2)
+    labels = nifti.encode(np.arange(24).reshape(2, 3, 4) * 20, labels=True, source=bytes(source))
+    h = nifti.header(labels)
+    assert labels[148:160] == b"made by hand" and struct.unpack_from("<h", labels, 252) == (2,) and np.allclose(np.diag(h["affine"]), (2, 3, 4, 1))
+    assert h["code"] == 512 and struct.unpack_from("<2f", labels, 124) == (460, 0) and np.frombuffer(labels, "<u2", 24, 352).max() == 460
+    with pytest.raises(ValueError):
+        nifti.encode(np.ones((2, 2, 2)), source=bytes(source))
+
+
 def test_nifti_headers():
     raw = bytearray(nifti.encode(np.ones((2, 2, 2)), labels=True))
     assert nifti.header(bytes(raw))["code"] == 2
@@ -400,6 +518,8 @@ def test_scalars(spark):
     assert one(scalars.threshold_list(F.lit("0.5, 0.1,2,x,0.5"))) == [0.1, 0.5]
     assert one(scalars.dims_of(F.lit("48x64x80"))) == [48, 64, 80] and one(scalars.dims_of(F.lit("48x64"))) is None
     assert one(elementwise.half_up(F.lit(-0.5))) == 0
+    assert one(scalars.flat_affine(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))))) == [1, 2, 3, 4]
+    assert [tuple(e) for e in one(scalars.ordered_entries(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))] == [("a", 2), ("b", 1)]
 
 
 # Plans
@@ -418,23 +538,6 @@ def test_spaces():
         model.check_length(a, 7)
 
 
-def test_runner():
-    stages = [model.Stage("one", "m"), model.Stage("two", "m", review=True), model.Stage("three", "bad")]
-    calls = []
-    modules = {"m": lambda r, s: calls.append(s.name) or s.name, "bad": lambda r, s: 1 / 0}
-    run = runner.execute(stages, modules, on_progress=lambda *a: 1 / 0)
-    assert run.status == "paused" and calls == ["one", "two"] and run.at == 2
-    run = runner.execute(stages, modules, run)
-    assert run.status == "failed" and "three" in run.error and set(run.seconds) == {"one", "two"}
-    modules["bad"] = lambda r, s: "ok"
-    assert runner.execute(stages, modules, run).status == "done" and calls == ["one", "two"]
-    with pytest.raises(ValueError):
-        runner.execute([model.Stage("x", "unknown")], modules)
-    assert not runner.runnable(model.Stage("x", "m", "a", True), {"m"}, set()) and runner.runnable(stages[0], {"m"}, set())
-    assert runner.asset_ids(runner.PIPELINES["network-map"]) == ["atlas", "pack", "profile"]
-    assert runner.first_provider(lambda p: p if p == "cpu" else 1 / 0, ["gpu", "cpu"]) == "cpu"
-
-
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = spark.createDataFrame([("v", i % 5) for i in range(40)], "volume_id string, vid int")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -44,3 +44,13 @@ def expand_subjects(tokens, subject_column: str = "subject"):
     """Distinct subjects of comma-separated tokens (column tokens, ord) in first-seen order."""
     parts = tokens.select("ord", F.posexplode(csv_list(F.col("tokens"))).alias("pos", subject_column))
     return parts.groupBy(subject_column).agg(F.min(F.struct("ord", "pos")).alias("seen")).orderBy("seen").select(subject_column)
+
+
+def flat_affine(affine: Column) -> Column:
+    """The 16 numbers of a 4 x 4 matrix, row by row."""
+    return F.flatten(affine)
+
+
+def ordered_entries(m: Column) -> Column:
+    """The entries of a map in the order of its keys."""
+    return F.sort_array(F.map_entries(m))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -132,16 +132,3 @@ def axes_prealign(fixed_mean, fixed_cov, moving_mean, moving_cov, prior=None) ->
     out[:3, :3] = rotation
     out[:3, 3] = np.asarray(moving_mean, float) - rotation @ np.asarray(fixed_mean, float)
     return out
-
-
-@dataclass(frozen=True)
-class Stage:
-    """One step of a pipeline: an implemented module by name, the asset it needs and whether it must have it."""
-
-    name: str
-    module: str
-    asset_id: str | None = None
-    required: bool = False
-    review: bool = False
-    hidden: bool = False
-    options: dict = field(default_factory=dict)

@@ -5,10 +5,10 @@ Statistics are joined per volume rather than taken by windows, so that they are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from .order import at_shares, ranked
 
 def finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -70,19 +70,10 @@ def z_score_nonzero(volume: DataFrame) -> DataFrame:
     return out.withColumn("value", (F.col("value") - m) / F.when(s == 0, 1.0).otherwise(s)).drop("m", "s")
 
 
-def _order_statistics(rows: DataFrame, **shares: float) -> DataFrame:
-    """Per volume the values at floor(share * n) of the ascending order: ranks of distinct values, not of rows."""
-    counts = rows.groupBy("volume_id", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("volume_id")
-    counts = counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("value"))).alias(k) for k, q in shares.items()]
-    return counts.groupBy("volume_id").agg(*picks)
-
-
 def p99_normalise(volume: DataFrame) -> DataFrame:
     """Subtract the minimum, divide by the nonzero value at rank floor(0.99 n), clamp to [0, 1]."""
     low = with_stats(volume, low=F.min("value")).withColumn("value", F.col("value") - F.col("low")).drop("low")
-    top = _order_statistics(low.where(F.col("value") > 0).select("volume_id", "value"), top=0.99)
+    top = at_shares(low.where(F.col("value") > 0).select("volume_id", "value"), top=0.99)
     ratio = F.when(F.coalesce("top", F.lit(0.0)) > 0, F.col("value") / F.col("top")).otherwise(F.col("value"))
     return low.join(top, "volume_id", "left").withColumn("value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio))).drop("top")
 
@@ -90,10 +81,9 @@ def p99_normalise(volume: DataFrame) -> DataFrame:
 def robust_normalise(volume: DataFrame, mask: DataFrame | None = None, zero_outside: bool = False, sample: int = 200_000) -> DataFrame:
     """Scale by the 1st and 99th floor-index percentiles of a strided sample of the masked values, clamp to [0, 1]."""
     inside = volume if mask is None else volume.join(mask.select("volume_id", "vid"), ["volume_id", "vid"], "left_semi")
-    w = Window.partitionBy("volume_id")
-    ranked = inside.select("volume_id", "value", F.row_number().over(w.orderBy("vid")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    ranked = ranked.where((F.col("r") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / sample)) == 0)
-    ends = _order_statistics(ranked.select("volume_id", "value"), lo=0.01, hi=0.99)
+    sampled = ranked(inside.select("volume_id", "vid", "value"), ["volume_id"], ["vid"])
+    sampled = sampled.where(F.col("r") % F.greatest(F.lit(1), F.floor(F.col("n") / sample)) == 0)
+    ends = at_shares(sampled.select("volume_id", "value"), lo=0.01, hi=0.99)
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     out = volume.join(ends, "volume_id").withColumn("value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - F.col("lo")) / span))).drop("lo", "hi")
     if mask is not None and zero_outside:

@@ -59,6 +59,24 @@ def report(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), *(finite_mean(F.col(c)).alias(f"mean_{c}") for c in columns)).orderBy(*by)
 
 
+def write_report(metrics: DataFrame, folder: str, by: list[str], columns: list[str], sweep: DataFrame | None = None) -> None:
+    """Writes results (and threshold_sweep) as CSV with a header and summary as a Markdown table of the report, each a folder under ``folder``."""
+    tables = {"results": metrics} | ({"threshold_sweep": sweep} if sweep is not None else {})
+    for name, t in tables.items():
+        t.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+    summary_lines(report(metrics, by, columns)).coalesce(1).write.mode("overwrite").text(f"{folder}/summary")  # a line for each group
+
+
+def summary_lines(table: DataFrame) -> DataFrame:
+    """One column ``line``: a Markdown table with four decimals for fractions, in the order of its first columns."""
+    cell = lambda f: F.format_string("%.4f", F.col(f.name)) if f.dataType.simpleString() in ("double", "float") else F.col(f.name).cast("string")
+    rows = table.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(cell(f), F.lit("")) for f in table.schema.fields)), F.lit(" |")).alias("line"), *table.columns)
+    head = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
+    top = table.sparkSession.createDataFrame([(k, h) for k, h in enumerate(head)], "k int, line string")
+    body = rows.withColumn("k", F.lit(2)).select("k", "line")
+    return top.unionByName(body).orderBy("k", "line").select("line")
+
+
 def threshold_sweep(probability: DataFrame, truth: DataFrame, thresholds: list[float], case: list[str]) -> DataFrame:
     """Scores of each case at each threshold. Cells are counted once by how many thresholds they reach, not once a threshold."""
     t = truth.select(*case, "vid").distinct().withColumn("t", F.lit(1))

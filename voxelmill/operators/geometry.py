@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import inverse, map_point
+from ..model import inverse, map_point, padded_dims
 from .elementwise import binarise, clean_label, half_up
 
 AT = ["volume_id", "x", "y", "z"]
@@ -147,6 +147,24 @@ def slice_range(volume: DataFrame, first: int, last: int, nz: int) -> DataFrame:
     return shift(volume.where(F.col("z").between(first, last)), (0, 0, -first))
 
 
+def slice_embed(part: DataFrame, first: int, part_dims, dims) -> DataFrame:
+    """Slices put back at ``first`` of a grid of the same width and height; raises where the grids don't fit, slices beyond its ends go."""
+    if tuple(part_dims[:2]) != tuple(dims[:2]):
+        raise ValueError(f"slices of {tuple(part_dims[:2])} don't fit into {tuple(dims[:2])}")
+    return shift(part, (0, 0, first)).where(inside(dims, "x", "y", "z"))
+
+
+def zero_pad(volume: DataFrame, dims, patch) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The dense volume on a grid that patches fill, with zeros beyond its ends, and the new dims."""
+    new_dims = padded_dims(dims, patch)
+    return grid(volume, new_dims).join(volume.select(*AT, "value"), AT, "left").withColumn("value", F.coalesce("value", F.lit(0.0))), new_dims
+
+
+def unpad(volume: DataFrame, dims) -> DataFrame:
+    """What of a padded volume lies on its first grid."""
+    return volume.where(inside(dims, "x", "y", "z"))
+
+
 def patch_starts(n: int, patch: int, overlap: float) -> list[int]:
     """Starts along one axis; the last patch ends at the edge."""
     step = max(1, int(np.floor(patch * (1 - overlap) + 0.5)))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of links (a, b); each round's table is checkpointed, so a lost executor doesn't recompute the loop."""
-    links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """node, component (its least node) of links (a, b); each round's table is written, so a lost executor doesn't recompute the loop."""
+    links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        links = checkpoint(small.where("a <> b").distinct())
+        links = written(small.where("a <> b").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

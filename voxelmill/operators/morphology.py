@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .geometry import AT, grid, inside, linear_id
 from .graph import components
 from .stats import percentile_mask
@@ -15,25 +18,62 @@ _HALF = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 _CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def _shifted(mask: DataFrame, offsets) -> DataFrame:
+def _shifted(mask: DataFrame, offsets, keep: list[str] = []) -> DataFrame:
     moves = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True))) for o in offsets)))
-    out = mask.select(*AT, moves.alias("o"))
-    return out.select("volume_id", *(F.col(c).alias(f"{c}0") for c in "xyz"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"))
-
-
-def label_components(mask: DataFrame, dims) -> DataFrame:
+    out = mask.select(*AT, *keep, moves.alias("o"))
+    return out.select("volume_id", *keep, *(F.col(c).alias(f"{c}0") for c in "xyz"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"))
+
+
+def _block_labels(x: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id of each voxel's component within one block: minima of the 3 x 3 x 3 surroundings, then those of the voxel that the minimum names, until nothing changes."""
+    x, y, z = (c - c.min() + 1 for c in (x, y, z))
+    none = np.iinfo(np.int64).max
+    label = np.full((x.max() + 2, y.max() + 2, z.max() + 2), none)
+    order = np.sort(ids)
+    label[x, y, z] = rank = np.searchsorted(order, ids)
+    best = np.empty(len(ids), np.int64)
+    while True:
+        around = label
+        for axis in range(3):
+            around = np.minimum(around, np.minimum(np.roll(around, 1, axis), np.roll(around, -1, axis)))
+        new = around[x, y, z]
+        best[rank] = new
+        new = best[new]
+        if np.array_equal(new, label[x, y, z]):
+            return order[new]
+        label[x, y, z] = new
+
+
+def label_components(mask: DataFrame, dims, block: int = 32) -> DataFrame:
     """Adds ``component``: the least linear id of the voxel's component of 26 neighbours.
 
-    Each voxel looks for half of its neighbours by an equality join on shifted coordinates. Volumes are told apart by a
-    hash of volume_id in the upper half of the node.
+    Components are found within blocks of ``block`` voxels a side; then only voxels at the blocks' borders look for neighbours in other
+    blocks, by an equality join on shifted coordinates, and star steps join the labels of blocks. Nodes are pairs of volume_id and label.
     """
-    node = F.struct(F.col("volume_id").alias("v"), linear_id(dims).cast("long").alias("i"))
-    near = _shifted(mask, _HALF).join(mask.select(*AT), AT)
-    here = F.struct(F.col("volume_id").alias("v"), linear_id(dims, "x0", "y0", "z0").cast("long").alias("i"))
-    links = near.select(here.alias("a"), node.alias("b"))
-    found = components(links).select(F.col("node").alias("_n"), F.col("component.i").alias("component"))
-    own = mask.withColumn("_n", node).join(found, "_n", "left")
-    return own.withColumn("component", F.coalesce("component", F.col("_n.i"))).drop("_n")
+    cells = mask.withColumns({f"_b{c}": F.floor(F.col(c) / block).cast("int") for c in "xyz"}).withColumn("_id", linear_id(dims).cast("long"))
+    schema, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.schema.fields), mask.columns
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, z, ids = (rows[c].to_numpy(np.int64) for c in ("x", "y", "z", "_id"))
+        return rows[columns].assign(_l=_block_labels(x, y, z, ids))
+
+    labelled = written(cells.groupBy("volume_id", "_bx", "_by", "_bz").applyInPandas(work, f"{schema}, _l long"))
+    spot = lambda c: F.pmod(F.col(c), F.lit(block))
+    edge = F.lit(False)
+    for c in "xyz":
+        edge = edge | (spot(c) == 0) | (spot(c) == block - 1)
+    border = labelled.where(edge).select(*AT, "_l")
+    away = F.lit(False)
+    for c in "xyz":
+        away = away | (F.floor(F.col(c) / block) != F.floor(F.col(f"{c}0") / block))
+    near = _shifted(border, _HALF, ["_l"]).where(away & inside(dims, "x", "y", "z")).join(border.select(*AT, F.col("_l").alias("_m")), AT)
+    node = lambda c: F.struct(F.col("volume_id").alias("v"), F.col(c).alias("i"))
+    links = written(near.where("_l <> _m").select(node("_l").alias("a"), node("_m").alias("b")).distinct())
+    if links.isEmpty():
+        return labelled.withColumnRenamed("_l", "component")
+    found = components(links).select(F.col("node.v").alias("volume_id"), F.col("node.i").alias("_l"), F.col("component.i").alias("component"))
+    out = labelled.join(found, ["volume_id", "_l"], "left").withColumn("component", F.coalesce("component", "_l"))
+    return out.select(*mask.columns, "component")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -41,10 +81,13 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 
 
 def component_summary(labelled: DataFrame) -> DataFrame:
-    """Number of components, the largest and the five largest sizes as text."""
-    sizes = component_sizes(labelled).groupBy("volume_id").agg(F.sort_array(F.collect_list("voxels"), False).alias("s"))
-    top = F.array_join(F.transform(F.slice("s", 1, 5), lambda n: n.cast("string")), ",")
-    return sizes.select("volume_id", F.size("s").alias("components"), F.get("s", F.lit(0)).alias("largest"), top.alias("largest_five"))
+    """Number of components, the largest and the five largest sizes as text. Sizes are counted, so that no list of all components is made."""
+    counts = component_sizes(labelled).groupBy("volume_id", "voxels").agg(F.count(F.lit(1)).alias("c"))
+    all_ = counts.groupBy("volume_id").agg(F.sum("c").cast("int").alias("components"), F.max("voxels").alias("largest"))
+    rank = F.row_number().over(Window.partitionBy("volume_id").orderBy(F.desc("voxels")))
+    five = counts.withColumn("k", rank).where("k <= 5").select("volume_id", F.explode(F.array_repeat("voxels", F.least("c", F.lit(5)).cast("int"))).alias("s"))
+    five = five.groupBy("volume_id").agg(F.slice(F.sort_array(F.collect_list("s"), False), 1, 5).alias("s"))  # 25 at most
+    return all_.join(five, "volume_id").select("volume_id", "components", "largest", F.array_join(F.transform("s", lambda n: n.cast("string")), ",").alias("largest_five"))
 
 
 def remove_small(mask: DataFrame, dims, least: int) -> DataFrame:

@@ -27,6 +27,14 @@ def rank_terms(weights: DataFrame, profile: DataFrame, top: int = 8, least: floa
     return out.orderBy(F.desc("score"), "term").limit(top)
 
 
+def distinct_labels(atlas: DataFrame, expected: int | None = None) -> DataFrame:
+    """The positive labels of an atlas in ascending order; raises if there aren't as many as expected."""
+    labels = atlas.where("label > 0").select("label").distinct().orderBy("label")
+    if expected is not None and (n := labels.count()) != expected:
+        raise ValueError(f"{n} labels, not {expected}")
+    return labels
+
+
 def keep_term(term: Column, stop_words: list[str]) -> Column:
     """Non-empty, not a stop word, of three characters at least, and not only digits."""
     t = F.lower(F.trim(term))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import written
 from .elementwise import half_up
 from .geometry import AT, _weigh, inside, resize_linear
 
@@ -24,7 +24,7 @@ def integrate(velocity: DataFrame, dims, steps: int = 7) -> DataFrame:
     for _ in range(steps):
         moved = d.select(*AT, *((F.col(c) + F.col(f"d{c}")).alias(f"s{c}") for c in "xyz"))
         added = sample_field(moved, d, dims).select(*AT, *(F.col(c).alias(f"_{c}") for c in D))
-        d = checkpoint(d.join(added, AT).select(*AT, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in D)))
+        d = written(d.join(added, AT).select(*AT, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in D)))
     return d
 
 
@@ -52,7 +52,7 @@ def inverse_field(field: DataFrame, dims, rounds: int = 8) -> DataFrame:
     e = field.select(*AT, *(F.lit(0.0).alias(c) for c in D))
     for _ in range(rounds):
         at = e.select(*AT, *((F.col(c) + F.col(f"d{c}")).alias(f"s{c}") for c in "xyz"))
-        e = checkpoint(sample_field(at, field, dims).select(*AT, *((-F.col(c)).alias(c) for c in D)))
+        e = written(sample_field(at, field, dims).select(*AT, *((-F.col(c)).alias(c) for c in D)))
     return e
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .elementwise import z_score
 from .geometry import AT, patch_voxels
+from .morphology import remove_small
 
+# The eight flips of test-time augmentation.
 FLIPS = [(), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
 
 
@@ -26,18 +28,28 @@ def gaussian_weight(patch, sigma: float) -> Column:
 
 
 def score_patches(voxels: DataFrame, patch, scorer: Callable[[np.ndarray], np.ndarray], flips=FLIPS[:1]) -> DataFrame:
-    """Mean probability over the flips, per voxel of each patch."""
+    """Mean probability over the flips, per voxel of each patch.
+
+    Voxels with a column ``channel`` (0, 1, ...) are scored together: the scorer gets an array of channels by patch.
+    """
     shape, schema = tuple(patch), "volume_id string, px int, py int, pz int, ix int, iy int, iz int, x int, y int, z int, p double"
+    keep = ["volume_id", "px", "py", "pz", "ix", "iy", "iz", "x", "y", "z"]
+    several = "channel" in voxels.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         at = tuple(rows[f"i{c}"].to_numpy() for c in "xyz")
-        block = np.zeros(shape)
-        block[at] = rows["value"]
-        p = np.mean([np.flip(scorer(np.flip(block, f)), f) for f in flips], axis=0)
-        keep = ["volume_id", "px", "py", "pz", "ix", "iy", "iz", "x", "y", "z"]
-        return rows[keep].assign(p=p[at])
-
-    kinds = [F.col("volume_id").cast("string"), *(F.col(c).cast("int") for c in ("px", "py", "pz", "ix", "iy", "iz", "x", "y", "z")), F.col("value").cast("double")]
+        if several:
+            block = np.zeros((int(rows["channel"].max()) + 1, *shape))
+            block[(rows["channel"].to_numpy(), *at)] = rows["value"]
+        else:
+            block = np.zeros(shape)
+            block[at] = rows["value"]
+        p = np.mean([np.flip(scorer(np.flip(block, tuple(a + several for a in f))), f) for f in flips], axis=0)
+        out = rows[keep].assign(p=p[at])
+        return out.drop_duplicates(keep) if several else out
+
+    kinds = [F.col("volume_id").cast("string"), *(F.col(c).cast("int") for c in keep[1:]), F.col("value").cast("double")]
+    kinds += [F.col("channel").cast("int")] if several else []
     return voxels.select(*kinds).groupBy("volume_id", "px", "py", "pz").applyInPandas(run, schema)
 
 
@@ -53,9 +65,10 @@ def patch_stats(scored: DataFrame, first: int = 5) -> DataFrame:
     return per.orderBy("volume_id", "pz", "py", "px").limit(first)
 
 
-def sliding_window(volume: DataFrame, dims, patch, scorer, overlap: float = 0.25, threshold: float = 0.4, sigma: float = 8.0, flips=FLIPS[:1]) -> tuple[DataFrame, DataFrame]:
-    """The blended probability of dense volumes and the mask that reaches the threshold."""
+def sliding_window(volume: DataFrame, dims, patch, scorer, overlap: float = 0.25, threshold: float = 0.4, sigma: float = 8.0, flips=FLIPS[:1], least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The blended probability of dense volumes and the mask that reaches the threshold, without components of fewer than ``least`` voxels."""
     voxels = patch_voxels(z_score(volume), dims, patch, overlap)
     mixed = blend(score_patches(voxels, patch, scorer, flips), patch, sigma)
     probability = mixed.select(*AT, (F.col("p") / F.col("w")).alias("p"))
-    return probability, probability.where(F.col("p") >= threshold)
+    mask = probability.where(F.col("p") >= threshold)
+    return probability, mask if least <= 1 else remove_small(mask, dims, least)

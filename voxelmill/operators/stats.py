@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from ..session import written
+from .order import quantile
 
 def abs_quantile(volume: DataFrame, q: float) -> DataFrame:
     """cutoff: the exact interpolated quantile of absolute values; 0 for q <= 0 or an empty volume, the maximum for q >= 1."""
     a = F.abs(F.col("value"))
-    found = F.lit(0.0) if q <= 0 else F.max(a) if q >= 1 else F.percentile(a, q)
-    return volume.agg(F.coalesce(found, F.lit(0.0)).alias("cutoff"))
+    if 0 < q < 1:
+        return quantile(volume.select(a.alias("a")), "a", q).select(F.coalesce("cutoff", F.lit(0.0)).alias("cutoff"))
+    return volume.agg(F.coalesce(F.lit(0.0) if q <= 0 else F.max(a), F.lit(0.0)).alias("cutoff"))
 
 
 def percentile_mask(volume: DataFrame, q: float, symmetric: bool = False) -> DataFrame:
-    """Voxels strictly beyond the quantile of absolute values, by value or by absolute value."""
+    """Voxels strictly beyond the quantile of absolute values, by value or by absolute value. The volume is computed once."""
+    volume = written(volume)
     cut = F.broadcast(abs_quantile(volume, q))  # one row
     return volume.crossJoin(cut).where((F.abs(F.col("value")) if symmetric else F.col("value")) > F.col("cutoff")).drop("cutoff")
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import connect, connectome, elementwise, evaluate, geometry, morphology, overlap, rank, registration, score, stats
+from ..operators import connect, connectome, elementwise, evaluate, geometry, morphology, overlap, rank, registration, score, stats, steps
+from ..session import shared_folder, written
+from ..sources import nifti, pack as packs
 from . import substrate as S
 from .substrate import CASES, DIMS, MASK, OVERLAP, PACK, SERIES, VOL, micro
 from .substrate import micro_sql as M
@@ -68,13 +70,16 @@ def jn3_named_parcels(spark, sf):
     return overlap.order_parcels(out).select("label", "parcel", "network", "voxels")
 
 
-@query(f"WITH {OVERLAP}, ns AS (SELECT network, count(*) AS network_size FROM atlas JOIN names USING (label) GROUP BY 1) SELECT network, voxels, {M('fraction')} AS fraction, network_size, {M('voxels / network_size')} AS of_network FROM summary LEFT JOIN ns USING (network) WHERE voxels >= 110")
+@query(f"WITH {OVERLAP}, ns AS (SELECT network, count(*) AS network_size FROM atlas JOIN names USING (label) GROUP BY 1) SELECT network, voxels, {M('fraction')} AS fraction, network_size, {M('voxels / network_size')} AS of_network FROM summary LEFT JOIN ns USING (network) WHERE voxels >= (SELECT sum(voxels) / 6 FROM hits)")
 def rpt2_direct_overlap(spark, sf):
-    out = overlap.direct_overlap(S.mask(spark, sf), S.atlas(spark), S.names(spark, sf), 110)
+    mask = S.mask(spark, sf)
+    out = overlap.direct_overlap(mask, S.atlas(spark), S.names(spark, sf), mask.count() / 6)
     return out.select("network", "voxels", micro(F.col("fraction")).alias("fraction"), "network_size", micro(F.col("fraction_of_network")).alias("of_network"))
 
 
-@query()
+@query(f"""WITH {OVERLAP}, ns AS (SELECT network, count(*) AS network_size FROM atlas JOIN names USING (label) GROUP BY 1)
+SELECT 'network,voxels,fraction,network_size,fraction_of_network,parcels' AS line UNION ALL
+SELECT concat_ws(',', network, voxels, printf('%.4f', fraction), coalesce(CAST(network_size AS VARCHAR), ''), coalesce(printf('%.4f', voxels / network_size), ''), array_to_string(parcels, ';')) FROM summary LEFT JOIN ns USING (network)""")
 def snk4_overlap_csv(spark, sf):
     return overlap.overlap_csv(overlap.direct_overlap(S.mask(spark, sf), S.atlas(spark), S.names(spark, sf)))
 
@@ -109,13 +114,14 @@ def agg4_weighted_sum(spark, sf):
     return _network_map(spark, sf).select(F.col("vid").cast("long").alias("vid"), micro(F.col("value")).alias("value"))
 
 
-@query("SELECT DISTINCT CAST(l_partkey % 40 AS INT) AS shard FROM lineitem WHERE l_orderkey % 97 = 3")
+@query("SELECT DISTINCT l_partkey AS shard FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice >= 0.97 * (SELECT max(o_totalprice) FROM orders)")
 def jn7_requested_shards(spark, sf):
-    li = S.table(spark, sf, "lineitem")
-    shards = li.groupBy((F.col("l_partkey") % 40).cast("int").alias("shard")).agg(F.collect_set(F.col("l_orderkey").cast("string")).alias("channel_labels"))
-    asked = li.where("l_orderkey % 97 = 3").select(F.col("l_orderkey").cast("string").alias("channel_label")).distinct()
-    keyed = li.where("l_orderkey % 97 = 3").select((F.col("l_partkey") % 40).cast("int").alias("shard")).distinct()
-    return connect.requested_shards(shards, asked).join(keyed, "shard", "left_semi")
+    """Parts are shards, their orders channels; the dearest orders are asked for."""
+    shards = S.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("shard")).agg(F.collect_set(F.col("l_orderkey").cast("string")).alias("channel_labels"))
+    orders = S.table(spark, sf, "orders")
+    top = F.broadcast(orders.agg(F.max("o_totalprice").alias("top")))  # one row
+    asked = orders.crossJoin(top).where(F.col("o_totalprice") >= 0.97 * F.col("top"))
+    return connect.requested_shards(shards, asked.select(F.col("o_orderkey").cast("string").alias("channel_label")))
 
 
 @query(f"{_WEIGHTS} SELECT {M('quantile_cont(abs(value), 0.9)')} AS cutoff FROM total_map")
@@ -169,12 +175,12 @@ def prj8_z_score(spark, sf):
     return elementwise.z_score(S.volume(spark, sf)).select("vid", micro(F.col("value")).alias("z"))
 
 
-_SPARSE = f"WITH {VOL}, sv AS (SELECT vid, CASE WHEN n > 15 THEN value ELSE 0 END AS v FROM vol)"
+_SPARSE = f"WITH {VOL}, sv AS (SELECT vid, CASE WHEN n > (SELECT avg(n) FROM vol) THEN value ELSE 0 END AS v FROM vol)"
 
 
 @query(f"{_SPARSE} SELECT vid, {M('(v - (SELECT avg(v) FROM sv WHERE v <> 0)) / (SELECT stddev_pop(v) FROM sv WHERE v <> 0)')} AS z FROM sv")
 def prj9_z_score_nonzero(spark, sf):
-    v = S.volume(spark, sf).withColumn("value", F.when(F.col("n") > 15, F.col("value")).otherwise(0.0))
+    v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("n")).withColumn("value", F.when(F.col("n") > F.col("mean"), F.col("value")).otherwise(0.0))
     return elementwise.z_score_nonzero(v).select("vid", micro(F.col("value")).alias("z"))
 
 
@@ -247,9 +253,9 @@ def agg7_moments(spark, sf):
     return m.select("n", *(micro(F.col(c)).alias(c) for c in ("cx", "cy", "cz", "cxx", "cxy", "czz")))
 
 
-@query(f"WITH {VOL}, s AS (SELECT * FROM vol WHERE value > 450) SELECT false AS empty, greatest(0, min(x) - 1) AS x0, least(16, max(x) + 2) AS x1, greatest(0, min(y) - 1) AS y0, least(16, max(y) + 2) AS y1, greatest(0, min(z) - 1) AS z0, least(16, max(z) + 2) AS z1 FROM s")
+@query(f"WITH {VOL}, s AS (SELECT * FROM vol WHERE value > 0.8 * (SELECT max(value) FROM vol)) SELECT count(*) = 0 AS empty, greatest(0, min(x) - 1) AS x0, least(16, max(x) + 2) AS x1, greatest(0, min(y) - 1) AS y0, least(16, max(y) + 2) AS y1, greatest(0, min(z) - 1) AS z0, least(16, max(z) + 2) AS z1 FROM s")
 def agg9_bounding_box(spark, sf):
-    v = S.volume(spark, sf).withColumn("value", F.when(F.col("value") > 450, F.col("value")).otherwise(0.0))
+    v = elementwise.with_stats(written(S.volume(spark, sf)), top=F.max("value")).withColumn("value", F.when(F.col("value") > 0.8 * F.col("top"), F.col("value")).otherwise(0.0))
     return stats.bounding_box(v, DIMS, 1).select("empty", "x0", "x1", "y0", "y1", "z0", "z1")
 
 
@@ -373,7 +379,11 @@ def agg12_component_summary(spark, sf):
     return morphology.component_summary(morphology.label_components(S.mask(spark, sf), DIMS)).drop("volume_id")
 
 
-@query()
+@query(f"""{_COMPONENTS}, best AS (SELECT component FROM sized ORDER BY voxels DESC, component LIMIT 1), big AS (SELECT vid FROM comp JOIN best USING (component)),
+free AS (SELECT CAST(range AS INT) AS vid, CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096) WHERE range NOT IN (SELECT vid FROM big)),
+outside AS (SELECT vid, x, y, z FROM free WHERE least(x, y, z) = 0 OR greatest(x, y, z) = 15 UNION SELECT f.vid, f.x, f.y, f.z FROM outside o JOIN free f ON abs(f.x - o.x) <= 1 AND abs(f.y - o.y) <= 1 AND abs(f.z - o.z) <= 1)
+SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)
+WHERE range IN (SELECT vid FROM big) OR (range NOT IN (SELECT vid FROM outside) AND (SELECT count(*) FROM sized) > 1)""")
 def mor3_keep_largest_and_fill(spark, sf):
     return _ones(morphology.keep_largest_and_fill(S.mask(spark, sf), DIMS))
 
@@ -383,9 +393,10 @@ def mor4_dilate(spark, sf):
     return _ones(morphology.dilate(S.mask(spark, sf), DIMS, 2))
 
 
-@query(f"WITH {MASK}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT g.x, g.y, g.z FROM g JOIN mask m ON abs(g.x - m.x) <= 1 AND abs(g.y - m.y) <= 1 AND abs(g.z - m.z) <= 1 GROUP BY 1, 2, 3 HAVING count(*) >= 7")
+@query(f"WITH {VOL}, m AS (SELECT x, y, z FROM vol WHERE value >= (SELECT avg(value) FROM vol)), g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT g.x, g.y, g.z FROM g JOIN m ON abs(g.x - m.x) <= 1 AND abs(g.y - m.y) <= 1 AND abs(g.z - m.z) <= 1 GROUP BY 1, 2, 3 HAVING count(*) >= 14")
 def mor6_smooth(spark, sf):
-    return _ones(morphology.smooth(S.mask(spark, sf), DIMS, 7))
+    v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("value")).where(F.col("value") >= F.col("mean"))
+    return _ones(morphology.smooth(v, DIMS))
 
 
 @query(f"WITH {MASK}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT x, y, z FROM g ANTI JOIN mask USING (x, y, z)")
@@ -524,19 +535,203 @@ def agg26_group_t_population(spark, sf):
 # Scoring
 
 
-def _edge_scorer(patch):
-    return (patch > 0).astype(float)
+def _slope_scorer(patch):
+    """Half of a voxel, three tenths of its next one along x and two along y; nothing beyond the patch. Flips and the patch's edge both show."""
+    out = 0.5 * patch
+    out[:-1] += 0.3 * patch[1:]
+    out[:, :-1] += 0.2 * patch[:, 1:]
+    return out
 
 
-@query(f"WITH {VOL}, a AS (SELECT avg(value) AS m FROM vol) SELECT vid, CASE WHEN value > m THEN 1000000 ELSE 0 END::BIGINT AS p FROM vol, a")
+_WINDOW = f"""WITH {VOL}, s AS (SELECT unnest([0, 6, 8]) AS p), zs AS (SELECT x, y, z, (value - (SELECT avg(value) FROM vol)) / (SELECT stddev_pop(value) FROM vol) AS v FROM vol),
+cell AS (SELECT a.p AS px, b.p AS py, c.p AS pz, x, y, z, v FROM zs, s a, s b, s c WHERE x >= a.p AND x < a.p + 8 AND y >= b.p AND y < b.p + 8 AND z >= c.p AND z < c.p + 8),
+part AS (SELECT *, 0.5::DOUBLE * v AS q FROM cell UNION ALL SELECT px, py, pz, x - d, y, z, v, 0.3::DOUBLE * v * share FROM cell, (VALUES WAYS) t(d, share) WHERE x - d >= px AND x - d < px + 8
+  UNION ALL SELECT px, py, pz, x, y - d, z, v, 0.2::DOUBLE * v * share FROM cell, (VALUES WAYS) t(d, share) WHERE y - d >= py AND y - d < py + 8),
+scored AS (SELECT px, py, pz, x, y, z, sum(q) AS q FROM part GROUP BY ALL),
+mixed AS (SELECT x + 16 * y + 256 * z AS vid, sum(q * w) / sum(w) AS p FROM (SELECT *, exp(-((x - px - 3.5) ** 2 + (y - py - 3.5) ** 2 + (z - pz - 3.5) ** 2) / 8) AS w FROM scored SEMI JOIN vol USING (x, y, z)) GROUP BY 1)"""
+
+
+@query(f"{_WINDOW.replace('WAYS', '(1, 0.5::DOUBLE), (-1, 0.5::DOUBLE)')} SELECT vid, {M('p')} AS p FROM mixed")
 def inf1_sliding_window(spark, sf):
-    """With a scorer that looks at one voxel at a time, blending gives back its answer."""
-    v = S.volume(spark, sf)
-    probability, _ = score.sliding_window(v, DIMS, (8, 8, 8), _edge_scorer, flips=score.FLIPS)
+    """All flips: what the scorer takes from one side it takes from both, half each."""
+    probability, _ = score.sliding_window(written(S.volume(spark, sf)), DIMS, (8, 8, 8), _slope_scorer, sigma=2.0, flips=score.FLIPS)
     return probability.select(geometry.linear_id(DIMS).cast("int").alias("vid"), micro(F.col("p")).alias("p"))
 
 
-@query()
+@query(f"{_WINDOW.replace('WAYS', '(1, 1.0::DOUBLE)')} SELECT vid FROM mixed WHERE p >= 0.4")
+def inf5_scored_mask(spark, sf):
+    """One pass without flips, and its mask."""
+    _, mask = score.sliding_window(written(S.volume(spark, sf)), DIMS, (8, 8, 8), _slope_scorer, sigma=2.0)
+    return mask.select(geometry.linear_id(DIMS).cast("int").alias("vid"))
+
+
+def _identity(patch):
+    return patch
+
+
+@query(f"WITH {VOL}, z AS (SELECT *, (value - (SELECT avg(value) FROM vol)) / (SELECT stddev_pop(value) FROM vol) AS v FROM vol) SELECT x, y, z FROM z WHERE v >= 0.4")
+def inf3_segmentation_step(spark, sf):
+    """With a scorer that gives back its input, axes in reverse order and patches that need padding, the step is the threshold of the z-score."""
+    return steps.segment(written(S.volume(spark, sf)), DIMS, (1.0, 1.0, 1.0), _identity, (5, 7, 6), zyx=True, sigma=2.0).select("x", "y", "z")
+
+
+def _two_logits(block):
+    import numpy as np
+
+    return np.stack([block[1], block[0]])
+
+
+@query(f"WITH {VOL}, z AS (SELECT *, (value - (SELECT avg(value) FROM vol WHERE value <> 0)) / (SELECT stddev_pop(value) FROM vol WHERE value <> 0) AS a, (n - (SELECT avg(n) FROM vol)) / (SELECT stddev_pop(n) FROM vol) AS b FROM vol) SELECT x, y, z FROM z WHERE 1 / (1 + exp(b - a)) >= 0.5")
+def inf4_two_channels(spark, sf):
+    """Logits are the channels, swapped: where the first channel is larger, the second class wins."""
+    v = written(S.volume(spark, sf))
+    at = ["volume_id", "x", "y", "z"]
+    both = v.select(*at, F.lit(0).alias("channel"), "value").unionByName(v.select(*at, F.lit(1).alias("channel"), F.col("n").cast("double").alias("value")))
+    return steps.segment_channels(both, DIMS, (6, 6, 6), _two_logits, least=1, overlap=0.25).select("x", "y", "z")
+
+
+def _near_middle(block):
+    """A distance: two less the normalised value, so that bright voxels lie inside."""
+    return 2.0 - 1.5 * block
+
+
+@query(f"""WITH RECURSIVE {VOL}, low AS (SELECT *, value - 0 AS v FROM vol), nz AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM low WHERE v > 0), top AS (SELECT v AS t FROM nz WHERE r = floor(n * 0.99)),
+mask AS (SELECT vid, x, y, z FROM low, top WHERE 2 - 1.5::DOUBLE * least(1, v / t) < 1),
+near AS (SELECT a.vid AS a, b.vid AS b FROM mask a JOIN mask b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+least AS (SELECT min(vid) AS root FROM mask), reach AS (SELECT root AS vid FROM least UNION SELECT b FROM reach JOIN near ON a = vid) SELECT x, y, z FROM mask SEMI JOIN reach USING (vid)""")
+def inf2_extract_brain(spark, sf):
+    """Most voxels hang together here, so the largest component is that of the first one, and has no holes inside."""
+    out = steps.extract_brain(written(S.volume(spark, sf)), DIMS, (1.0, 1.0, 1.0), _near_middle, conform=lambda d: tuple(max(20, n) for n in d))
+    return out.select("x", "y", "z")
+
+
+# Sources and sinks: written, read and compared
+
+
+def _folder(spark, name):
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {VOL}, g AS (SELECT CAST(range AS INT) AS vid FROM range(4096)) SELECT CAST(g.vid AS BIGINT) AS vid, coalesce(value, 0) AS value FROM g LEFT JOIN vol USING (vid)")
+def src1_nifti_volume(spark, sf):
+    """SRC-1..4, SNK-1, SNK-3: a volume as a compressed file of float32 and back, zeros included."""
+    folder = _folder(spark, "nifti")
+    nifti.write_files(nifti.to_files(S.volume(spark, sf), DIMS), folder)
+    return nifti.read_voxels(spark, folder).select("vid", "value")
+
+
+@query(f"WITH {MASK} SELECT CAST(vid AS BIGINT) AS vid, CAST(label AS DOUBLE) AS value, 16 AS nx, 2 AS datatype, 5.0::DOUBLE AS shift FROM atlas")
+def snk2_nifti_labels(spark, sf):
+    """SNK-2, SRC-3: labels written with the header of a source volume; its affine and grid are kept, its type is not."""
+    import numpy as np
+
+    folder, first = _folder(spark, "nifti"), _folder(spark, "nifti")
+    affine = np.diag([2.0, 3.0, 4.0, 1.0])
+    affine[2, 3] = 5
+    nifti.write_files(nifti.to_files(S.volume(spark, sf), DIMS, affine), first)
+    source = bytes(nifti.read_meta(spark, first).first().header)
+    labels = S.atlas(spark).select(F.lit("atlas").alias("volume_id"), "x", "y", "z", F.col("label").alias("value"))
+    nifti.write_files(nifti.to_files(labels, DIMS, labels=True, compress=False, source=source), folder, ".nii")
+    meta = nifti.read_meta(spark, folder).select("volume_id", "nx", "datatype", F.col("affine")[2][3].alias("shift"))
+    return nifti.read_voxels(spark, folder, nonzero=True).join(F.broadcast(meta), "volume_id").select("vid", "value", "nx", "datatype", "shift")
+
+
+@query(f"WITH {PACK} SELECT channel, vid, {M('t')} AS t FROM pack WHERE channel BETWEEN 4 AND 6")
+def src7_pack_shards(spark, sf):
+    """SRC-6, SRC-7: a pack in shards of three channels, of which one is read."""
+    folder = _folder(spark, "pack")
+    packs.write_pack(S.pack(spark, sf), folder, 3)
+    out = packs.read_pack(spark, folder, [4, 5, 6], 3)
+    return out.select("channel", "vid", micro(F.col("t")).alias("t"))
+
+
+@query(f"WITH {VOL} SELECT 1 + z // 8 AS channel, x, y, z % 8 AS z, CAST(n AS BIGINT) AS t FROM vol WHERE n <= 2048")
+def src8_packed_half_floats(spark, sf):
+    """SRC-8, SRC-9, SNK-8: counts as packed half floats, which hold whole numbers up to 2048, and back."""
+    v = S.volume(spark, sf)
+    maps = v.select((1 + F.floor(F.col("z") / 8)).cast("int").alias("channel"), "x", "y", (F.col("z") % 8).alias("z"), F.col("n").alias("t"))
+    shards = packs.encode_shards(maps, (16, 16, 8)).select(F.lit(1).alias("first_channel"), "content")
+    out = packs.decode_pack(shards, packs.index('{"shape": [2, 16, 16, 8], "dtype": "float16"}'))
+    return out.where("t <> 0").select("channel", "x", "y", "z", F.col("t").cast("long").alias("t"))
+
+
+@query("SELECT p_type AS network, p_brand AS term, CAST(floor(avg(p_retailprice) / 2000 * 1000000 + 0.5) AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS INT) AS rank, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_brand) - 1 AS INT) AS ord FROM part GROUP BY 1, 2")
+def snk9_profile_json(spark, sf):
+    """SNK-9, SRC-10: profiles as one JSON document and back."""
+    from pyspark.sql import Window
+
+    p = S.profile(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("network").orderBy("term"))).withColumn("ord", F.col("rank") - 1)
+    folder = _folder(spark, "profile")
+    packs.profile_json(p, "types").select("value").coalesce(1).write.text(folder)  # one row
+    return packs.read_profiles(spark, folder, "types").select("network", "term", micro(F.col("score")).alias("score"), "rank", "ord")
+
+
+@query(f"{_COUNTS} SELECT '| lang | cases | mean_dice |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT concat('| ', lang, ' | ', count(*), ' | ', printf('%.4f', avg(2 * tp / (2 * tp + fp + fn))), ' |') FROM k GROUP BY lang")
+def snk5_summary(spark, sf):
+    """The Markdown summary beside the CSV of all cases, written and read."""
+    m = evaluate.scores(evaluate.confusion(*S.predictions(spark, sf), ["lang", "source"]))
+    folder = _folder(spark, "report")
+    evaluate.write_report(m.select("lang", "source", "tp", "fp", "fn", "dice"), folder, ["lang"], ["dice"])
+    return spark.read.text(f"{folder}/summary").select(F.col("value").alias("line"))
+
+
+@query(f"{_COUNTS} SELECT lang, CAST(count(*) AS BIGINT) AS cases, {M('avg(2 * tp / (2 * tp + fp + fn)) FILTER (WHERE tp + fn > 1 AND tp > 0)')} AS mean_dice FROM k GROUP BY 1")
+def agg16_finite_mean(spark, sf):
+    """Cases with one true voxel at most count as NaN, those without a hit as infinite: neither enters the mean."""
+    m = evaluate.scores(evaluate.confusion(*S.predictions(spark, sf), ["lang", "source"]))
+    odd = F.when(F.col("tp") + F.col("fn") <= 1, float("nan")).when(F.col("tp") == 0, float("inf")).otherwise(F.col("dice"))
+    return evaluate.report(m.withColumn("dice", odd), ["lang"], ["dice"]).withColumn("mean_dice", F.when(F.isnan("mean_dice"), None).otherwise(micro(F.col("mean_dice"))))
+
+
+@query("SELECT DISTINCT label FROM (SELECT CAST(range % 26 AS INT) AS label FROM range(4096)) WHERE label > 0")
+def agg32_distinct_labels(spark, sf):
+    return rank.distinct_labels(S.atlas(spark), 25)
+
+
+# Registration
+
+
+@query("SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z, CAST(floor(range % 16 * 14 / 15 * 1000000 + 0.5) AS BIGINT) AS dx, CAST(floor((3 - range // 256 * 7 / 15) * 1000000 + 0.5) AS BIGINT) AS dz FROM range(4096)")
+def reg5_enlarged_field(spark, sf):
+    """A field that is linear on 8 x 8 x 8 voxels, ends aligned, with displacements twice as long on twice the grid."""
+    ids = spark.createDataFrame([("f",)], "volume_id string")
+    f = geometry.grid(ids, (8, 8, 8)).select("volume_id", "x", "y", "z", F.col("x").cast("double").alias("dx"), F.lit(0.0).alias("dy"), (1.5 - F.col("z") / 2).alias("dz"))
+    out = registration.enlarge(f, (8, 8, 8), DIMS)
+    return out.select("x", "y", "z", micro(F.col("dx") + 1e-9).alias("dx"), micro(F.col("dz") + 1e-9).alias("dz"))
+
+
+def _moved(spark, volume, d):
+    field = geometry.grid(volume, DIMS)
+    return field.select("volume_id", "x", "y", "z", *(F.lit(float(v)).alias(c) for v, c in zip(d, ("dx", "dy", "dz"), strict=True)))
+
+
+@query(f"WITH {VOL} SELECT x + 2 AS x, y, z - 3 AS z, value FROM vol WHERE x + 2 < 16 AND z - 3 >= 0")
+def reg7_inverse_warp(spark, sf):
+    """The inverse of a constant field moves voxels by it."""
+    v = written(S.volume(spark, sf))
+    out = registration.inverse_warp(v, _moved(spark, v, (2, 0, -3)), DIMS, True, 3)
+    return out.where("value <> 0").select("x", "y", "z", "value")
+
+
+@query(f"WITH {MASK} SELECT x - 1 AS x, y - 4 AS y, z FROM mask WHERE x >= 1 AND y >= 4")
+def reg10_warp_mask(spark, sf):
+    m = written(S.mask(spark, sf))
+    return _ones(registration.warp_mask(m, _moved(spark, m, (1, 4, 0)), DIMS))
+
+
+@query("SELECT CAST(range % 4 AS INT) AS x, CAST(range // 4 AS INT) AS y, CAST(floor(least(3, greatest(0, range % 4 * 1.5::DOUBLE - 1)) * 1000000 + 0.5) AS BIGINT) AS dx, CAST(floor(least(3, range // 4 + 0.25::DOUBLE) * 10 * 1000000 + 0.5) AS BIGINT) AS dy FROM range(16)")
+def reg8_sampled_vectors(spark, sf):
+    """Vectors between voxels, and beyond the edge those of the edge."""
+    ids = spark.createDataFrame([("f",)], "volume_id string")
+    f = geometry.grid(ids, (4, 4, 1)).select("volume_id", "x", "y", "z", F.col("x").cast("double").alias("dx"), (F.col("y") * 10.0).alias("dy"), F.lit(0.0).alias("dz"))
+    at = geometry.grid(ids, (4, 4, 1)).withColumns({"sx": F.col("x") * 1.5 - 1, "sy": F.col("y") + 0.25, "sz": F.lit(0.0)})
+    out = registration.sample_field(at, f, (4, 4, 1))
+    return out.select("x", "y", micro(F.col("dx")).alias("dx"), micro(F.col("dy")).alias("dy"))
+
+
+@query(f"WITH {VOL}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT g.x, g.y, g.z, {M('CASE WHEN g.x < 15 THEN 0.5 * coalesce(a.value, 0) + 0.5 * coalesce(b.value, 0) ELSE 0 END')} AS value FROM g LEFT JOIN vol a ON a.vid = g.x + 16 * g.y + 256 * g.z LEFT JOIN vol b ON g.x < 15 AND b.vid = g.x + 1 + 16 * g.y + 256 * g.z")
 def reg4_warp(spark, sf):
     """A constant velocity of half a voxel along x, integrated and applied."""
     v = S.volume(spark, sf)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 DIMS = (16, 16, 16)
 PACK_DIMS = (4, 4, 4)
 
@@ -23,9 +25,9 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels whose count is over mean plus one deviation."""
-    v = volume(spark, sf_dir)
+    v = written(volume(spark, sf_dir))
     cut = v.groupBy("volume_id").agg((F.avg("n") + F.stddev_pop("n")).alias("cut"))
-    return v.join(cut, "volume_id").where(F.col("n") > F.col("cut")).select("volume_id", "vid", "x", "y", "z", F.lit(1.0).alias("value"))
+    return v.join(F.broadcast(cut), "volume_id").where(F.col("n") > F.col("cut")).select("volume_id", "vid", "x", "y", "z", F.lit(1.0).alias("value"))  # one row a volume
 
 
 def atlas(spark: SparkSession) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,10 +31,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpoint(df):
-    """df written to the shared folder of spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset on one machine, as in tests, a temporary one is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="voxelmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what comes after reads it, however often, and a lost executor costs only its tasks."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelmill-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the NIfTI-1 format: datatype codes.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 HEADER, DATA_AT = 348, 352
-META = "volume_id string, nx int, ny int, nz int, datatype int, affine array<array<double>>"
+META = "volume_id string, nx int, ny int, nz int, datatype int, affine array<array<double>>, header binary"
 VOXELS = "volume_id string, vid long, x int, y int, z int, value double"
 
 
@@ -66,6 +67,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Grid, type, affine and the header's bytes of each file."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [header(decompress(c)) for c in b["content"]]
@@ -73,6 +76,7 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
                 {
                     "volume_id": b["volume_id"], "nx": [h["dims"][0] for h in found], "ny": [h["dims"][1] for h in found],
                     "nz": [h["dims"][2] for h in found], "datatype": [h["code"] for h in found], "affine": [h["affine"].tolist() for h in found],
+                    "header": [decompress(c)[:DATA_AT] for c in b["content"]],
                 }
             )
 
@@ -102,10 +106,11 @@ def read_voxels(spark: SparkSession, path: str, scaled: bool = False, nonzero: b
     return _files(spark, path).mapInPandas(run, VOXELS)
 
 
-def encode(data: np.ndarray, affine=None, labels: bool = False) -> bytes:
+def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes | None = None) -> bytes:
     """A NIfTI-1 file of a 3-D array (x, y, z): float32, or unsigned 8 or 16 bit labels with cal_max of at least 1.
 
-    Without an affine the grid is centred on the origin. sform is set, qform is not.
+    With the header of a ``source`` volume of the same grid all of it is kept (spacing, orientation, descriptions) but for type, scaling, range and extensions.
+    Else sform is set, qform is not; without an affine the grid is centred on the origin.
     """
     if labels:
         data = data.astype("<u1" if data.max(initial=0) < 256 else "<u2")
@@ -113,6 +118,18 @@ def encode(data: np.ndarray, affine=None, labels: bool = False) -> bytes:
     else:
         data = data.astype("<f4")
         low, high = float(data.min(initial=0)), float(data.max(initial=0))
+    if source is not None:
+        h = header(source)
+        if tuple(h["dims"]) != data.shape:
+            raise ValueError(f"the source has a grid of {tuple(h['dims'])}, not {data.shape}")
+        out, order = bytearray(source[:HEADER] + b"\0" * (DATA_AT - HEADER)), h["order"]
+        data = data.astype(data.dtype.newbyteorder(order))
+        struct.pack_into(f"{order}8h", out, 40, 3, *data.shape, 1, 1, 1, 1)
+        struct.pack_into(f"{order}2h", out, 70, {"u1": 2, "u2": 512, "f4": 16}[data.dtype.str[1:]], data.dtype.itemsize * 8)
+        struct.pack_into(f"{order}3f", out, 108, DATA_AT, 1.0, 0.0)
+        struct.pack_into(f"{order}2f", out, 124, high, low)
+        out[344:348] = b"n+1\0"
+        return bytes(out) + data.tobytes(order="F")
     if affine is None:
         affine = np.eye(4)
         affine[:3, 3] = [-(n - 1) / 2 for n in data.shape]
@@ -132,30 +149,35 @@ def encode(data: np.ndarray, affine=None, labels: bool = False) -> bytes:
     return bytes(out) + data.tobytes(order="F")
 
 
-def to_files(volume: DataFrame, dims, affine=None, labels: bool = False, compress: bool = True) -> DataFrame:
-    """volume_id, content: one file of bytes for each volume."""
+def to_files(volume: DataFrame, dims, affine=None, labels: bool = False, compress: bool = True, source: bytes | None = None) -> DataFrame:
+    """volume_id, content: one file of bytes for each volume, with a source volume's header where that is given."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros(dims)
         data[rows["x"], rows["y"], rows["z"]] = rows["value"]
-        raw = encode(data, affine, labels)
+        raw = encode(data, affine, labels, source)
         return pd.DataFrame({"volume_id": [rows["volume_id"].iloc[0]], "content": [gzip.compress(raw, mtime=0) if compress else raw]})
 
     return volume.select("volume_id", "x", "y", "z", "value").groupBy("volume_id").applyInPandas(run, "volume_id string, content binary")
 
 
 def write_files(files: DataFrame, folder: str, suffix: str = ".nii.gz") -> int:
-    """Writes the contents into a folder of any store that pyarrow opens; returns how many."""
+    """Writes the contents into a folder of any store that pyarrow opens; returns how many.
+
+    A task writes under a name of its own attempt and moves the whole file to its final name, so a lost or repeated task leaves none that is torn.
+    """
 
-    def run(rows) -> None:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, path = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
         store.create_dir(path, recursive=True)
-        for r in rows:
-            with store.open_output_stream(f"{path}/{r.volume_id}{suffix}", compression=None) as out:
-                out.write(bytes(r.content))
+        for b in batches:
+            for name, content in zip(b["volume_id"], b["content"], strict=True):
+                part = f"{path}/.{name}-{TaskContext.get().taskAttemptId()}.part"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(bytes(content))
+                store.move(part, f"{path}/{name}{suffix}")
+            yield b[["volume_id"]]
 
-    files = files.cache()
-    files.foreachPartition(run)
-    return files.count()
+    return files.select("volume_id", "content").mapInPandas(run, "volume_id string").count()

@@ -81,9 +81,21 @@ def encode_shards(pack: DataFrame, dims, per_shard: int = CHANNELS_A_SHARD) -> D
     return shards.select("shard", "channel_labels", F.length("content").alias("bytes"), F.sha2("content", 256).alias("checksum"), "content")
 
 
+def profile_json(profile: DataFrame, profile_id: str) -> DataFrame:
+    """One row: the profile (network, term, score, rank, ord) as JSON text that read_profiles takes, its bytes and SHA-256.
+
+    A profile has one entry for each network with its few terms, so it is one small document; networks are in alphabetical order, terms in order of ``ord``.
+    """
+    term = F.struct("ord", F.struct("term", "score", "rank").alias("t"))
+    nets = profile.groupBy("network").agg(F.transform(F.sort_array(F.collect_list(term)), lambda x: x["t"]).alias("terms"))
+    whole = nets.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("network", "terms")))).alias("networkProfiles"))
+    text = F.to_json(F.struct(F.lit(profile_id).alias("id"), "networkProfiles"), {"pretty": "true"})
+    return whole.select(text.alias("value")).select("value", F.octet_length("value").alias("bytes"), F.sha2("value", 256).alias("checksum"))
+
+
 def read_profiles(spark: SparkSession, path: str, asset_id: str | None = None) -> DataFrame:
     """network, term, score, rank, ord of a profile JSON; its id must match and it must have networkProfiles."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     kind = "struct<id:string,networkProfiles:map<string,array<struct<term:string,score:double,rank:int>>>>"
     doc = raw.select(F.from_json("value", kind).alias("d")).select("d.*")
     row = doc.select("id", F.col("networkProfiles").isNull().alias("bare")).first()

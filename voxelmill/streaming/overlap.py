@@ -1,4 +1,4 @@
-"""The overlap, weighted-sum and scoring aggregates over streams of voxels (an extension beside the batch forms)."""
+"""The overlap and scoring aggregates over streams of voxels (an extension beside the batch forms)."""
 
 from __future__ import annotations
 
@@ -12,10 +12,6 @@ def stream_overlap(mask: DataFrame, atlas: DataFrame) -> DataFrame:
     return labelled.groupBy("volume_id", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count(F.lit(1)).alias("voxels"))
 
 
-def stream_weighted_sum(pack: DataFrame, weights: DataFrame) -> DataFrame:
-    return pack.join(weights.where("w <> 0"), "channel").groupBy("vid").agg(F.sum(F.col("w") * F.col("t")).alias("value"))
-
-
 def stream_confusion(pairs: DataFrame) -> DataFrame:
     """Running tp, fp, fn of a stream of (case_id, pred, truth) flags."""
     p, t = F.col("pred") == 1, F.col("truth") == 1
