@@ -393,6 +393,19 @@ def test_scores(spark):
     assert evaluate.masked_correlation(flat, ["g"]).first().r is None
 
 
+def test_correlations(spark):
+    rng = np.random.default_rng(14)
+    regions, voxels = rng.normal(size=(3, 12)), rng.normal(size=(40, 12))
+    voxels[7], voxels[8, 3:6] = 2.5, np.nan
+    rows = lambda m: [(1, str(k), t, float(m[k, t])) for k in range(len(m)) for t in range(12) if not np.isnan(m[k, t])]
+    kind = "subject int, region string, t int, value double"
+    got = {(int(r.source), int(r.target)): (r.n, r.r) for r in connectome.correlations(spark.createDataFrame(rows(regions), kind), spark.createDataFrame(rows(voxels), kind), blocks=4).collect()}
+    assert len(got) == 120
+    for (i, j), (n, r) in got.items():
+        ok = ~np.isnan(voxels[j])
+        assert n == ok.sum() and (r is None if j == 7 else r == pytest.approx(np.corrcoef(regions[i][ok], voxels[j][ok])[0, 1] * (n - 1) / n))
+
+
 def test_group_t(spark):
     z = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "k string, z double")
     rows = {r.k: r for r in connectome.group_t(z, ["k"]).collect()}

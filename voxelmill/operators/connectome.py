@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,43 @@ def region_series(series: DataFrame) -> DataFrame:
     return series.groupBy("subject", "region", "t").agg(F.avg("value").alias("value"))
 
 
-def correlations(a: DataFrame, b: DataFrame, scale_by_sample: bool = True) -> DataFrame:
-    """subject, source, target, n, r of series joined on time.
+def correlations(a: DataFrame, b: DataFrame, scale_by_sample: bool = True, blocks: int = 16) -> DataFrame:
+    """subject, source, target, n, r of series (subject, region, t, value; one value a time) over the times that both have.
 
-    r is scaled by (n - 1) / n, as products of sample z-scores divided by n are; constant series give null.
+    The targets of a subject, regions or voxels, are dealt into blocks, and each block is multiplied with all sources as matrices: no row is made for a pair and a
+    time. r is scaled by (n - 1) / n, as products of sample z-scores divided by n are; constant series give null.
     """
-    x = a.select("subject", F.col("region").alias("source"), "t", F.col("value").alias("a"))
-    y = b.select("subject", F.col("region").alias("target"), "t", F.col("value").alias("b"))
-    g = x.join(y, ["subject", "t"]).groupBy("subject", "source", "target").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")
-    )
-    r = F.try_divide(F.col("c"), F.col("sa") * F.col("sb"))
-    return g.select("subject", "source", "target", "n", (r * (F.col("n") - 1) / F.col("n") if scale_by_sample else r).alias("r"))
+    # Both sides may come from one table, so their columns are named apart.
+    one = lambda df, s, name, t, v: df.select(F.col("subject").alias(s), F.col("region").cast("string").alias(name), F.col("t").alias(t), F.col("value").cast("double").alias(v))
+    x = one(a, "subject", "source", "t", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    y = one(b, "of", "target", "time", "y").withColumn("part", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
+
+    def table(subject, source, target, n, r) -> pd.DataFrame:
+        text = lambda c: pd.Series(list(c), dtype=object)
+        return pd.DataFrame({"subject": pd.Series([subject] * len(n), dtype=type(subject) if not isinstance(subject, str) else object), "source": text(source), "target": text(target), "n": n, "r": r})
+
+    def multiply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        times = [] if left.empty or right.empty else np.intersect1d(left["t"], right["time"])
+        if not len(times):
+            return table(key[0], [], [], np.zeros(0, np.int64), np.zeros(0))
+        sides = ((left, "source", "t", "x"), (right, "target", "time", "y"))
+        rows = [d.pivot_table(index=c, columns=t, values=v, dropna=False).reindex(columns=times) for d, c, t, v in sides]
+        (u, mu), (v, mv) = ((np.nan_to_num((m := r.to_numpy(float)) - np.nanmean(m, 1, keepdims=True)), (~np.isnan(m)).astype(float)) for r in rows)
+        n = mu @ mv.T
+        with np.errstate(all="ignore"):
+            su, sv = u @ mv.T / n, mu @ v.T / n
+            var = lambda q, s, full: np.where(q / n - s * s > 1e-24 * full, q / n - s * s, np.nan)
+            vu, vv = var(u**2 @ mv.T, su, (u**2).max() + 1), var(mu @ (v**2).T, sv, (v**2).max() + 1)
+            r = (u @ v.T / n - su * sv) / np.sqrt(vu * vv)
+        i, j = np.nonzero(n)
+        k = n[i, j]
+        found = np.where(np.isnan(r[i, j]), None, r[i, j] * ((k - 1) / k if scale_by_sample else 1))
+        names = [r.index.to_numpy(object) for r in rows]
+        return table(key[0], names[0][i], names[1][j], k.astype(np.int64), found.astype(float))
+
+    kind = a.schema["subject"].dataType.simpleString()
+    out = x.groupBy("subject", "block").cogroup(y.groupBy("of", "part")).applyInPandas(multiply, f"subject {kind}, source string, target string, n long, r double")
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def fisher_z(r, limit: float = 0.999):
