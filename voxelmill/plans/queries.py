@@ -379,11 +379,14 @@ def agg12_component_summary(spark, sf):
     return morphology.component_summary(morphology.label_components(S.mask(spark, sf), DIMS)).drop("volume_id")
 
 
-@query(f"""{_COMPONENTS}, best AS (SELECT component FROM sized ORDER BY voxels DESC, component LIMIT 1), big AS (SELECT vid FROM comp JOIN best USING (component)),
+_LARGEST_FILLED = """, best AS (SELECT component FROM sized ORDER BY voxels DESC, component LIMIT 1), big AS (SELECT vid FROM comp JOIN best USING (component)),
 free AS (SELECT CAST(range AS INT) AS vid, CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096) WHERE range NOT IN (SELECT vid FROM big)),
 outside AS (SELECT vid, x, y, z FROM free WHERE least(x, y, z) = 0 OR greatest(x, y, z) = 15 UNION SELECT f.vid, f.x, f.y, f.z FROM outside o JOIN free f ON abs(f.x - o.x) <= 1 AND abs(f.y - o.y) <= 1 AND abs(f.z - o.z) <= 1)
 SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)
-WHERE range IN (SELECT vid FROM big) OR (range NOT IN (SELECT vid FROM outside) AND (SELECT count(*) FROM sized) > 1)""")
+WHERE range IN (SELECT vid FROM big) OR (range NOT IN (SELECT vid FROM outside) AND (SELECT count(*) FROM sized) > 1)"""
+
+
+@query(_COMPONENTS + _LARGEST_FILLED)
 def mor3_keep_largest_and_fill(spark, sf):
     return _ones(morphology.keep_largest_and_fill(S.mask(spark, sf), DIMS))
 
@@ -595,12 +598,13 @@ def _near_middle(block):
     return 2.0 - 1.5 * block
 
 
-@query(f"""WITH RECURSIVE {VOL}, low AS (SELECT *, value - 0 AS v FROM vol), nz AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM low WHERE v > 0), top AS (SELECT v AS t FROM nz WHERE r = floor(n * 0.99)),
-mask AS (SELECT vid, x, y, z FROM low, top WHERE 2 - 1.5::DOUBLE * least(1, v / t) < 1),
-near AS (SELECT a.vid AS a, b.vid AS b FROM mask a JOIN mask b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
-least AS (SELECT min(vid) AS root FROM mask), reach AS (SELECT root AS vid FROM least UNION SELECT b FROM reach JOIN near ON a = vid) SELECT x, y, z FROM mask SEMI JOIN reach USING (vid)""")
+_BRAIN = _COMPONENTS.replace(MASK, VOL + """, nz AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM vol WHERE value > 0),
+top AS (SELECT v AS t FROM nz WHERE r = floor(n * 0.99)), mask AS (SELECT vid, x, y, z FROM vol, top WHERE 2 - 1.5::DOUBLE * least(1, value / t) < 1)""")
+
+
+@query(_BRAIN + _LARGEST_FILLED)
 def inf2_extract_brain(spark, sf):
-    """Most voxels hang together here, so the largest component is that of the first one, and has no holes inside."""
+    """Turned, cropped, padded, normalised by the 99th percentile, thresholded, the largest component filled, and turned back."""
     out = steps.extract_brain(written(S.volume(spark, sf)), DIMS, (1.0, 1.0, 1.0), _near_middle, conform=lambda d: tuple(max(20, n) for n in d))
     return out.select("x", "y", "z")
 
