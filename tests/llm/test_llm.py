@@ -734,6 +734,28 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == ids[-1]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path, odd):
+    benchmark = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = odd + [(3, None), (50, benchmark[0]), (51, "Before it. " + benchmark[1] + " After it."), (None, None), (None, "one more text without an id")]
+    for name, docs in (("odd", table(spark, rows)), ("none", table(spark, []))):
+        before, start = None, docs.columns
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, SF)
+            path = str(tmp_path / f"{name}-{k}")
+            out.write.parquet(path)
+            found = spark.read.parquet(path).collect()
+            if stage == "packing":
+                assert collections.Counter(r.doc_id for r in found if r.piece == 0) == before
+                continue
+            assert out.columns == start
+            now = collections.Counter(r.doc_id for r in found)
+            assert before is None or now <= before
+            assert stage != "near_dedup" or now[4] + now[3] <= 2 and now[10] <= 1
+            assert stage != "decontamination" or not now[50] + now[51]
+            before, docs = now, spark.read.parquet(path)
+        assert name == "odd" or not before
+
+
 def test_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries as all_queries
 

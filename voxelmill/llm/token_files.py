@@ -124,7 +124,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str
 
     Each range of doc_ids makes one file. A task writes under a name of its own attempt, and only files of
     successful attempts are listed in the result: path, part, n_docs, n_tokens.
-    Null texts are empty documents of one id; rows with equal doc_ids follow each other by text, null ids come first.
+    Null texts are empty documents of one id; rows with equal doc_ids follow each other by a hash of the text, null ids come first. A very long text is encoded
+    whole by its task and is a frame of its own; an empty table gives no file.
     """
     stop = np.array([end], "<u4").tobytes()
 
@@ -147,8 +148,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str
             uri = f"{folder}/{path.rsplit('/', 1)[1]}"
             yield pa.RecordBatch.from_pydict({"path": [uri], "part": [context.partitionId()], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Rows that share an id, and rows that are equal, are dealt over as many ranges as they need.
+    order = [F.col("doc_id").asc_nulls_first(), "h", "u"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"))
+    ranged = keyed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("h", "u")
     return materialise(ranged.mapInArrow(write, "path string, part long, n_docs long, n_tokens long"), "token-manifest")
 
 
