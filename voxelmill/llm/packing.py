@@ -241,7 +241,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str = "dropped", room: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaces).encode
-        for batch in slices(batches):
+        for batch in slices(batches, True):
             out = []
             coded = encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,8 +23,14 @@ _made: dict[str, SparkSession] = {}
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about SLICE_BYTES, so that long texts don't add up to large lists. When a task ends, it gives the memory it freed back to the machine."""
+def slices(batches: Iterator[pa.RecordBatch], keep_words: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SLICE_BYTES, so that long texts don't add up to large lists. When a task ends, it gives the memory it freed back to the machine.
+
+    Tasks that don't encode texts first drop the words that their worker has kept from those that do.
+    """
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None and not keep_words:
+        tokens.forget()
     try:
         for batch in batches:
             step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))

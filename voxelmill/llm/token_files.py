@@ -134,7 +134,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str
         fs, path = filesystem(f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.zst")
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         encode, n_docs, n_tokens, out = encoder(tokenizer, spaces).encode, 0, 0, None
-        for batch in slices(batches):
+        for batch in slices(batches, True):
             if out is None:
                 out = fs.open_output_stream(path, compression=None)
                 writer = Writer(out)

@@ -14,9 +14,9 @@ import re
 
 import numpy as np
 
-#: Words of each of the two generations that a process keeps, and the longest word kept: some 120 MB at most, whatever the corpus. Others are
+#: Words of each of the two generations that a process keeps, and the longest word kept: some 320 MB at most, whatever the corpus. Others are
 #: encoded again when they come up; ids don't depend on it.
-KEPT_WORDS, KEPT_LENGTH = 250_000, 48
+KEPT_WORDS, KEPT_LENGTH = 700_000, 48
 #: All characters that Python takes for white space; the tokenizers' own lists are parts of it.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _MARKS = ".,!?;:#$%&*|)]}"
@@ -125,3 +125,8 @@ def encoder(path: str, spaces: str) -> Encoder:
     if (path, spaces) not in _encoders:
         _encoders[path, spaces] = Encoder(path, spaces)
     return _encoders[path, spaces]
+
+
+def forget() -> None:
+    """Drops all encoders and their words."""
+    _encoders.clear()
