@@ -138,7 +138,11 @@ def test_quantiles_and_masks(spark):
         want = np.quantile(abs(data), q) if q else 0
         assert stats.abs_quantile(v, q).first().cutoff == pytest.approx(want)
         assert stats.percentile_mask(v, q).count() == (data > want + 1e-12).sum() and stats.percentile_mask(v, q, True).count() == (abs(data) > want + 1e-12).sum()
-    assert stats.abs_quantile(v.limit(0), 0.5).first().cutoff == 0
+    assert stats.abs_quantile(v.limit(0), 0.5).count() == 0
+    two = v.unionByName(v.withColumns({"volume_id": F.lit("w"), "value": F.col("value") * 3}))
+    cuts = {r.volume_id: r.cutoff for r in stats.abs_quantile(two, 0.6).collect()}
+    assert cuts["w"] == pytest.approx(3 * cuts["v"]) == pytest.approx(3 * np.quantile(abs(data), 0.6))
+    assert stats.percentile_mask(two, 0.6).count() == 2 * stats.percentile_mask(v, 0.6).count()
     assert stats.percentile_mask(v.withColumn("value", F.lit(-2.5)), 0.7).count() == 0
     assert model.top_percent_quantile(3) == 0.97 and model.top_percent_quantile(40) == 0.9
     both = v.unionByName(v.limit(40).withColumn("volume_id", F.lit("w")))
@@ -171,10 +175,16 @@ def test_normalisation(spark):
         assert {r.value for r in f(flat).collect()} == {0.0}
     inside = np.arange(211) % 3 == 0
     strided = np.sort(data[inside][:: len(data[inside]) // 20])
-    lo, hi = strided[int(len(strided) * 0.01)], strided[int(len(strided) * 0.99)]
+    lo, hi = strided[int((len(strided) - 1) * 0.01)], strided[int((len(strided) - 1) * 0.99)]
     want = np.where(inside, np.clip((data - lo) / (hi - lo), 0, 1), 0)
     got = elementwise.robust_normalise(v, v.where("x % 3 = 0"), True, sample=20)
     assert {r.x: r.value for r in got.collect()} == pytest.approx(dict(enumerate(want)))
+    with pytest.raises(Exception, match="no voxel of the mask"):
+        elementwise.robust_normalise(v, v.limit(0)).collect()
+    line = elementwise.robust_normalise(with_vid(volume(spark, {(k, 0, 0): k for k in range(100)}), (100, 1, 1))).collect()
+    assert sorted(r.x for r in line if r.value == 0) == [0] and sorted(r.x for r in line if r.value == 1) == [98, 99]
+    odd = volume(spark, {(0, 0, 0): 1, (1, 0, 0): 3, (2, 0, 0): math.nan, (3, 0, 0): 0, (4, 0, 0): math.inf})
+    assert {r.x: r.value for r in elementwise.z_score_nonzero(odd).collect()} == {0: -1.0, 1: 1.0, 2: 0.0, 3: -2.0, 4: 0.0}
     assert elementwise.at_least(spark.createDataFrame([(0.9, 2.0), (0.7, 2.0), (0.0, 0.0)], "p double, w double"), 0.4).count() == 1
 
 
@@ -186,7 +196,11 @@ def test_boxes_and_moments(spark):
     lo, hi = at.min(0), at.max(0) + 1
     assert box(cloud, (9, 10, 6)) == (*lo, *hi)
     assert box(cloud, (9, 10, 6), 3) == (*np.maximum(lo - 3, 0), *np.minimum(hi + 3, (9, 10, 6)))
-    assert box(cloud.limit(0), (9, 10, 6)) == (None,) * 6 and box(cloud.limit(0), (9, 10, 6), full_if_empty=True) == (0, 0, 0, 9, 10, 6)
+    dark = cloud.withColumn("value", F.lit(0.0))
+    assert box(dark, (9, 10, 6)) == (None,) * 6 and box(dark, (9, 10, 6), full_if_empty=True) == (0, 0, 0, 9, 10, 6)
+    two = cloud.unionByName(cloud.withColumns({"volume_id": F.lit("w"), "x": F.col("x") + 1})).withColumn("nx", F.when(F.col("volume_id") == "v", 9).otherwise(7))
+    found = {r.volume_id: (r.x0, r.x1) for r in stats.bounding_box(two, ("nx", 10, 6)).collect()}
+    assert found == {"v": (lo[0], hi[0]), "w": (lo[0] + 1, min(7, hi[0] + 1))}
     signed = cloud.withColumn("value", F.when(F.col("x") > 3, -1.0).otherwise(1.0))
     some = at[at[:, 0] <= 3]
     assert box(signed, (9, 10, 6), positive=True) == (*some.min(0), *(some.max(0) + 1))
@@ -314,10 +328,17 @@ def test_layouts(spark):
     assert geometry.spaced_dims((10, 3, 1), (1, 1, 1), (2, 2, 2)) == (5, 2, 1)
     assert geometry.patch_starts(16, 7, 0.25) == [0, 5, 9] and geometry.patch_starts(5, 7, 0.25) == [0]
     assert model.orientation(np.diag([-1.0, 2, 3, 1])) == ((0, 1, 2), (True, False, False))
+    moved = np.eye(4)
+    moved[0, 3] = 1
     assert geometry.view_overlap((3, 3, 3), np.eye(4), (3, 3, 3), np.eye(4)) == 1.0
+    assert geometry.view_overlap((3, 3, 3), np.eye(4), (3, 3, 3), moved) == pytest.approx(2 / 3)
     flipped = geometry.flip_patch(spark.createDataFrame([(0, 1, 2)], "ix int, iy int, iz int"), (4, 4, 4), (0, 2)).first()
     assert tuple(flipped) == (3, 1, 1)
-    assert model.target_spacing((96, 96, 96), (191, 191, 191)) == 2.0
+    assert model.target_spacing((96, 96, 96), (1, 1, 1), (191, 191, 191)) == 1.0
+    assert model.target_spacing((256, 256, 256), (1, 1, 1), (180, 200, 190)) == pytest.approx(200 / 191)
+    assert model.target_spacing((60, 60, 60), (4, 5, 5), (55, 60, 60)) == 2.0
+    assert model.target_spacing((300, 300, 30), (1.2, 1.2, 5), (250, 250, 25)) == pytest.approx(250 * 1.2 / 191)
+    assert model.target_spacing((256, 256, 256), (1, 1, 1), None) == 1.0
 
 
 # Registration
@@ -526,10 +547,15 @@ def test_cases(spark):
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(scalars.term_name(F.lit("x__working_memory"))) == "working memory"
+    assert one(scalars.term_name(F.lit("Neurosynth_TFIDF__topic__pain__low_back"))) == "pain  low back"
+    assert one(scalars.term_name(F.lit("TFIDF__reward"))) == "reward"
     assert one(scalars.network_of_label(F.lit("7N_LH_Vis_1"), {"Vis": "Visual"})) == "Visual"
     assert one(scalars.network_of_label(F.lit("7N"), {"Vis": "Visual"})) == "Unassigned"
-    assert one(scalars.threshold_list(F.lit("0.5, 0.1,2,x,0.5"))) == [0.1, 0.5]
-    assert one(scalars.dims_of(F.lit("48x64x80"))) == [48, 64, 80] and one(scalars.dims_of(F.lit("48x64"))) is None
+    assert one(scalars.threshold_list(F.lit("0.5, 0.1,0.5"))) == [0.1, 0.5]
+    for wrong in ("", "0.5,x", "0.5,1", "0"):
+        with pytest.raises(Exception, match="thresholds must be"):
+            one(scalars.threshold_list(F.lit(wrong)))
+    assert one(scalars.dims_of(F.lit("7x31x12"))) == [7, 31, 12] and one(scalars.dims_of(F.lit("7x31"))) is None
     assert one(elementwise.half_up(F.lit(-0.5))) == 0
     assert one(scalars.flat_affine(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))))) == [1, 2, 3, 4]
     assert [tuple(e) for e in one(scalars.ordered_entries(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))] == [("a", 2), ("b", 1)]

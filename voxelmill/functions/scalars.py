@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Prefixes of exported term columns, stripped in this order.
+TERM_PREFIXES = ("Neurosynth_TFIDF__", "Neurosynth__", "TFIDF__")
+
+
 def safe_filename(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
 
 
 def term_name(c: Column) -> Column:
-    """Drops a prefix up to the last double underscore and turns underscores into blanks."""
-    return F.trim(F.replace(F.regexp_replace(c, r"^.*__", ""), F.lit("_"), F.lit(" ")))
+    """Drops the known prefixes, then what is left up to the first double underscore, and turns underscores into blanks."""
+    bare = F.regexp_replace(c, "^" + "".join(f"(?:{p})?" for p in TERM_PREFIXES), "")
+    return F.trim(F.replace(F.regexp_replace(bare, r"(?s)^.*?__", ""), F.lit("_"), F.lit(" ")))
 
 
 def network_of_label(c: Column, names: dict[str, str]) -> Column:
@@ -26,9 +31,10 @@ def csv_list(c: Column) -> Column:
 
 
 def threshold_list(c: Column) -> Column:
-    """Sorted distinct numbers strictly between 0 and 1."""
+    """Sorted distinct numbers; raises where there is none, or one that isn't strictly between 0 and 1."""
     numbers = F.transform(csv_list(c), lambda s: s.try_cast("double"))
-    return F.array_sort(F.array_distinct(F.filter(numbers, lambda v: (v > 0) & (v < 1))))
+    good = (F.size(numbers) > 0) & F.forall(numbers, lambda v: F.coalesce((v > 0) & (v < 1), F.lit(False)))
+    return F.when(good, F.array_sort(F.array_distinct(numbers))).otherwise(F.raise_error(F.concat(F.lit("thresholds must be numbers between 0 and 1: "), c)))
 
 
 def dims_of(c: Column) -> Column:

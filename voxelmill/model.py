@@ -90,9 +90,16 @@ def padded_dims(dims, patch) -> tuple[int, int, int]:
     return tuple(p if d < p else d if d % p == 0 else -(-d // p) * p for d, p in zip(dims, patch, strict=True))
 
 
-def target_spacing(extent_mm, crop, floor: float = 1.0) -> float:
-    """Spacing at which the smallest extent keeps 48 voxels and the crop fits into 191, between ``floor`` and 2 mm or what fits."""
-    return max(floor, min(2.0, min(extent_mm) / 48), max(c / 191 for c in crop))
+def target_spacing(dims, spacing, box) -> float:
+    """The spacing at which the crop (box: its sizes in voxels, None if it is empty) fits into 191 voxels, if the smallest extent keeps 48 of them.
+
+    It is at most 2 mm and at least 1 mm, or the finest spacing where that lies between them; 1 mm for an empty crop.
+    """
+    if box is None:
+        return 1.0
+    keeps = min(n * s for n, s in zip(dims, spacing, strict=True)) / 48
+    fits = max(n * s for n, s in zip(box, spacing, strict=True)) / 191
+    return max(min(2.0, max(1.0, min(spacing))), min(2.0, keeps, fits))
 
 
 def top_percent_quantile(percent: float) -> float:

@@ -62,12 +62,12 @@ def z_score(volume: DataFrame) -> DataFrame:
 
 
 def z_score_nonzero(volume: DataFrame) -> DataFrame:
-    """z-score by the finite nonzero values; all values are shifted, non-finite ones count as 0."""
-    clean = volume.withColumn("value", F.when(finite(F.col("value")), F.col("value")).otherwise(0.0))
-    some = F.when(F.col("value") != 0, F.col("value"))
-    out = with_stats(clean, m=F.avg(some), s=F.stddev_pop(some))
+    """z-score by the finite nonzero values; all finite values are shifted, the others become 0."""
+    some = F.when(finite(F.col("value")) & (F.col("value") != 0), F.col("value"))
+    out = with_stats(volume, m=F.avg(some), s=F.stddev_pop(some))
     m, s = F.coalesce("m", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
-    return out.withColumn("value", (F.col("value") - m) / F.when(s == 0, 1.0).otherwise(s)).drop("m", "s")
+    shifted = (F.col("value") - m) / F.when(s == 0, 1.0).otherwise(s)
+    return out.withColumn("value", F.when(finite(F.col("value")), shifted).otherwise(0.0)).drop("m", "s")
 
 
 def p99_normalise(volume: DataFrame) -> DataFrame:
@@ -79,11 +79,16 @@ def p99_normalise(volume: DataFrame) -> DataFrame:
 
 
 def robust_normalise(volume: DataFrame, mask: DataFrame | None = None, zero_outside: bool = False, sample: int = 200_000) -> DataFrame:
-    """Scale by the 1st and 99th floor-index percentiles of a strided sample of the masked values, clamp to [0, 1]."""
+    """Scale by the values at floor(0.01 (n - 1)) and floor(0.99 (n - 1)) of a strided sample of the masked values, clamp to [0, 1].
+
+    NaN counts as 0 in the sample. A volume of which the mask holds no voxel raises when it is computed.
+    """
     inside = volume if mask is None else volume.join(mask.select("volume_id", "vid"), ["volume_id", "vid"], "left_semi")
     sampled = ranked(inside.select("volume_id", "vid", "value"), ["volume_id"], ["vid"])
     sampled = sampled.where(F.col("r") % F.greatest(F.lit(1), F.floor(F.col("n") / sample)) == 0)
-    ends = at_shares(sampled.select("volume_id", "value"), lo=0.01, hi=0.99)
+    ends = at_shares(sampled.select("volume_id", F.nanvl(F.col("value").cast("double"), F.lit(0.0)).alias("value")), 1, lo=0.01, hi=0.99)
+    ends = volume.select("volume_id").distinct().join(ends, "volume_id", "left")
+    ends = ends.withColumn("lo", F.when(F.col("lo").isNull(), F.raise_error(F.concat(F.lit("no voxel of the mask is in "), "volume_id"))).otherwise(F.col("lo")))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     out = volume.join(ends, "volume_id").withColumn("value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - F.col("lo")) / span))).drop("lo", "hi")
     if mask is not None and zero_outside:

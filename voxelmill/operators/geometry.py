@@ -203,8 +203,9 @@ def flip_patch(voxels: DataFrame, patch, axes) -> DataFrame:
 
 
 def corners(dims, affine) -> np.ndarray:
+    """World places of the grid's corners, from voxel 0 to the grid's size along each axis."""
     m = np.asarray(affine, float)
-    box = np.array([[x, y, z, 1.0] for x in (0, dims[0] - 1) for y in (0, dims[1] - 1) for z in (0, dims[2] - 1)])
+    box = np.array([[x, y, z, 1.0] for x in (0, dims[0]) for y in (0, dims[1]) for z in (0, dims[2])])
     return (box @ m.T)[:, :3]
 
 

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..session import written
 from .order import quantile
 
+
 def abs_quantile(volume: DataFrame, q: float) -> DataFrame:
-    """cutoff: the exact interpolated quantile of absolute values; 0 for q <= 0 or an empty volume, the maximum for q >= 1."""
+    """volume_id, cutoff: the exact interpolated quantile of each volume's absolute values; 0 for q <= 0, the maximum for q >= 1."""
     a = F.abs(F.col("value"))
     if 0 < q < 1:
-        return quantile(volume.select(a.alias("a")), "a", q).select(F.coalesce("cutoff", F.lit(0.0)).alias("cutoff"))
-    return volume.agg(F.coalesce(F.lit(0.0) if q <= 0 else F.max(a), F.lit(0.0)).alias("cutoff"))
+        return quantile(volume.select("volume_id", a.alias("a")), "a", q, ["volume_id"])
+    return volume.groupBy("volume_id").agg((F.lit(0.0) if q <= 0 else F.max(a)).alias("cutoff"))
 
 
 def percentile_mask(volume: DataFrame, q: float, symmetric: bool = False) -> DataFrame:
-    """Voxels strictly beyond the quantile of absolute values, by value or by absolute value. The volume is computed once."""
+    """Voxels strictly beyond the quantile of their volume's absolute values, by value or by absolute value. The volumes are computed once."""
     volume = written(volume)
-    cut = F.broadcast(abs_quantile(volume, q))  # one row
-    return volume.crossJoin(cut).where((F.abs(F.col("value")) if symmetric else F.col("value")) > F.col("cutoff")).drop("cutoff")
+    cut = abs_quantile(volume, q)  # a row for each volume
+    return volume.join(cut, "volume_id").where((F.abs(F.col("value")) if symmetric else F.col("value")) > F.col("cutoff")).select(*volume.columns)
 
 
 def histogram(volume: DataFrame, bins: int = 4096) -> DataFrame:
@@ -42,35 +43,37 @@ def percentile_window(volume: DataFrame, low: float = 0.02, high: float = 0.998,
 
 
 def moments(mask: DataFrame) -> DataFrame:
-    """Centroid and population covariance of a mask's voxels."""
+    """Per volume the number of voxels, centroid and population covariance of a mask."""
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    return mask.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"), *(F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs))
+    return mask.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"), *(F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs))
 
 
 def centroid(mask: DataFrame) -> tuple[float, float, float]:
-    row = moments(mask).first()
-    if not row.n:
-        raise ValueError("an empty mask has no centroid")
-    return row.cx, row.cy, row.cz
+    """The centroid of a mask of one volume; raises where there is none or more than one."""
+    rows = moments(mask).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("an empty mask has no centroid" if not rows else "a centroid of several volumes was asked for; use moments")
+    return rows[0].cx, rows[0].cy, rows[0].cz
 
 
 def bounding_box(volume: DataFrame, dims, margin: int = 0, positive: bool = False, full_if_empty: bool = False) -> DataFrame:
-    """x0, y0, z0 and the exclusive ends x1, y1, z1 around nonzero (or positive) voxels, clamped to the grid.
+    """Per volume x0, y0, z0 and the exclusive ends x1, y1, z1 around nonzero (or positive) voxels, clamped to the grid.
 
-    Without such voxels all are null, or the whole grid with ``empty`` true.
+    ``dims`` are three numbers for all volumes, or names of columns of ``volume`` that hold each one's own. A volume without such voxels has nulls, or
+    its whole grid, and ``empty`` true.
     """
-    some = volume.where(F.col("value") > 0) if positive else volume.where(F.col("value") != 0)
-    columns = []
-    for c, n in zip("xyz", dims, strict=True):
-        columns.append(F.greatest(F.lit(0), F.min(c) - margin).cast("int").alias(f"{c}0"))
-        columns.append(F.least(F.lit(n), F.max(c) + 1 + margin).cast("int").alias(f"{c}1"))
-    out = some.agg(F.count(F.lit(1)).alias("n"), *columns).withColumn("empty", F.col("n") == 0).drop("n")
-    for c, n in zip("xyz", dims, strict=True):
-        if full_if_empty:
-            out = out.withColumn(f"{c}0", F.when(F.col("empty"), 0).otherwise(F.col(f"{c}0"))).withColumn(f"{c}1", F.when(F.col("empty"), n).otherwise(F.col(f"{c}1")))
-        else:
-            out = out.withColumn(f"{c}0", F.when(~F.col("empty"), F.col(f"{c}0"))).withColumn(f"{c}1", F.when(~F.col("empty"), F.col(f"{c}1")))
-    return out
+    some = F.col("value") > 0 if positive else F.col("value") != 0
+    size = {c: F.max(n) if isinstance(n, str) else F.lit(n) for c, n in zip("xyz", dims, strict=True)}
+    found = volume.groupBy("volume_id").agg(
+        F.count_if(some).alias("_n"), *(f(F.when(some, F.col(c))).alias(f"_{k}{c}") for c in "xyz" for k, f in (("a", F.min), ("b", F.max))), *(n.alias(f"_n{c}") for c, n in size.items())
+    )
+    empty, out = F.col("_n") == 0, ["volume_id", (F.col("_n") == 0).alias("empty")]
+    for c in "xyz":
+        n = F.col(f"_n{c}")
+        ends = F.greatest(F.lit(0), F.col(f"_a{c}") - margin), F.least(n, F.col(f"_b{c}") + 1 + margin)
+        for k, (end, whole) in enumerate(zip(ends, (F.lit(0), n), strict=True)):
+            out.append(F.when(~empty, end).otherwise(whole if full_if_empty else F.lit(None)).cast("int").alias(f"{c}{k}"))
+    return found.select(*out)
 
 
 def value_stats(volume: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def extract_brain(volume: DataFrame, dims, spacing, scorer, border: float = 1.0,
     work_dims = spaced_dims(lia_dims, lia_spacing, (target,) * 3) if resample else tuple(lia_dims)
     work = written(resize_linear(work, lia_dims, work_dims) if resample else work)
     box = bounding_box(work, work_dims).first()
-    if box.empty:
+    if box is None or box.empty:
         return volume.select(*AT).limit(0)
     start, end = (box.x0, box.y0, box.z0), (box.x1, box.y1, box.z1)
     size = tuple(b - a for a, b in zip(start, end, strict=True))

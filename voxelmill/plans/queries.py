@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +10,10 @@ from ..operators import connect, connectome, elementwise, evaluate, geometry, mo
 from ..session import shared_folder, written
 from ..sources import nifti, pack as packs
 from . import substrate as S
+from .registry import QUERIES, SQL, query
 from .substrate import CASES, DIMS, MASK, OVERLAP, PACK, SERIES, VOL, micro
 from .substrate import micro_sql as M
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _ones(df: DataFrame) -> DataFrame:
     return df.select("x", "y", "z")
 
@@ -175,12 +160,14 @@ def prj8_z_score(spark, sf):
     return elementwise.z_score(S.volume(spark, sf)).select("vid", micro(F.col("value")).alias("z"))
 
 
-_SPARSE = f"WITH {VOL}, sv AS (SELECT vid, CASE WHEN n > (SELECT avg(n) FROM vol) THEN value ELSE 0 END AS v FROM vol)"
+_SPARSE = f"WITH {VOL}, sv AS (SELECT vid, CASE vid % 11 WHEN 3 THEN CAST('NaN' AS DOUBLE) WHEN 7 THEN CAST('Infinity' AS DOUBLE) ELSE CASE WHEN n > (SELECT avg(n) FROM vol) THEN value ELSE 0 END END AS v FROM vol), ok AS (SELECT v FROM sv WHERE isfinite(v) AND v <> 0)"
 
 
-@query(f"{_SPARSE} SELECT vid, {M('(v - (SELECT avg(v) FROM sv WHERE v <> 0)) / (SELECT stddev_pop(v) FROM sv WHERE v <> 0)')} AS z FROM sv")
+@query(f"{_SPARSE} SELECT vid, {M('CASE WHEN isfinite(v) THEN (v - (SELECT avg(v) FROM ok)) / (SELECT stddev_pop(v) FROM ok) ELSE 0 END')} AS z FROM sv")
 def prj9_z_score_nonzero(spark, sf):
-    v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("n")).withColumn("value", F.when(F.col("n") > F.col("mean"), F.col("value")).otherwise(0.0))
+    """Values of NaN and infinity among the others: they don't count and become 0."""
+    odd = F.when(F.col("vid") % 11 == 3, float("nan")).when(F.col("vid") % 11 == 7, float("inf")).when(F.col("n") > F.col("mean"), F.col("value")).otherwise(0.0)
+    v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("n")).withColumn("value", odd)
     return elementwise.z_score_nonzero(v).select("vid", micro(F.col("value")).alias("z"))
 
 
@@ -189,7 +176,7 @@ def prj10_p99_normalise(spark, sf):
     return elementwise.p99_normalise(S.volume(spark, sf)).select("vid", micro(F.col("value")).alias("value"))
 
 
-@query(f"WITH {VOL}, r AS (SELECT value, row_number() OVER (ORDER BY vid) - 1 AS i, count(*) OVER () AS n FROM vol), p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS m FROM r WHERE i % greatest(1, CAST(floor(n / 1000) AS BIGINT)) = 0), e AS (SELECT max(value) FILTER (WHERE k = floor(m * 0.01)) AS lo, max(value) FILTER (WHERE k = floor(m * 0.99)) AS hi FROM p) SELECT vid, {M('least(1.0, greatest(0.0, (value - lo) / (hi - lo)))')} AS value FROM vol, e")
+@query(f"WITH {VOL}, r AS (SELECT value, row_number() OVER (ORDER BY vid) - 1 AS i, count(*) OVER () AS n FROM vol), p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS m FROM r WHERE i % greatest(1, CAST(floor(n / 1000) AS BIGINT)) = 0), e AS (SELECT max(value) FILTER (WHERE k = floor((m - 1) * 0.01)) AS lo, max(value) FILTER (WHERE k = floor((m - 1) * 0.99)) AS hi FROM p) SELECT vid, {M('least(1.0, greatest(0.0, (value - lo) / (hi - lo)))')} AS value FROM vol, e")
 def prj11_robust_normalise(spark, sf):
     return elementwise.robust_normalise(S.volume(spark, sf), sample=1000).select("vid", micro(F.col("value")).alias("value"))
 
@@ -752,3 +739,6 @@ def fn_event_strings(spark, sf):
     e = S.table(spark, sf, "events")
     name = F.concat("event_type", F.lit(" / "), F.col("user_id").cast("string"))
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), scalars.safe_filename(name).alias("file"), scalars.short_hash(F.col("event_type")).alias("digest"))
+
+
+from . import grid_queries  # noqa: E402, F401  registers its queries

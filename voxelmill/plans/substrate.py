@@ -81,6 +81,34 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 7).cast("int").alias("subject"), F.col("event_type").alias("region"), F.hour("ts").alias("t"), "value")
 
 
+#: Grids of three kinds of volumes, by return flag: dims and affine, one with an axis turned round, one with axes changed.
+KINDS = {
+    "A": ((10, 12, 8), ((1.0, 0, 0, 0), (0, 2.0, 0, -3), (0, 0, 1.5, 0.25))),
+    "N": ((12, 11, 9), ((-1.5, 0, 0, 12), (0, 2.0, 0, 1), (0, 0, 1.0, 0))),
+    "R": ((14, 10, 10), ((0, 1.25, 0, 0), (0, 0, 2.0, 1), (-1.0, 0, 0, 10))),
+}
+TARGET = (7, 7, 7), ((2.25, 0, 0, 0.3), (0, 3.0, 0, 0.2), (0, 0, 2.0, 0.4))
+
+
+def grid_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse volumes of different grids, one for each return flag and block of 50 suppliers, so that their number grows with the tables."""
+    flag = F.col("l_returnflag")
+    n = {c: F.coalesce(*(F.when(flag == k, d[i]) for k, (d, _) in KINDS.items())) for i, c in enumerate("xyz")}
+    at = {"x": F.col("l_partkey") % n["x"], "y": F.col("l_orderkey") % n["y"], "z": (3 * F.col("l_linenumber") + F.col("l_partkey")) % n["z"]}
+    name = F.concat(flag, F.lit("-"), F.floor(F.col("l_suppkey") / 50).cast("string"))
+    cells = table(spark, sf_dir, "lineitem").select(name.alias("volume_id"), *(c.cast("int").alias(k) for k, c in at.items()), "l_quantity")
+    return cells.groupBy("volume_id", "x", "y", "z").agg(F.sum("l_quantity").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def grid_meta(volumes: DataFrame) -> DataFrame:
+    """volume_id, nx, ny, nz, affine of each of these volumes."""
+    flag = F.substring("volume_id", 1, 1)
+    ids = volumes.select("volume_id").distinct()
+    rows = lambda m: F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in [*m, (0, 0, 0, 1)]))
+    dims = [F.coalesce(*(F.when(flag == k, d[i]) for k, (d, _) in KINDS.items())).alias(c) for i, c in enumerate(("nx", "ny", "nz"))]
+    return ids.select("volume_id", *dims, F.coalesce(*(F.when(flag == k, rows(m)) for k, (_, m) in KINDS.items())).alias("affine"))
+
+
 def micro(c):
     """Millionths, rounded half up, as a whole number that both engines hash alike."""
     return F.floor(c * 1_000_000 + 0.5).cast("long")
@@ -98,6 +126,12 @@ summary AS (SELECT coalesce(network, 'Unassigned') AS network, CAST(sum(voxels)
 PACK = """pack AS (SELECT channel, vid, avg(CAST(v AS DOUBLE)) AS t FROM (SELECT label AS channel, unnest(range(64)) AS vid, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2),
 channels AS (SELECT r_regionkey AS channel, r_name AS network FROM region UNION ALL SELECT CAST(range AS INT), 'none-' || range FROM range(5, 10))"""
 CASES = """d AS (SELECT lang, source, doc_id AS vid, quality, toxic FROM documents JOIN labels USING (doc_id))"""
+GRIDS = """kinds AS (SELECT * FROM (VALUES ('A', 10, 12, 8), ('N', 12, 11, 9), ('R', 14, 10, 10)) t(flag, nx, ny, nz)),
+gv AS (SELECT concat(l_returnflag, '-', l_suppkey // 50) AS volume_id, flag, nx, ny, nz, CAST(l_partkey % nx AS INT) AS x, CAST(l_orderkey % ny AS INT) AS y, CAST((3 * l_linenumber + l_partkey) % nz AS INT) AS z, sum(l_quantity) AS value, count(*) AS n FROM lineitem JOIN kinds ON flag = l_returnflag GROUP BY ALL),
+gm AS (SELECT DISTINCT volume_id, flag, nx, ny, nz FROM gv)"""
+#: Places of the target grid's voxels in each volume's own grid, by the inverse of its affine.
+PLACED = GRIDS + """, cell AS (SELECT volume_id, flag, CAST(range % 7 AS INT) AS x, CAST(range // 7 % 7 AS INT) AS y, CAST(range // 49 AS INT) AS z, 2.25::DOUBLE * (range % 7) + 0.3 AS wx, 3.0::DOUBLE * (range // 7 % 7) + 0.2 AS wy, 2.0::DOUBLE * (range // 49) + 0.4 AS wz FROM gm, range(343)),
+placed AS (SELECT volume_id, x, y, z, CASE flag WHEN 'A' THEN wx WHEN 'N' THEN (12 - wx) / 1.5 ELSE 10 - wz END AS sx, CASE flag WHEN 'A' THEN (wy + 3) / 2 WHEN 'N' THEN (wy - 1) / 2 ELSE wx / 1.25 END AS sy, CASE flag WHEN 'A' THEN (wz - 0.25) / 1.5 WHEN 'N' THEN wz ELSE (wy - 1) / 2 END AS sz FROM cell)"""
 SERIES = """s AS (SELECT CAST(user_id % 7 AS INT) AS subject, event_type AS region, hour(ts) AS t, value FROM events)"""
 
 

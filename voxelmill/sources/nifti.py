@@ -110,7 +110,7 @@ def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes |
     """A NIfTI-1 file of a 3-D array (x, y, z): float32, or unsigned 8 or 16 bit labels with cal_max of at least 1.
 
     With the header of a ``source`` volume of the same grid all of it is kept (spacing, orientation, descriptions) but for type, scaling, range and extensions.
-    Else sform is set, qform is not; without an affine the grid is centred on the origin.
+    Else sform is set, qform is not; without an affine the spacing is 1 and the grid runs from -n / 2.
     """
     if labels:
         data = data.astype("<u1" if data.max(initial=0) < 256 else "<u2")
@@ -132,7 +132,7 @@ def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes |
         return bytes(out) + data.tobytes(order="F")
     if affine is None:
         affine = np.eye(4)
-        affine[:3, 3] = [-(n - 1) / 2 for n in data.shape]
+        affine[:3, 3] = [-n / 2 for n in data.shape]
     affine = np.asarray(affine, float)
     code = {"|u1": 2, "<u2": 512, "<f4": 16}[data.dtype.str]
     out = bytearray(DATA_AT)
