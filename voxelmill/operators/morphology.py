@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import bricks
 from .geometry import AT, grid, inside, linear_id
 from .graph import components
 from .stats import percentile_mask
 
 _HALF = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
-_CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
 def _shifted(mask: DataFrame, offsets, keep: list[str] = []) -> DataFrame:
@@ -117,18 +118,38 @@ def keep_largest_and_fill(mask: DataFrame, dims, always_fill: bool = False) -> D
     return largest.select(*AT).unionByName(holes)
 
 
-def dilate(mask: DataFrame, dims, radius: int = 1) -> DataFrame:
-    """Grows a mask by its 6 neighbours, radius times."""
-    for _ in range(radius):
-        mask = _shifted(mask, _CROSS).select(*AT).where(inside(dims, "x", "y", "z")).distinct()
-    return mask
+def _dilated(block: np.ndarray, times: int) -> np.ndarray:
+    for _ in range(times):
+        grown = block.copy()
+        for axis in (1, 2, 3):
+            ahead, behind = (tuple(slice(*(ends if k == axis else (None, None))) for k in range(4)) for ends in ((1, None), (None, -1)))
+            np.maximum(grown[ahead], block[behind], out=grown[ahead])
+            np.maximum(grown[behind], block[ahead], out=grown[behind])
+        block = grown
+    return block
 
 
-def smooth(mask: DataFrame, dims, votes: int = 14) -> DataFrame:
+def dilate(mask: DataFrame, dims, radius: int = 1, side: int = bricks.SIDE) -> DataFrame:
+    """Grows a mask by its 6 neighbours, radius times: bricks lend each other borders of that width, so a radius within a brick takes one exchange."""
+    out = bricks.to_bricks(mask.select(*AT, F.lit(1.0).alias("value")), dims, side=side)
+    while radius > 0:
+        step = min(radius, side)
+        out = bricks.around(out, step, partial(_dilated, times=step), side=side)
+        radius -= step
+    return bricks.from_bricks(out, side=side, nonzero=True).select(*AT)
+
+
+def _voted(block: np.ndarray, votes: int) -> np.ndarray:
+    total = block
+    for axis in (1, 2, 3):
+        total = total + np.roll(total, 1, axis) + np.roll(total, -1, axis)  # what wraps round stays in the halo
+    return (total >= votes).astype(float)
+
+
+def smooth(mask: DataFrame, dims, votes: int = 14, side: int = bricks.SIDE) -> DataFrame:
     """Majority of the 27 voxels around each voxel, cut at the border."""
-    around = list(product((-1, 0, 1), repeat=3))
-    near = _shifted(mask, around).where(inside(dims, "x", "y", "z"))
-    return near.groupBy(*AT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).drop("n")
+    marked = bricks.to_bricks(mask.select(*AT, F.lit(1.0).alias("value")), dims, side=side)
+    return bricks.from_bricks(bricks.around(marked, 1, partial(_voted, votes=votes), side=side), side=side, nonzero=True).select(*AT)
 
 
 def threshold_and_clean(volume: DataFrame, dims, q: float, symmetric: bool = False, least: int = 1) -> tuple[DataFrame, DataFrame]:

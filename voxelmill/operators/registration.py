@@ -1,13 +1,13 @@
-"""Vector fields (volume_id, x, y, z, dx, dy, dz) in voxels: integration, enlargement and warps as sampling joins."""
+"""Vector fields (volume_id, x, y, z, dx, dy, dz) in voxels: integration and warps over bricks with halos, sampling at any points by joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
-from .elementwise import half_up
-from .geometry import AT, _weigh, inside, resize_linear
+from . import bricks
+from .elementwise import magnitude
+from .geometry import AT, _weigh, resize_linear
 
 D = ["dx", "dy", "dz"]
 
@@ -18,46 +18,48 @@ def sample_field(points: DataFrame, field: DataFrame, dims) -> DataFrame:
     return _weigh(clamped.select(*AT, "sx", "sy", "sz"), field, AT, D)
 
 
-def integrate(velocity: DataFrame, dims, steps: int = 7) -> DataFrame:
-    """Displacement of a stationary velocity field by scaling and squaring: halve ``steps`` times, then compose with itself as often."""
-    d = velocity.select(*AT, *((F.col(c) / 2.0**steps).alias(c) for c in D))
+def integrate_bricks(velocity: DataFrame, steps: int = 7, side: int = bricks.SIDE) -> DataFrame:
+    """Displacement bricks of a stationary velocity field by scaling and squaring: halve ``steps`` times, then compose with itself as often."""
+    d = bricks.scaled(velocity, 0.5**steps)
     for _ in range(steps):
-        moved = d.select(*AT, *((F.col(c) + F.col(f"d{c}")).alias(f"s{c}") for c in "xyz"))
-        added = sample_field(moved, d, dims).select(*AT, *(F.col(c).alias(f"_{c}") for c in D))
-        d = written(d.join(added, AT).select(*AT, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in D)))
+        d = bricks.sample(d, d, 3, "add", clamp=True, side=side)
     return d
 
 
+def inverse_bricks(field: DataFrame, rounds: int = 8, side: int = bricks.SIDE) -> DataFrame:
+    """Bricks of the field e with p + e(p) taken back to p, by fixed-point steps e = -d(p + e)."""
+    e = bricks.scaled(field, 0.0)
+    for _ in range(rounds):
+        e = bricks.sample(e, field, 3, "negative", clamp=True, side=side)
+    return e
+
+
+def integrate(velocity: DataFrame, dims, steps: int = 7, side: int = bricks.SIDE) -> DataFrame:
+    """integrate_bricks of dense rows (AT, dx, dy, dz); ``dims`` are three numbers or a table of grids."""
+    return bricks.from_bricks(integrate_bricks(bricks.to_bricks(velocity, dims, tuple(D), side), steps, side), tuple(D), side)
+
+
 def enlarge(field: DataFrame, dims, new_dims) -> DataFrame:
     """End-aligned enlargement; displacements grow with the grid."""
     out = resize_linear(field, dims, new_dims, tuple(D))
     return out.withColumns({f"d{c}": F.col(f"d{c}") * (m / n) for c, n, m in zip("xyz", dims, new_dims, strict=True)})
 
 
-def warp(volume: DataFrame, field: DataFrame, dims, nearest: bool = False) -> DataFrame:
-    """value(p) = volume(p + d(p)), trilinear or nearest; 0 where p + d(p) lies outside the grid."""
-    at = field.select(*AT, *((F.col(c) + F.col(f"d{c}")).alias(f"s{c}") for c in "xyz"))
-    within = at.where(inside(dims, "sx", "sy", "sz"))
-    if nearest:
-        at_voxel = within.select(*AT, *(half_up(F.col(f"s{c}")).cast("int").alias(f"s{c}") for c in "xyz"))
-        source = volume.select("volume_id", *(F.col(c).alias(f"s{c}") for c in "xyz"), "value")
-        found = at_voxel.join(source, ["volume_id", "sx", "sy", "sz"]).select(*AT, "value")
-    else:
-        found = _weigh(within, volume, AT, ["value"])
-    return field.select(*AT).join(found, AT, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+def warp(volume: DataFrame, field: DataFrame, dims, nearest: bool = False, side: int = bricks.SIDE) -> DataFrame:
+    """value(p) = volume(p + d(p)), trilinear or nearest; 0 where p + d(p) lies outside the grid. Voxels that the volume lacks are 0, the field is dense."""
+    moved = bricks.sample(bricks.to_bricks(field, dims, tuple(D), side), bricks.to_bricks(volume, dims, side=side), 1, nearest=nearest, side=side)
+    return bricks.from_bricks(moved, side=side)
 
 
-def inverse_field(field: DataFrame, dims, rounds: int = 8) -> DataFrame:
-    """Field e with p + e(p) taken back to p, by fixed-point steps e = -d(p + e)."""
-    e = field.select(*AT, *(F.lit(0.0).alias(c) for c in D))
-    for _ in range(rounds):
-        at = e.select(*AT, *((F.col(c) + F.col(f"d{c}")).alias(f"s{c}") for c in "xyz"))
-        e = written(sample_field(at, field, dims).select(*AT, *((-F.col(c)).alias(c) for c in D)))
-    return e
+def inverse_field(field: DataFrame, dims, rounds: int = 8, side: int = bricks.SIDE) -> DataFrame:
+    """inverse_bricks of dense rows."""
+    return bricks.from_bricks(inverse_bricks(bricks.to_bricks(field, dims, tuple(D), side), rounds, side), tuple(D), side)
 
 
-def inverse_warp(volume: DataFrame, field: DataFrame, dims, nearest: bool = False, rounds: int = 8) -> DataFrame:
-    return warp(volume, inverse_field(field, dims, rounds), dims, nearest)
+def inverse_warp(volume: DataFrame, field: DataFrame, dims, nearest: bool = False, rounds: int = 8, side: int = bricks.SIDE) -> DataFrame:
+    back = inverse_bricks(bricks.to_bricks(field, dims, tuple(D), side), rounds, side)
+    moved = bricks.sample(back, bricks.to_bricks(volume, dims, side=side), 1, nearest=nearest, side=side)
+    return bricks.from_bricks(moved, side=side)
 
 
 def warp_mask(mask: DataFrame, field: DataFrame, dims) -> DataFrame:
@@ -67,6 +69,4 @@ def warp_mask(mask: DataFrame, field: DataFrame, dims) -> DataFrame:
 def register(velocity: DataFrame, moving: DataFrame, half_dims, dims, steps: int = 7) -> tuple[DataFrame, DataFrame]:
     """Displacement (with its magnitude) of a half-resolution velocity field and the moving volume warped by it."""
     field = enlarge(integrate(velocity, half_dims, steps), half_dims, dims)
-    from .elementwise import magnitude
-
     return field.withColumn("magnitude", magnitude(*(F.col(c) for c in D))), warp(moving, field, dims)

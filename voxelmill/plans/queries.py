@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import connect, connectome, elementwise, evaluate, geometry, morphology, overlap, rank, registration, score, stats, steps
-from ..session import shared_folder, written
+from ..session import new_folder, written
 from ..sources import nifti, pack as packs
 from . import substrate as S
 from .registry import QUERIES, SQL, query
@@ -380,13 +380,13 @@ def mor3_keep_largest_and_fill(spark, sf):
 
 @query(f"WITH {MASK}, o AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(dx, dy, dz)), d1 AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM mask, o), d2 AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM d1, o WHERE least(x, y, z) >= 0 AND greatest(x, y, z) < 16) SELECT * FROM d2 WHERE least(x, y, z) >= 0 AND greatest(x, y, z) < 16")
 def mor4_dilate(spark, sf):
-    return _ones(morphology.dilate(S.mask(spark, sf), DIMS, 2))
+    return _ones(morphology.dilate(S.mask(spark, sf), DIMS, 2, side=8))
 
 
 @query(f"WITH {VOL}, m AS (SELECT x, y, z FROM vol WHERE value >= (SELECT avg(value) FROM vol)), g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT g.x, g.y, g.z FROM g JOIN m ON abs(g.x - m.x) <= 1 AND abs(g.y - m.y) <= 1 AND abs(g.z - m.z) <= 1 GROUP BY 1, 2, 3 HAVING count(*) >= 14")
 def mor6_smooth(spark, sf):
     v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("value")).where(F.col("value") >= F.col("mean"))
-    return _ones(morphology.smooth(v, DIMS))
+    return _ones(morphology.smooth(v, DIMS, side=8))
 
 
 @query(f"WITH {MASK}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT x, y, z FROM g ANTI JOIN mask USING (x, y, z)")
@@ -599,16 +599,10 @@ def inf2_extract_brain(spark, sf):
 # Sources and sinks: written, read and compared
 
 
-def _folder(spark, name):
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {VOL}, g AS (SELECT CAST(range AS INT) AS vid FROM range(4096)) SELECT CAST(g.vid AS BIGINT) AS vid, coalesce(value, 0) AS value FROM g LEFT JOIN vol USING (vid)")
 def src1_nifti_volume(spark, sf):
     """SRC-1..4, SNK-1, SNK-3: a volume as a compressed file of float32 and back, zeros included."""
-    folder = _folder(spark, "nifti")
+    folder = new_folder(spark, "nifti")
     nifti.write_files(nifti.to_files(S.volume(spark, sf), DIMS), folder)
     return nifti.read_voxels(spark, folder).select("vid", "value")
 
@@ -618,7 +612,7 @@ def snk2_nifti_labels(spark, sf):
     """SNK-2, SRC-3: labels written with the header of a source volume; its affine and grid are kept, its type is not."""
     import numpy as np
 
-    folder, first = _folder(spark, "nifti"), _folder(spark, "nifti")
+    folder, first = new_folder(spark, "nifti"), new_folder(spark, "nifti")
     affine = np.diag([2.0, 3.0, 4.0, 1.0])
     affine[2, 3] = 5
     nifti.write_files(nifti.to_files(S.volume(spark, sf), DIMS, affine), first)
@@ -632,7 +626,7 @@ def snk2_nifti_labels(spark, sf):
 @query(f"WITH {PACK} SELECT channel, vid, {M('t')} AS t FROM pack WHERE channel BETWEEN 4 AND 6")
 def src7_pack_shards(spark, sf):
     """SRC-6, SRC-7: a pack in shards of three channels, of which one is read."""
-    folder = _folder(spark, "pack")
+    folder = new_folder(spark, "pack")
     packs.write_pack(S.pack(spark, sf), folder, 3)
     out = packs.read_pack(spark, folder, [4, 5, 6], 3)
     return out.select("channel", "vid", micro(F.col("t")).alias("t"))
@@ -654,7 +648,7 @@ def snk9_profile_json(spark, sf):
     from pyspark.sql import Window
 
     p = S.profile(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("network").orderBy("term"))).withColumn("ord", F.col("rank") - 1)
-    folder = _folder(spark, "profile")
+    folder = new_folder(spark, "profile")
     packs.profile_json(p, "types").select("value").coalesce(1).write.text(folder)  # one row
     return packs.read_profiles(spark, folder, "types").select("network", "term", micro(F.col("score")).alias("score"), "rank", "ord")
 
@@ -663,7 +657,7 @@ def snk9_profile_json(spark, sf):
 def snk5_summary(spark, sf):
     """The Markdown summary beside the CSV of all cases, written and read."""
     m = evaluate.scores(evaluate.confusion(*S.predictions(spark, sf), ["lang", "source"]))
-    folder = _folder(spark, "report")
+    folder = new_folder(spark, "report")
     evaluate.write_report(m.select("lang", "source", "tp", "fp", "fn", "dice"), folder, ["lang"], ["dice"])
     return spark.read.text(f"{folder}/summary").select(F.col("value").alias("line"))
 
@@ -722,15 +716,73 @@ def reg8_sampled_vectors(spark, sf):
     return out.select("x", "y", micro(F.col("dx")).alias("dx"), micro(F.col("dy")).alias("dy"))
 
 
-@query(f"WITH {VOL}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)) SELECT g.x, g.y, g.z, {M('CASE WHEN g.x < 15 THEN 0.5 * coalesce(a.value, 0) + 0.5 * coalesce(b.value, 0) ELSE 0 END')} AS value FROM g LEFT JOIN vol a ON a.vid = g.x + 16 * g.y + 256 * g.z LEFT JOIN vol b ON g.x < 15 AND b.vid = g.x + 1 + 16 * g.y + 256 * g.z")
+def _bent(volume, reach=1.0):
+    """A velocity field that varies by place and by what the volume holds."""
+    top = volume.agg(F.max("value").alias("top"))
+    cells = geometry.grid(volume, DIMS).join(volume.select("volume_id", "x", "y", "z", "value"), ["volume_id", "x", "y", "z"], "left").crossJoin(F.broadcast(top))  # one row
+    dx = reach * (3 * F.coalesce("value", F.lit(0.0)) / F.col("top") - 1)
+    return cells.select("volume_id", "x", "y", "z", dx.alias("dx"), (reach * (F.col("x") / 8 - 1)).alias("dy"), (reach * (1.25 - F.col("y") / 4)).alias("dz"))
+
+
+_BENT = f"""WITH {VOL}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)),
+v AS (SELECT g.*, REACH * (3 * coalesce(value, 0) / (SELECT max(value) FROM vol) - 1) AS dx, REACH * (x / 8::DOUBLE - 1) AS dy, REACH * (1.25 - y / 4::DOUBLE) AS dz FROM g LEFT JOIN vol USING (x, y, z))"""
+
+
+def _placed(field, name, clamp):
+    at = ", ".join((f"least(15.0, greatest(0.0, {c} + d{c}))" if clamp else f"{c} + d{c}") + f" AS s{c}" for c in "xyz")
+    return f"{name} AS (SELECT *, {at} FROM {field})"
+
+
+def _near(p, s):
+    return " AND ".join(f"abs({p}.s{c} - {s}.{c}) < 1" for c in "xyz")
+
+
+_SHARE = " * ".join(f"(1 - abs(p.s{c} - s.{c}))" for c in "xyz")
+
+
+def _squared(steps):
+    """SQL of scaling and squaring: f0 is the velocity over 2 ** steps, each next one the last composed with itself."""
+    out = [f"f0 AS (SELECT x, y, z, {', '.join(f'd{c} / {2**steps} AS d{c}' for c in 'xyz')} FROM v)"]
+    for k in range(steps):
+        sums = ", ".join(f"any_value(p.d{c}) + sum({_SHARE} * s.d{c}) AS d{c}" for c in "xyz")
+        out += [_placed(f"f{k}", f"p{k}", True), f"f{k + 1} AS (SELECT p.x, p.y, p.z, {sums} FROM p{k} p JOIN f{k} s ON {_near('p', 's')} GROUP BY 1, 2, 3)"]
+    return ", ".join(out)
+
+
+_INSIDE = " AND ".join(f"p.s{c} BETWEEN 0 AND 15" for c in "xyz")
+
+
+@query(f"{_BENT.replace('REACH', '1')}, {_squared(3)}, {_placed('f3', 'p', False)} SELECT p.x, p.y, p.z, {M(f'coalesce(sum(CASE WHEN {_INSIDE} THEN {_SHARE} * s.value END), 0)')} AS value FROM p LEFT JOIN vol s ON {_near('p', 's')} GROUP BY 1, 2, 3")
 def reg4_warp(spark, sf):
-    """A constant velocity of half a voxel along x, integrated and applied."""
-    v = S.volume(spark, sf)
-    field = geometry.grid(v, DIMS).select("volume_id", "x", "y", "z", F.lit(0.5).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    out = registration.warp(v, registration.integrate(field, DIMS, 3), DIMS)
+    """A velocity field that varies, integrated in three steps over bricks of 8 voxels a side, and the volume warped by it."""
+    v = written(S.volume(spark, sf))
+    field = registration.integrate(_bent(v), DIMS, 3, side=8)
+    out = registration.warp(v, field, DIMS, side=8)
     return out.select("x", "y", "z", micro(F.col("value")).alias("value"))
 
 
+@query(f"{_BENT.replace('REACH', '4')}, {_placed('v', 'p', False)} SELECT p.x, p.y, p.z, s.value FROM p JOIN vol s ON floor(p.sx + 0.5) = s.x AND floor(p.sy + 0.5) = s.y AND floor(p.sz + 0.5) = s.z WHERE {_INSIDE}")
+def reg6_far_warp(spark, sf):
+    """REG-6: displacements of up to 8 voxels over bricks of 4 with a halo of 2: most come from the second pass. Nearest values."""
+    v = written(S.volume(spark, sf))
+    from ..operators import bricks
+
+    field, source = bricks.to_bricks(_bent(v, 4.0), DIMS, ("dx", "dy", "dz"), 4), bricks.to_bricks(v, DIMS, side=4)
+    out = bricks.from_bricks(bricks.sample(field, source, 1, nearest=True, halo=2, side=4), side=4, nonzero=True)
+    return out.select("x", "y", "z", "value")
+
+
+_BACK = ", ".join(f"b{k} AS (SELECT p.x, p.y, p.z, {', '.join(f'-sum({_SHARE} * s.d{c}) AS d{c}' for c in 'xyz')} FROM q{k} p JOIN v s ON {_near('p', 's')} GROUP BY 1, 2, 3), {_placed(f'b{k}', f'q{k + 1}', True)}" for k in range(2))
+
+
+@query(f"{_BENT.replace('REACH', '1')}, z AS (SELECT x, y, z, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, 0.0::DOUBLE AS dz FROM v), {_placed('z', 'q0', True)}, {_BACK} SELECT x, y, z, {M('dx')} AS dx, {M('dy')} AS dy, {M('dz')} AS dz FROM b1")
+def reg7_inverse_field(spark, sf):
+    """REG-7: two fixed-point rounds towards the inverse of a field that varies."""
+    v = written(S.volume(spark, sf))
+    out = registration.inverse_field(_bent(v), DIMS, 2, side=8)
+    return out.select("x", "y", "z", *(micro(F.col(c)).alias(c) for c in ("dx", "dy", "dz")))
+
+
 # Scalar functions
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -42,9 +43,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: what comes after reads it, however often, and a lost executor costs only its tasks."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
