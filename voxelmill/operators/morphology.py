@@ -25,13 +25,17 @@ def _shifted(mask: DataFrame, offsets, keep: list[str] = []) -> DataFrame:
     return out.select("volume_id", *keep, *(F.col(c).alias(f"{c}0") for c in "xyz"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"))
 
 
-def _block_labels(x: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The least id of each voxel's component within one block: minima of the 3 x 3 x 3 surroundings, then those of the voxel that the minimum names, until nothing changes."""
+def _block_labels(x: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """The least id of each voxel's component within one block: minima of the 3 x 3 x 3 surroundings, then those of the voxel that the minimum names, until nothing changes.
+
+    ``start`` has for each voxel an id that is known to be of its component, such as that of a part of it.
+    """
     x, y, z = (c - c.min() + 1 for c in (x, y, z))
     none = np.iinfo(np.int64).max
     label = np.full((x.max() + 2, y.max() + 2, z.max() + 2), none)
     order = np.sort(ids)
-    label[x, y, z] = rank = np.searchsorted(order, ids)
+    rank = np.searchsorted(order, ids)
+    label[x, y, z] = rank if start is None else np.searchsorted(order, start)
     best = np.empty(len(ids), np.int64)
     while True:
         around = label
