@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+from ..sources.pack import CHANNELS_A_SHARD
 from .overlap import UNASSIGNED
 
 
@@ -27,6 +29,23 @@ def weighted_sum(pack: DataFrame, weights: DataFrame) -> DataFrame:
     return pack.join(some, "channel").groupBy("vid").agg(F.sum(F.col("w") * F.col("t")).alias("value"))
 
 
+#: Weights that are broadcast at most; a weight is a row of some 20 bytes.
+BROADCAST_WEIGHTS = 100_000
+
+
+def weighted_sum_of_shards(spark: SparkSession, path: str, weights: DataFrame, per_shard: int = CHANNELS_A_SHARD) -> DataFrame:
+    """weighted_sum of a pack in shards (see sources.pack.write_pack): shards whose channels all weigh 0 are pruned while the query runs.
+
+    The weights are computed once; with up to BROADCAST_WEIGHTS of them their shards become a filter on the partitions of the scan. Beyond
+    that the join is shuffled, and all shards are read.
+    """
+    shard = F.floor((F.col("channel") - 1) / per_shard).cast("int")
+    some = written(weights.select("channel", "w", shard.alias("shard"))).where("w <> 0")
+    pack = spark.read.parquet(path)
+    side = F.broadcast(some) if some.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS else some
+    return pack.join(side, ["shard", "channel"]).groupBy("vid").agg(F.sum(F.col("w") * F.col("t")).alias("value"))
+
+
 def requested_shards(shards: DataFrame, requested: DataFrame) -> DataFrame:
     """Shards that hold a requested channel label. shards: shard, channel_labels (array)."""
     listed = shards.select("shard", F.explode("channel_labels").alias("channel_label"))

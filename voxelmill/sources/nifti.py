@@ -106,11 +106,11 @@ def read_voxels(spark: SparkSession, path: str, scaled: bool = False, nonzero: b
     return _files(spark, path).mapInPandas(run, VOXELS)
 
 
-def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes | None = None) -> bytes:
+def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes | None = None, scale: tuple[float, float] = (1.0, 0.0)) -> bytes:
     """A NIfTI-1 file of a 3-D array (x, y, z): float32, or unsigned 8 or 16 bit labels with cal_max of at least 1.
 
     With the header of a ``source`` volume of the same grid all of it is kept (spacing, orientation, descriptions) but for type, scaling, range and extensions.
-    Else sform is set, qform is not; without an affine the spacing is 1 and the grid runs from -n / 2.
+    ``scale`` is the slope and intercept that readers who scale apply to the stored values. Else sform is set, qform is not; without an affine the spacing is 1 and the grid runs from -n / 2.
     """
     if labels:
         data = data.astype("<u1" if data.max(initial=0) < 256 else "<u2")
@@ -126,7 +126,7 @@ def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes |
         data = data.astype(data.dtype.newbyteorder(order))
         struct.pack_into(f"{order}8h", out, 40, 3, *data.shape, 1, 1, 1, 1)
         struct.pack_into(f"{order}2h", out, 70, {"u1": 2, "u2": 512, "f4": 16}[data.dtype.str[1:]], data.dtype.itemsize * 8)
-        struct.pack_into(f"{order}3f", out, 108, DATA_AT, 1.0, 0.0)
+        struct.pack_into(f"{order}3f", out, 108, DATA_AT, *scale)
         struct.pack_into(f"{order}2f", out, 124, high, low)
         out[344:348] = b"n+1\0"
         return bytes(out) + data.tobytes(order="F")
@@ -140,7 +140,7 @@ def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes |
     struct.pack_into("<8h", out, 40, 3, *data.shape, 1, 1, 1, 1)
     struct.pack_into("<2h", out, 70, code, data.dtype.itemsize * 8)
     struct.pack_into("<8f", out, 76, 1.0, *np.linalg.norm(affine[:3, :3], axis=0), 0, 0, 0, 0)
-    struct.pack_into("<3f", out, 108, DATA_AT, 1.0, 0.0)
+    struct.pack_into("<3f", out, 108, DATA_AT, *scale)
     struct.pack_into("<B", out, 123, 2)
     struct.pack_into("<2f", out, 124, high, low)
     struct.pack_into("<2h", out, 252, 0, 1)
@@ -149,13 +149,13 @@ def encode(data: np.ndarray, affine=None, labels: bool = False, source: bytes |
     return bytes(out) + data.tobytes(order="F")
 
 
-def to_files(volume: DataFrame, dims, affine=None, labels: bool = False, compress: bool = True, source: bytes | None = None) -> DataFrame:
+def to_files(volume: DataFrame, dims, affine=None, labels: bool = False, compress: bool = True, source: bytes | None = None, scale: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
     """volume_id, content: one file of bytes for each volume, with a source volume's header where that is given."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros(dims)
         data[rows["x"], rows["y"], rows["z"]] = rows["value"]
-        raw = encode(data, affine, labels, source)
+        raw = encode(data, affine, labels, source, scale)
         return pd.DataFrame({"volume_id": [rows["volume_id"].iloc[0]], "content": [gzip.compress(raw, mtime=0) if compress else raw]})
 
     return volume.select("volume_id", "x", "y", "z", "value").groupBy("volume_id").applyInPandas(run, "volume_id string, content binary")
