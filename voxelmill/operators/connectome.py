@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,41 @@ def group_t(z: DataFrame, by: list[str], sample: bool = True, floor: float = 1e-
 
 def group_connectome(series: DataFrame, sample: bool = True) -> DataFrame:
     """t of every pair of regions."""
+    return group_t(subject_z(series), ["source", "target"], sample)
+
+
+# Mergeable moments: a stored state to which new subjects are added without reading old ones
+
+
+def subject_z(series: DataFrame) -> DataFrame:
+    """subject, source, target, z of every pair of regions that has more than two times."""
     means = region_series(series)
     r = correlations(means, means).where("source <> target and n > 2")
-    return group_t(r.select("source", "target", fisher_z(F.col("r")).alias("z")), ["source", "target"], sample)
+    return r.select("subject", "source", "target", fisher_z(F.col("r")).alias("z"))
+
+
+def pair_state(z: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, s1, s2: the number of values of z, their sum and the sum of their squares. States of disjoint subjects add up."""
+    return z.where("z is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("s1"), F.sum(F.col("z") * F.col("z")).alias("s2"))
+
+
+def merged(states: DataFrame, by: list[str]) -> DataFrame:
+    return states.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "s1", "s2")))
+
+
+def add_run(state: DataFrame, folder: str, run: str) -> None:
+    """Stores the state of one run of subjects. A run that is stored again replaces itself, so a repeated job counts nobody twice; other runs aren't read."""
+    state.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(folder)
+
+
+def stored_state(spark: SparkSession, folder: str, by: list[str]) -> DataFrame:
+    """The state of all runs of a folder."""
+    return merged(spark.read.parquet(folder), by)
+
+
+def state_t(state: DataFrame, by: list[str], sample: bool = True, floor: float = 1e-6) -> DataFrame:
+    """What group_t gives for all values that a state has seen."""
+    n, mean = F.col("n"), F.col("s1") / F.col("n")
+    spread = F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * mean)
+    std = F.when(n > 1, F.sqrt(spread / (n - 1 if sample else n))).otherwise(0.0)
+    return state.select(*by, "n", mean.alias("mean_z"), (mean / F.greatest(std / F.sqrt(n), F.lit(floor))).alias("t"))
