@@ -96,3 +96,58 @@ def test_a_halo_wider_than_a_brick_raises(spark):
     v = bricks.to_bricks(rows(spark, np.ones((1, 3, 3, 3)), ["value"]), (3, 3, 3), side=2)
     with pytest.raises(ValueError, match="wider than a brick"):
         bricks.around(v, 3, lambda b: b, side=2)
+
+
+def resized(data, dims):
+    """Corner-aligned trilinear resize of (channels, x, y, z)."""
+    scale = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(data.shape[1:], dims, strict=True)]
+    place = np.indices(dims, float).reshape(3, -1) * np.array(scale)[:, None]
+    return taken(data, place, True, False).reshape(-1, *dims)
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_registered_pairs(spark, masked):
+    dims, small, half, rng = (6, 8, 7), (4, 5, 4), (3, 4, 4), np.random.default_rng(8)
+    data = {k: (rng.random((1, *dims)) * 9, rng.random((1, *dims)) * 4) for k in ("a", "b")}
+
+    def model(moving, fixed):
+        assert moving.shape == fixed.shape == small
+        return np.stack([moving[:3, :4] - fixed[:3, :4], 2 * moving[1:, 1:], fixed[:3, 1:] - 1])
+
+    sides = [rows(spark, data["a"][i], ["value"], "a").unionByName(rows(spark, data["b"][i], ["value"], "b")) for i in (0, 1)]
+    inside = np.arange(np.prod(dims)) % 4 != 1
+    mask = spark.createDataFrame([(k, int(v)) for k in data for v in np.flatnonzero(inside)], "volume_id string, vid int") if masked else None
+    field, warped = registration.register_pairs(*sides, dims, model, small, half, mask, 2, 4)
+
+    def robust(v, keep):
+        flat = v.ravel(order="F")
+        some = np.sort(flat[keep])
+        lo, hi = some[int((len(some) - 1) * 0.01)], some[int((len(some) - 1) * 0.99)]
+        return np.where(keep, np.clip((flat - lo) / (hi - lo), 0, 1), 0).reshape(v.shape, order="F")
+
+    for k, (moving, fixed) in data.items():
+        m, f = moving[0], fixed[0]
+        source = robust(m, inside) if masked else (m - m.min()) / (m.max() - m.min())
+        target = robust(f, f.ravel(order="F") > 0.05 * f.max()) if masked else f
+        v = model(*(resized(s[None], small)[0] for s in (source, target))) / 4
+        for _ in range(2):
+            v = v + taken(v, np.indices(half).reshape(3, -1) + v.reshape(3, -1), True, False).reshape(3, *half)
+        d = resized(v, dims) * np.array([m / n for n, m in zip(half, dims, strict=True)])[:, None, None, None]
+        want = taken(source[None], np.indices(dims).reshape(3, -1) + d.reshape(3, -1), False, False).reshape(1, *dims)
+        own = lambda df: df.where(F.col("volume_id") == k)  # noqa: B023, E731
+        assert np.allclose(array(own(field), D, dims), d) and np.allclose(array(own(warped), ["value"], dims), want)
+        assert np.allclose(array(own(field), ["magnitude"], dims)[0], np.sqrt((d**2).sum(0)))
+    with pytest.raises(Exception, match="not in both"):
+        registration.register_pairs(sides[0], sides[1].where("volume_id = 'a'"), dims, model, small, half)
+
+
+def test_labels_through_a_field_and_back(spark):
+    dims = (6, 6, 6)
+    labels = spark.createDataFrame([("v", 1, 2, 3, 7.0), ("v", 4, 4, 4, 9.0)], "volume_id string, x int, y int, z int, value double")
+    shift = np.zeros((3, *dims))
+    shift[0] = 1
+    field = rows(spark, shift, D)
+    at = lambda df: {(r.x, r.y, r.z, r.value) for r in df.collect()}
+    assert at(registration.warp_labels(labels, field, dims, side=3)) == {(0, 2, 3, 7.0), (3, 4, 4, 9.0)}
+    assert at(registration.warp_labels(labels, field, dims, True, side=3)) == {(2, 2, 3, 7.0), (5, 4, 4, 9.0)}
+    assert {(r.x, r.y, r.z) for r in registration.inverse_warp_mask(labels.drop("value"), field, dims, side=3).collect()} == {(2, 2, 3), (5, 4, 4)}

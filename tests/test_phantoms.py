@@ -420,7 +420,7 @@ def test_correlations(spark):
     voxels[7], voxels[8, 3:6] = 2.5, np.nan
     rows = lambda m: [(1, str(k), t, float(m[k, t])) for k in range(len(m)) for t in range(12) if not np.isnan(m[k, t])]
     kind = "subject int, region string, t int, value double"
-    got = {(int(r.source), int(r.target)): (r.n, r.r) for r in connectome.correlations(spark.createDataFrame(rows(regions), kind), spark.createDataFrame(rows(voxels), kind), blocks=4).collect()}
+    got = {(int(r.source), int(r.target)): (r.n, r.r) for r in connectome.correlations(spark.createDataFrame(rows(regions), kind), spark.createDataFrame(rows(voxels), kind), size=3).collect()}
     assert len(got) == 120
     for (i, j), (n, r) in got.items():
         ok = ~np.isnan(voxels[j])

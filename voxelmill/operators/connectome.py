@@ -13,16 +13,28 @@ def region_series(series: DataFrame) -> DataFrame:
     return series.groupBy("subject", "region", "t").agg(F.avg("value").alias("value"))
 
 
-def correlations(a: DataFrame, b: DataFrame, scale_by_sample: bool = True, blocks: int = 16) -> DataFrame:
+#: Regions or voxels of one side of a block.
+BLOCK_REGIONS = 512
+
+
+def _blocks(series: DataFrame, size: int) -> int:
+    regions = series.agg(F.approx_count_distinct("region")).first()[0]
+    return max(1, -(-regions // size))
+
+
+def correlations(a: DataFrame, b: DataFrame, scale_by_sample: bool = True, size: int = BLOCK_REGIONS) -> DataFrame:
     """subject, source, target, n, r of series (subject, region, t, value; one value a time) over the times that both have.
 
-    The targets of a subject, regions or voxels, are dealt into blocks, and each block is multiplied with all sources as matrices: no row is made for a pair and a
-    time. r is scaled by (n - 1) / n, as products of sample z-scores divided by n are; constant series give null.
+    The regions or voxels of both sides are dealt into blocks of about ``size``, and each block of sources is multiplied with each block of targets as
+    matrices: a task holds two blocks, a series is copied once for each block of the other side, and no row is made for a pair and a time. r is scaled by (n - 1) / n, as products of sample z-scores divided by n are; constant series give null.
     """
     # Both sides may come from one table, so their columns are named apart.
     one = lambda df, s, name, t, v: df.select(F.col("subject").alias(s), F.col("region").cast("string").alias(name), F.col("t").alias(t), F.col("value").cast("double").alias(v))
-    x = one(a, "subject", "source", "t", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    y = one(b, "of", "target", "time", "y").withColumn("part", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows, columns = _blocks(a, size), _blocks(b, size)
+    x = one(a, "subject", "source", "t", "x").withColumns({"row": own("source", rows)}).withColumn("column", every(columns))
+    y = one(b, "of", "target", "time", "y").withColumns({"part": own("target", columns)}).withColumn("line", every(rows))
 
     def table(subject, source, target, n, r) -> pd.DataFrame:
         text = lambda c: pd.Series(list(c), dtype=object)
@@ -48,7 +60,7 @@ def correlations(a: DataFrame, b: DataFrame, scale_by_sample: bool = True, block
         return table(key[0], names[0][i], names[1][j], k.astype(np.int64), found.astype(float))
 
     kind = a.schema["subject"].dataType.simpleString()
-    out = x.groupBy("subject", "block").cogroup(y.groupBy("of", "part")).applyInPandas(multiply, f"subject {kind}, source string, target string, n long, r double")
+    out = x.groupBy("subject", "row", "column").cogroup(y.groupBy("of", "line", "part")).applyInPandas(multiply, f"subject {kind}, source string, target string, n long, r double")
     return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 

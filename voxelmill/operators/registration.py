@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import bricks
-from .elementwise import magnitude
-from .geometry import AT, _weigh, resize_linear
+from .elementwise import foreground, magnitude, min_max, robust_normalise
+from .geometry import AT, _weigh, linear_id, resize_linear
 
 D = ["dx", "dy", "dz"]
 
@@ -66,7 +71,54 @@ def warp_mask(mask: DataFrame, field: DataFrame, dims) -> DataFrame:
     return warp(mask.withColumn("value", F.lit(1.0)), field, dims).where("value > 0.5")
 
 
-def register(velocity: DataFrame, moving: DataFrame, half_dims, dims, steps: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Displacement (with its magnitude) of a half-resolution velocity field and the moving volume warped by it."""
-    field = enlarge(integrate(velocity, half_dims, steps), half_dims, dims)
-    return field.withColumn("magnitude", magnitude(*(F.col(c) for c in D))), warp(moving, field, dims)
+def warp_labels(labels: DataFrame, field: DataFrame, dims, inverse: bool = False, rounds: int = 8, side: int = bricks.SIDE) -> DataFrame:
+    """Labels taken through a field or, with ``inverse``, back through it: nearest values, background left out."""
+    moved = inverse_warp(labels, field, dims, True, rounds, side) if inverse else warp(labels, field, dims, True, side)
+    return moved.where("value > 0")
+
+
+def inverse_warp_mask(mask: DataFrame, field: DataFrame, dims, rounds: int = 8, side: int = bricks.SIDE) -> DataFrame:
+    return inverse_warp(mask.withColumn("value", F.lit(1.0)), field, dims, False, rounds, side).where("value > 0.5")
+
+
+def register(velocity: DataFrame, moving: DataFrame, half_dims, dims, steps: int = 7, side: int = bricks.SIDE) -> tuple[DataFrame, DataFrame]:
+    """Displacement (with its magnitude) of a velocity field on a smaller grid and the moving volume warped by it."""
+    field = written(enlarge(integrate(velocity, half_dims, steps, side), half_dims, dims))
+    return field.withColumn("magnitude", magnitude(*(F.col(c) for c in D))), warp(moving, field, dims, side=side)
+
+
+def register_pairs(moving: DataFrame, fixed: DataFrame, dims, model: Callable, model_dims=None, field_dims=None, mask: DataFrame | None = None, steps: int = 7, side: int = bricks.SIDE) -> tuple[DataFrame, DataFrame]:
+    """What ``register`` gives for pairs of dense volumes (AT, value) that share a volume_id, with the velocities of an injected model.
+
+    With a mask of the moving volumes (volume_id, vid) both sides are scaled by their robust percentiles, the fixed one within its foreground, and 0
+    outside; without one the moving volumes are scaled from 0 to 1. Both are resized to ``model_dims``. The model is called once a pair with two arrays of that size and
+    gives three by ``field_dims``; a pair is one group, of the size that the model takes. A volume without its partner raises.
+    """
+    model_dims, field_dims = tuple(model_dims or dims), tuple(field_dims or dims)
+    own = lambda df: df.select(*AT, linear_id(dims).alias("vid"), F.col("value").cast("double").alias("value"))
+    moving, fixed = written(own(moving)), written(own(fixed))
+    if mask is None:
+        source, target = min_max(moving), fixed
+    else:
+        source = robust_normalise(moving, mask, True)
+        target = robust_normalise(fixed, foreground(fixed).select("volume_id", "vid"), True)
+    source = written(source.select(*AT, "value"))
+    sides = [resize_linear(v, dims, model_dims) if tuple(dims) != model_dims else v for v in (source, target.select(*AT, "value"))]
+
+    def call(rows: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(model_dims)
+        out[tuple(rows[c] for c in "xyz")] = rows["value"]
+        return out
+
+    def velocity(key, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or other.empty:
+            raise ValueError(f"{key[0]} is not in both sets of volumes")
+        d = np.asarray(model(call(one), call(other)), float)
+        if d.shape != (3, *field_dims):
+            raise ValueError(f"the model gave {d.shape}, not {(3, *field_dims)}")
+        at = np.indices(field_dims).reshape(3, -1)
+        return pd.DataFrame({"volume_id": key[0], **dict(zip("xyz", at, strict=True)), **dict(zip(D, d.reshape(3, -1), strict=True))})
+
+    pairs = sides[0].groupBy("volume_id").cogroup(sides[1].groupBy("volume_id"))
+    found = pairs.applyInPandas(velocity, "volume_id string, x int, y int, z int, dx double, dy double, dz double")
+    return register(found, source, field_dims, dims, steps, side)

@@ -124,9 +124,12 @@ def prj2_symmetric_mask(spark, sf):
     return stats.percentile_mask(_network_map(spark, sf), 0.9, True).select(F.col("vid").cast("long").alias("vid"))
 
 
-@query(f"WITH {VOL} SELECT min(value) AS low, max(value) AS high, count(*) FILTER (WHERE abs(value) > 300) AS strong FROM vol")
+@query(f"WITH {VOL}, d AS (SELECT value - (SELECT avg(value) FROM vol) AS v FROM vol) SELECT {M('min(v)')} AS low, {M('max(v)')} AS high, count(*) FILTER (WHERE abs(v) > 5) AS strong FROM d")
 def agg18_map_stats(spark, sf):
-    return connect.map_stats(S.volume(spark, sf), 300)
+    """A map of deviations from the mean; 5 is the operator's own cutoff."""
+    v = elementwise.with_stats(written(S.volume(spark, sf)), mean=F.avg("value")).withColumn("value", F.col("value") - F.col("mean"))
+    out = connect.map_stats(v)
+    return out.select(micro(F.col("low")).alias("low"), micro(F.col("high")).alias("high"), "strong")
 
 
 _FLAGSHIP = f"{_WEIGHTS}, beyond AS (SELECT vid FROM total_map WHERE value > (SELECT quantile_cont(abs(value), 0.75) FROM total_map)), hit AS (SELECT label, count(*) AS voxels FROM beyond JOIN atlas USING (vid) GROUP BY 1) SELECT coalesce(network, 'Unassigned') AS network, CAST(sum(voxels) AS BIGINT) AS voxels FROM hit LEFT JOIN names USING (label) GROUP BY 1"
@@ -148,11 +151,12 @@ def prj6_foreground(spark, sf):
     return elementwise.foreground(S.volume(spark, sf), 0.5).select("vid")
 
 
-@query("SELECT CAST(8 + 16 * (8 + 16 * 8) AS INT) AS vid")
+@query(f"WITH {VOL}, v AS (SELECT *, CASE WHEN z % 2 = 0 THEN 'even' ELSE 'odd' END AS volume_id FROM vol) SELECT volume_id, vid FROM v WHERE volume_id = 'even' AND value > 0.5 * (SELECT max(value) FROM v WHERE volume_id = 'even') UNION ALL SELECT 'odd', 8 + 16 * (8 + 16 * 8)")
 def prj7_foreground_fallback(spark, sf):
-    """A volume of zeros has no foreground."""
-    dark = S.volume(spark, sf).drop("n").withColumn("value", F.col("value") * 0)
-    return elementwise.foreground_or_centre(dark, DIMS).select("vid")
+    """Even slices have a foreground; odd ones, put to zero, have none and get the centre."""
+    odd = F.col("z") % 2 == 1
+    v = S.volume(spark, sf).drop("n").withColumns({"volume_id": F.when(odd, "odd").otherwise("even"), "value": F.when(odd, 0.0).otherwise(F.col("value"))})
+    return elementwise.foreground_or_centre(v, DIMS, 0.5).select("volume_id", "vid")
 
 
 @query(f"WITH {VOL} SELECT vid, {M('(value - (SELECT avg(value) FROM vol)) / (SELECT stddev_pop(value) FROM vol)')} AS z FROM vol")
@@ -279,9 +283,17 @@ def geo3_resize_linear(spark, sf):
     return out.select("x", "y", "z", micro(F.col("value")).alias("value"))
 
 
-@query(f"WITH {MASK}, {_GRID8} SELECT g.x, g.y, g.z, coalesce(label, 0) AS label FROM grid8 g LEFT JOIN atlas ON vid = (2 * g.x + 1) + 16 * (2 * g.y + 1) + 256 * (2 * g.z + 1)")
+_LABELS = VOL + ", atlas AS (SELECT vid, x, y, z, CAST(n % 26 AS INT) AS label FROM vol WHERE n % 26 <> 0)"
+
+
+def _labels(spark, sf):
+    """A label volume of the tables: counts of line items modulo 26, 0 left out."""
+    return S.volume(spark, sf).select("volume_id", "vid", "x", "y", "z", (F.col("n") % 26).cast("int").alias("value")).where("value <> 0")
+
+
+@query(f"WITH {_LABELS}, {_GRID8} SELECT g.x, g.y, g.z, coalesce(label, 0) AS label FROM grid8 g LEFT JOIN atlas ON vid = (2 * g.x + 1) + 16 * (2 * g.y + 1) + 256 * (2 * g.z + 1)")
 def geo4_resize_labels(spark, sf):
-    labels = S.atlas(spark).select(F.lit("atlas").alias("volume_id"), "x", "y", "z", F.col("label").alias("value"))
+    labels = _labels(spark, sf)
     return geometry.resize_labels(labels, DIMS, (8, 8, 8)).select("x", "y", "z", F.col("value").cast("int").alias("label"))
 
 
@@ -317,9 +329,11 @@ def geo14_slice_range(spark, sf):
     return _ones(geometry.slice_range(S.mask(spark, sf), 5, 40, 16))
 
 
-@query("WITH s AS (SELECT unnest([0, 5, 9]) AS p) SELECT row_number() OVER (ORDER BY c.p, b.p, a.p) - 1 AS patch, a.p AS px, b.p AS py, c.p AS pz FROM s a, s b, s c")
+@query(f"WITH {VOL}, s AS (SELECT unnest([0, 5, 9]) AS p), q AS (SELECT row_number() OVER (ORDER BY c.p, b.p, a.p) - 1 AS patch, a.p AS px, b.p AS py, c.p AS pz FROM s a, s b, s c) SELECT patch, px, py, pz, value AS corner FROM q LEFT JOIN vol ON x = px AND y = py AND z = pz")
 def geo15_patch_positions(spark, sf):
-    return geometry.patch_positions(spark, DIMS, (7, 7, 7), 0.25)
+    """Patch starts and what the volume holds there."""
+    first = S.volume(spark, sf).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("value").alias("corner"))
+    return geometry.patch_positions(spark, DIMS, (7, 7, 7), 0.25).join(first, ["px", "py", "pz"], "left").select("patch", "px", "py", "pz", "corner")
 
 
 @query(f"WITH {VOL}, s AS (SELECT unnest([0, 5, 9]) AS p) SELECT a.p AS px, b.p AS py, c.p AS pz, count(*) AS voxels, sum(value) AS total FROM vol, s a, s b, s c WHERE x >= a.p AND x < a.p + 7 AND y >= b.p AND y < b.p + 7 AND z >= c.p AND z < c.p + 7 GROUP BY 1, 2, 3")
@@ -335,20 +349,19 @@ def geo19_resample_mask(spark, sf):
     return _ones(geometry.resample_mask(S.mask(spark, sf), IDENTITY, (8, 8, 8), _TWO))
 
 
-@query(f"WITH {MASK}, {_GRID8} SELECT g.x, g.y, g.z, CAST(label AS BIGINT) AS label FROM grid8 g JOIN atlas ON vid = 2 * g.x + 32 * g.y + 512 * g.z")
+@query(f"WITH {_LABELS}, {_GRID8} SELECT g.x, g.y, g.z, CAST(label AS BIGINT) AS label FROM grid8 g JOIN atlas ON vid = 2 * g.x + 32 * g.y + 512 * g.z")
 def geo21_project_atlas(spark, sf):
     from ..model import IDENTITY
 
-    labels = S.atlas(spark).select(F.lit("atlas").alias("volume_id"), "x", "y", "z", F.col("label").alias("value"))
-    return geometry.project_atlas(labels, IDENTITY, (8, 8, 8), _TWO).select("x", "y", "z", F.col("value").cast("long").alias("label"))
+    return geometry.project_atlas(_labels(spark, sf), IDENTITY, (8, 8, 8), _TWO).select("x", "y", "z", F.col("value").cast("long").alias("label"))
 
 
 # Components and morphology
 
-_COMPONENTS = f"""WITH RECURSIVE {MASK},
-near AS (SELECT a.vid AS a, b.vid AS b FROM mask a JOIN mask b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+_REACH = """near AS (SELECT a.vid AS a, b.vid AS b FROM mask a JOIN mask b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
 reach AS (SELECT vid AS root, vid FROM mask UNION SELECT root, b FROM reach JOIN near ON a = vid),
 comp AS (SELECT vid, min(root) AS component FROM reach GROUP BY 1), sized AS (SELECT component, count(*) AS voxels FROM comp GROUP BY 1)"""
+_COMPONENTS = f"WITH RECURSIVE {MASK},\n{_REACH}"
 
 
 @query(f"{_COMPONENTS} SELECT vid, component FROM comp")
@@ -478,31 +491,35 @@ def rpt5_gap_analysis(spark, sf):
     return evaluate.gap_analysis(m, ["lang"], "src0").select("lang", "mode", micro(F.col("gap")).alias("gap"), "reached")
 
 
+def _with_means(spark, sf):
+    return elementwise.with_stats(written(S.volume(spark, sf)), mean_value=F.avg("value"), mean_n=F.avg("n"))
+
+
 @query(f"WITH {MASK} SELECT {M('covar_pop(value, n) / (stddev_pop(value) * stddev_pop(n))')} AS r FROM vol SEMI JOIN mask USING (vid)")
 def agg15_masked_correlation(spark, sf):
     v = S.volume(spark, sf).join(S.mask(spark, sf).select("vid"), "vid", "left_semi")
     return evaluate.masked_correlation(v.select("volume_id", F.col("value").alias("a"), F.col("n").alias("b")), ["volume_id"]).select(micro(F.col("r")).alias("r"))
 
 
-@query(f"WITH {VOL}, a AS (SELECT vid FROM vol WHERE value > 400), b AS (SELECT vid FROM vol WHERE n > 16), c AS (SELECT vid FROM vol WHERE vid % 3 = 0) SELECT vid FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {VOL}, a AS (SELECT vid FROM vol WHERE value > (SELECT avg(value) FROM vol)), b AS (SELECT vid FROM vol WHERE n > (SELECT avg(n) FROM vol)), c AS (SELECT vid FROM vol WHERE vid % 3 = 0) SELECT vid FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1 HAVING count(*) >= 2")
 def set8_majority(spark, sf):
-    v = S.volume(spark, sf)
-    return evaluate.majority([v.where("value > 400").select("vid"), v.where("n > 16").select("vid"), v.where("vid % 3 = 0").select("vid")], 2)
+    v = _with_means(spark, sf)
+    return evaluate.majority([v.where("value > mean_value").select("vid"), v.where("n > mean_n").select("vid"), v.where("vid % 3 = 0").select("vid")], 2)
 
 
-@query(f"WITH {VOL} SELECT vid, 'union' AS op FROM vol WHERE value > 400 OR n > 16 UNION ALL SELECT vid, 'both' FROM vol WHERE value > 400 AND n > 16 UNION ALL SELECT vid, 'only' FROM vol WHERE value > 400 AND n <= 16")
+@query(f"WITH {VOL}, m AS (SELECT vid, value > (SELECT avg(value) FROM vol) AS a, n > (SELECT avg(n) FROM vol) AS b FROM vol) SELECT vid, 'union' AS op FROM m WHERE a OR b UNION ALL SELECT vid, 'both' FROM m WHERE a AND b UNION ALL SELECT vid, 'only' FROM m WHERE a AND NOT b")
 def set1_mask_sets(spark, sf):
-    v = S.volume(spark, sf)
-    a, b = v.where("value > 400").select("vid"), v.where("n > 16").select("vid")
+    v = _with_means(spark, sf)
+    a, b = v.where("value > mean_value").select("vid"), v.where("n > mean_n").select("vid")
     tag = lambda df, op: df.withColumn("op", F.lit(op))
     return tag(a.union(b).distinct(), "union").unionByName(tag(a.intersect(b), "both")).unionByName(tag(a.exceptAll(b), "only"))
 
 
-@query(f"WITH {VOL} SELECT vid, {M('(value + 20 * n) / 2')} AS p FROM vol WHERE (value + 20 * n) / 2 >= 350")
+@query(f"WITH {VOL}, p AS (SELECT vid, (value / (SELECT max(value) FROM vol) + n / (SELECT max(n) FROM vol)) / 2 AS p FROM vol) SELECT vid, {M('p')} AS p FROM p WHERE p >= 0.5")
 def agg29_mean_probability(spark, sf):
-    v = S.volume(spark, sf)
-    maps = v.select("volume_id", "vid", F.col("value").alias("p")).unionByName(v.select("volume_id", "vid", (20.0 * F.col("n")).alias("p")))
-    return evaluate.mean_probability(maps, 350.0).select("vid", micro(F.col("p")).alias("p"))
+    v = elementwise.with_stats(written(S.volume(spark, sf)), top=F.max("value"), most=F.max("n"))
+    maps = v.select("volume_id", "vid", (F.col("value") / F.col("top")).alias("p")).unionByName(v.select("volume_id", "vid", (F.col("n") / F.col("most")).alias("p")))
+    return evaluate.mean_probability(maps, 0.5).select("vid", micro(F.col("p")).alias("p"))
 
 
 # Connectivity
@@ -555,14 +572,14 @@ def inf5_scored_mask(spark, sf):
     return mask.select(geometry.linear_id(DIMS).cast("int").alias("vid"))
 
 
-def _identity(patch):
-    return patch
+_REVERSED = _WINDOW.replace("WAYS", "(1, 1.0::DOUBLE)").replace("px, py, pz, x - d, y, z, v, 0.3", "px, py, pz, x, y, z - d, v, 0.3").replace("x - d >= px AND x - d < px + 8", "z - d >= pz AND z - d < pz + 8")
+_KEPT = _REVERSED.replace("WITH ", "WITH RECURSIVE ", 1) + f", mask AS (SELECT vid, vid % 16 AS x, vid // 16 % 16 AS y, vid // 256 AS z FROM mixed WHERE p >= 0.4), {_REACH}"
 
 
-@query(f"WITH {VOL}, z AS (SELECT *, (value - (SELECT avg(value) FROM vol)) / (SELECT stddev_pop(value) FROM vol) AS v FROM vol) SELECT x, y, z FROM z WHERE v >= 0.4")
+@query(f"{_KEPT} SELECT CAST(vid % 16 AS INT) AS x, CAST(vid // 16 % 16 AS INT) AS y, CAST(vid // 256 AS INT) AS z FROM comp JOIN sized USING (component) WHERE voxels >= 4")
 def inf3_segmentation_step(spark, sf):
-    """With a scorer that gives back its input, axes in reverse order and patches that need padding, the step is the threshold of the z-score."""
-    return steps.segment(written(S.volume(spark, sf)), DIMS, (1.0, 1.0, 1.0), _identity, (5, 7, 6), zyx=True, sigma=2.0).select("x", "y", "z")
+    """Axes in reverse order, overlapping patches, a scorer to which patch edges and order show, blending, threshold, and components of fewer than four voxels removed."""
+    return steps.segment(written(S.volume(spark, sf)), DIMS, (1.0, 1.0, 1.0), _slope_scorer, (8, 8, 8), zyx=True, sigma=2.0, least=4).select("x", "y", "z")
 
 
 def _two_logits(block):
@@ -670,19 +687,19 @@ def agg16_finite_mean(spark, sf):
     return evaluate.report(m.withColumn("dice", odd), ["lang"], ["dice"]).withColumn("mean_dice", F.when(F.isnan("mean_dice"), None).otherwise(micro(F.col("mean_dice"))))
 
 
-@query("SELECT DISTINCT label FROM (SELECT CAST(range % 26 AS INT) AS label FROM range(4096)) WHERE label > 0")
+@query(f"WITH {_LABELS} SELECT DISTINCT label FROM atlas")
 def agg32_distinct_labels(spark, sf):
-    return rank.distinct_labels(S.atlas(spark), 25)
+    labels = _labels(spark, sf).select("vid", F.col("value").alias("label"))
+    return rank.distinct_labels(labels)
 
 
 # Registration
 
 
-@query("SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z, CAST(floor(range % 16 * 14 / 15 * 1000000 + 0.5) AS BIGINT) AS dx, CAST(floor((3 - range // 256 * 7 / 15) * 1000000 + 0.5) AS BIGINT) AS dz FROM range(4096)")
+@query(f"WITH {VOL}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)), p AS (SELECT *, x * (7 / 15::DOUBLE) AS sx, y * (7 / 15::DOUBLE) AS sy, z * (7 / 15::DOUBLE) AS sz FROM g) SELECT p.x, p.y, p.z, {M('coalesce(2 * sum((1 - abs(sx - s.x)) * (1 - abs(sy - s.y)) * (1 - abs(sz - s.z)) * s.value), 0) + 1e-9')} AS dx, {M('coalesce(2 * sum((1 - abs(sx - s.x)) * (1 - abs(sy - s.y)) * (1 - abs(sz - s.z)) * s.n), 0) + 1e-9')} AS dz FROM p LEFT JOIN (SELECT * FROM vol WHERE greatest(x, y, z) < 8) s ON abs(sx - s.x) < 1 AND abs(sy - s.y) < 1 AND abs(sz - s.z) < 1 GROUP BY 1, 2, 3")
 def reg5_enlarged_field(spark, sf):
-    """A field that is linear on 8 x 8 x 8 voxels, ends aligned, with displacements twice as long on twice the grid."""
-    ids = spark.createDataFrame([("f",)], "volume_id string")
-    f = geometry.grid(ids, (8, 8, 8)).select("volume_id", "x", "y", "z", F.col("x").cast("double").alias("dx"), F.lit(0.0).alias("dy"), (1.5 - F.col("z") / 2).alias("dz"))
+    """A corner of the volume as a field on 8 x 8 x 8 voxels, ends aligned, with displacements twice as long on twice the grid."""
+    f = S.volume(spark, sf).where("greatest(x, y, z) < 8").select("volume_id", "x", "y", "z", F.col("value").alias("dx"), F.lit(0.0).alias("dy"), F.col("n").cast("double").alias("dz"))
     out = registration.enlarge(f, (8, 8, 8), DIMS)
     return out.select("x", "y", "z", micro(F.col("dx") + 1e-9).alias("dx"), micro(F.col("dz") + 1e-9).alias("dz"))
 
@@ -706,16 +723,6 @@ def reg10_warp_mask(spark, sf):
     return _ones(registration.warp_mask(m, _moved(spark, m, (1, 4, 0)), DIMS))
 
 
-@query("SELECT CAST(range % 4 AS INT) AS x, CAST(range // 4 AS INT) AS y, CAST(floor(least(3, greatest(0, range % 4 * 1.5::DOUBLE - 1)) * 1000000 + 0.5) AS BIGINT) AS dx, CAST(floor(least(3, range // 4 + 0.25::DOUBLE) * 10 * 1000000 + 0.5) AS BIGINT) AS dy FROM range(16)")
-def reg8_sampled_vectors(spark, sf):
-    """Vectors between voxels, and beyond the edge those of the edge."""
-    ids = spark.createDataFrame([("f",)], "volume_id string")
-    f = geometry.grid(ids, (4, 4, 1)).select("volume_id", "x", "y", "z", F.col("x").cast("double").alias("dx"), (F.col("y") * 10.0).alias("dy"), F.lit(0.0).alias("dz"))
-    at = geometry.grid(ids, (4, 4, 1)).withColumns({"sx": F.col("x") * 1.5 - 1, "sy": F.col("y") + 0.25, "sz": F.lit(0.0)})
-    out = registration.sample_field(at, f, (4, 4, 1))
-    return out.select("x", "y", micro(F.col("dx")).alias("dx"), micro(F.col("dy")).alias("dy"))
-
-
 def _bent(volume, reach=1.0):
     """A velocity field that varies by place and by what the volume holds."""
     top = volume.agg(F.max("value").alias("top"))
@@ -783,6 +790,38 @@ def reg7_inverse_field(spark, sf):
     return out.select("x", "y", "z", *(micro(F.col(c)).alias(c) for c in ("dx", "dy", "dz")))
 
 
+@query(f"{_BENT.replace('REACH', '1')}, p AS (SELECT x, y, z, least(15, greatest(0, x * 1.5::DOUBLE - 3)) AS sx, least(15, y + 0.25::DOUBLE) AS sy, least(15.0, greatest(0.0, z + n / 8::DOUBLE - 2)) AS sz FROM vol) SELECT p.x, p.y, p.z, {', '.join(M(f'sum({_SHARE} * s.d{c}) + 1e-9') + f' AS d{c}' for c in 'xyz')} FROM p JOIN v s ON {_near('p', 's')} GROUP BY 1, 2, 3")
+def reg8_sampled_vectors(spark, sf):
+    """REG-8: vectors of a field that varies at places between voxels, and beyond the edge those of the edge."""
+    v = written(S.volume(spark, sf))
+    at = v.select("volume_id", "x", "y", "z", (F.col("x") * 1.5 - 3).alias("sx"), (F.col("y") + 0.25).alias("sy"), (F.col("z") + F.col("n") / 8 - 2).alias("sz"))
+    out = registration.sample_field(at, _bent(v), DIMS)
+    return out.select("x", "y", "z", *(micro(F.col(c) + 1e-9).alias(c) for c in ("dx", "dy", "dz")))
+
+
+def _difference(moving, fixed):
+    """A stub model: velocities by how two volumes differ."""
+    import numpy as np
+
+    return np.stack([2 * (moving - fixed), moving - 0.5, 0.5 - fixed])
+
+
+_PAIRS = f"""WITH {VOL}, g AS (SELECT CAST(range % 16 AS INT) AS x, CAST(range // 16 % 16 AS INT) AS y, CAST(range // 256 AS INT) AS z FROM range(4096)),
+f AS (SELECT g.*, coalesce(value, 0) / (SELECT max(value) FROM vol) AS a, coalesce(n, 0) / (SELECT max(n) FROM vol) AS b FROM g LEFT JOIN vol USING (x, y, z)), e AS (SELECT min(a) AS lo, max(a) AS hi FROM f),
+src AS (SELECT x, y, z, (a - lo) / (hi - lo) AS value, b FROM f, e), v AS (SELECT x, y, z, 2 * (value - b) AS dx, value - 0.5 AS dy, 0.5 - b AS dz FROM src)"""
+
+
+@query(f"{_PAIRS}, {_squared(3)}, {_placed('f3', 'p', False)} SELECT p.x, p.y, p.z, {M('any_value(sqrt(p.dx * p.dx + p.dy * p.dy + p.dz * p.dz))')} AS magnitude, {M(f'coalesce(sum(CASE WHEN {_INSIDE} THEN {_SHARE} * s.value END), 0)')} AS value FROM p LEFT JOIN src s ON {_near('p', 's')} GROUP BY 1, 2, 3")
+def reg9_register_pairs(spark, sf):
+    """REG-9: both volumes of a pair in one call of a stub model, its velocities integrated, and the moving volume warped."""
+    v = elementwise.with_stats(written(S.volume(spark, sf)), top=F.max("value"), most=F.max("n"))
+    cells = geometry.grid(v, DIMS).join(v, ["volume_id", "x", "y", "z"], "left")
+    side = lambda c, top: cells.select("volume_id", "x", "y", "z", F.coalesce(F.col(c) / F.col(top), F.lit(0.0)).alias("value"))
+    field, warped = registration.register_pairs(side("value", "top"), side("n", "most"), DIMS, _difference, steps=3, side=8)
+    out = warped.join(field.select("x", "y", "z", "magnitude"), ["x", "y", "z"])
+    return out.select("x", "y", "z", micro(F.col("magnitude")).alias("magnitude"), micro(F.col("value")).alias("value"))
+
+
 # Scalar functions
 
 
