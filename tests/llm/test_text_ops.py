@@ -11,7 +11,8 @@ import pytest
 import sentencepiece
 
 import public_tokenizers
-from voxelmill.llm import divergence, fill_middle, pieces, queries
+from pyspark.sql import functions as F
+from voxelmill.llm import divergence, fill_middle, fingerprints, pieces, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, ids string, decoded string, cut string, h1 long, rank int"
@@ -183,3 +184,19 @@ def test_backtracking_gives_way():
         assert got == v.merge(text)
         failed += got[0] != longest[0]
     assert failed > 50
+
+
+# 2 fingerprints of rows that share an id
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_of_one_id_are_dealt(spark, hot):
+    rng = random.Random(8)
+    rows = [(hot if rng.random() < 0.9 else k, f"{rng.random()} text {k}", "en", "a") for k in range(4000)]
+    work = lambda some, after: iter([fill_middle.pa.RecordBatch.from_pydict({"id": fill_middle.pa.array([i for i, _ in some], fill_middle.pa.int64()), "text": [t for _, t in some], "next": [t for _, t in some[1:]] + [after]})])
+    out = fingerprints.with_next(table(spark, rows), work, "id long, text string, next string").withColumn("part", F.spark_partition_id()).collect()
+    order = sorted(((i, t) for i, t, _, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    following = dict(zip(order, [t for _, t in order[1:] + order[:1]], strict=True))
+    assert len(out) == len(rows) and all(following[r.id, r.text] == r.next for r in out)
+    sizes = collections.Counter(r.part for r in out)
+    assert max(sizes.values()) <= 2 * len(rows) / len(sizes) and len(sizes) >= 4

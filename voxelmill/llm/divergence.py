@@ -23,6 +23,8 @@ SCALE = 10**9
 HELD, PIECE = 1 << 18, 1 << 19
 #: Rows of a block of terms, and cells of a dense block of vectors.
 BLOCK, CELLS = 1 << 16, 1 << 19
+#: Parts of a group whose best terms are ranked apart before they are ranked together.
+PARTS = 16
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _COUNTS = "lang string, source string, term string, n long, docs long"
@@ -183,7 +185,10 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200) -> Dat
     salted = blocks.withColumn("salt", F.pmod(F.xxhash64("lang", "terms"), F.lit(salts)).cast("int"))
     found = materialise(salted.join(per_lang, ["lang", "salt"]).mapInArrow(_compare(top), _FOUND), "divergences")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    terms = found.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # A block passes on its own best terms; of those of all blocks the best go on from parts of a group first, so that no task sees all blocks' rows.
+    some = Window.partitionBy("lang", "source", "part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).orderBy(F.desc("value"), "item")
+    best = found.where("part = 'term'").withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top).drop("rank")
+    terms = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     return terms.unionByName(pairs.withColumn("rank", F.row_number().over(order)))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import as_bytes, text_shingles, word_lists
-from .scratch import partitions, table
+from .scratch import partitions, slices, table
 
 K, SHINGLE, BITS = 256, 5, 48
 
@@ -77,8 +79,8 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def fingerprint_groups(prints: DataFrame, group: str, k: int = K) -> DataFrame:
     """Merges fingerprints (column fingerprint) into one per group.
 
-    Each task keeps the k least hashes of a group before the shuffle, so a group of any size is
-    merged from a bounded number of rows. A null group is a group; null fingerprints are left out.
+    Equal hashes of a group are one row before and after the shuffle, ranked by their own, and the k least are gathered; a group's distinct hashes go through one
+    task as sorted rows, not as a list. A null group is a group; null fingerprints are left out.
     """
 
     def unpack(batches):
@@ -101,52 +103,104 @@ def fingerprint_groups(prints: DataFrame, group: str, k: int = K) -> DataFrame:
     return gathered.mapInArrow(repack, f"`{group}` {kind}, fingerprint string")
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Greatest doc_id of each of at most n ranges of about equal row counts, ascending; a list bounded by n."""
-    shares = [i / n for i in range(1, n + 1)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("p"), F.max("doc_id").alias("m")).first()
-    return sorted({*(found.p or []), found.m} - {None})
+#: Characters of a text that range bounds are told apart by, and rows sampled for each bound within one doc_id.
+PREFIX, SAMPLED = 1000, 40
+
+
+class Ranges:
+    """Bounds that deal rows (doc_id, text) into ranges in descending doc_id order, then by text, null ids last.
+
+    ``first[i]`` and ``last[i]`` are the ranges that start at doc_id ``ids[i]`` (ascending). An id of so many rows that they need several ranges has bounds within its
+    texts, ``within``, each the start of a row's text; other ids start one range with all their rows.
+    """
+
+    def __init__(self, tops: list[int], within: dict[int | None, list[str]]):
+        self.within, self.ids = within, np.array(tops, np.int64)
+        sizes = [len(within.get(i, "-")) for i in reversed(tops)]
+        ends = np.cumsum(sizes)
+        self.first, self.last = (ends - sizes)[::-1].astype(np.int64), (ends - 1)[::-1].astype(np.int64)
+        self.nulls = int(ends[-1]) if len(ends) else 0
+        self.n = max(1, self.nulls + len(within.get(None, ())))
+
+    def route(self, ids: np.ndarray, null: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether it is a range's first row (or one of several that bounds can't tell apart); ``key(k)`` is the start of row k's text."""
+        if not len(self.ids):
+            at, start = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        else:
+            near = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            start = (self.ids[near] == ids) & ~null
+            at = np.where(start, self.first[near], self.last[near])
+            at[null] = self.n - 1
+        for hot, bounds in self.within.items():
+            base = self.nulls if hot is None else int(self.first[np.searchsorted(self.ids, hot)])
+            for k in np.flatnonzero(null if hot is None else (ids == hot) & ~null).tolist():
+                own = key(k)
+                i = max(0, bisect_right(bounds, own) - 1)
+                at[k], start[k] = base + i, bounds[i] == own
+        return at, start
+
+
+def _ranges(rows: DataFrame, n: int) -> Ranges:
+    """About n ranges of about equal row counts. What reaches the driver are n ids and, for ids of more than a range's rows, some SAMPLED starts of texts a range."""
+    size = rows.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("known")).first()
+    per_range, nulls = max(1, size.all // n), size.all - size.known
+    k = max(1, -(-size.known // per_range))
+    found = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k + 1)], 20 * k).alias("p"), F.max("doc_id").alias("m")).first()
+    held = Counter(found.p or [])
+    tops = sorted({*held, found.m} - {None})
+    hot: dict[int | None, int] = {i: c for i, c in held.items() if c > 1 and size.known > k}
+    if nulls > per_range or (nulls and not tops):
+        hot[None] = -(-nulls // per_range)
+    within = {}
+    for i, parts in hot.items():
+        own = rows.where(F.col("doc_id").isNull() if i is None else F.col("doc_id") == i).select("start")
+        size = own.agg(F.min("start").alias("least"), F.count(F.lit(1)).alias("n")).first()
+        if not size.n:
+            continue
+        sample = sorted(r.start for r in own.sample(min(1.0, SAMPLED * parts / size.n), seed=7).collect())
+        within[i] = sorted({size.least} | {sample[k * len(sample) // parts] for k in range(1, parts) if sample})
+    return Ranges(tops, within)
 
 
 def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
     """Runs ``work`` over rows (doc_id, text) with the next text of each, in descending doc_id order over all documents.
 
-    Each range of ids is one partition; the first row of a range goes to the range above it too, as its last row's next text. The next of the last row is the first. Nulls come last, equal ids by text.
+    Each range of rows is one partition; the first row of a range goes to the range before it too, as its last row's next text. The next of the last row is the
+    first. Nulls come last, equal ids by text. However many rows share an id, or have none, they are dealt over as many ranges as they need; only rows of one id whose
+    texts are equal in their first PREFIX characters stay together.
     """
-    n = partitions(docs.sparkSession)
-    tops = _ranges(docs, n)
-    ends = np.array(tops, np.int64)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    ranges = _ranges(rows.select("doc_id", F.substring("text", 1, PREFIX).alias("start")), partitions(docs.sparkSession))
 
     def route(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
+        for batch in slices(batches):
+            ids, texts = batch.column("doc_id"), batch.column("text")
             null = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            at = np.where(null, 0, np.searchsorted(ends, ids)).astype(np.int32)
-            extra = np.flatnonzero(~null & np.isin(ids, ends)) if len(ends) else np.flatnonzero(null)
-            above = (at[extra] + 1) % max(1, len(ends))
-            rows = batch.take(pa.array(np.concatenate([np.arange(len(ids)), extra])))
-            cols = [pa.array(np.concatenate([at, above]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(ids), bool), np.ones(len(extra), bool)]))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=["doc_id", "text", "part", "lent"])
+            at, start = ranges.route(ids.fill_null(0).to_numpy(), null, lambda k, t=texts: t[k].as_py()[:PREFIX])
+            extra = np.flatnonzero(start)
+            taken = batch.take(pa.array(np.concatenate([np.arange(len(at)), extra])))
+            to = np.concatenate([at, (at[extra] - 1) % ranges.n]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to), pa.array(np.arange(len(to)) >= len(at))], names=["doc_id", "text", "part", "lent"])
 
     def walk(batches):
         held, after = None, None  # the last row so far; the first lent row, which ends the range
-        for batch in batches:
+        for batch in slices(batches):
             if after is not None:
                 continue
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lent")), strict=True))
-            own = ([held] if held else []) + [r for r in rows if not r[2]]
-            after = next((r[1] or "" for r in rows if r[2]), None)
+            some = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lent")), strict=True))
+            own = ([held] if held else []) + [r for r in some if not r[2]]
+            after = next((r[1] for r in some if r[2]), None)
             if after is None and own:
                 own, held = own[:-1], own[-1]
                 if own:
-                    yield from work([(i, t or "") for i, t, _ in own], held[1] or "")
+                    yield from work([(i, t) for i, t, _ in own], held[1])
             elif own:
-                yield from work([(i, t or "") for i, t, _ in own], after)
+                yield from work([(i, t) for i, t, _ in own], after)
 
-    routed = docs.select("doc_id", "text").mapInArrow(route, "doc_id long, text string, part int, lent boolean")
-    placed = routed.repartitionById(max(1, len(tops)), "part")
-    order = ["lent", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    routed = rows.mapInArrow(route, "doc_id long, text string, part int, lent boolean")
+    placed = routed.repartitionById(ranges.n, "part")
+    order = ["lent", F.col("doc_id").desc_nulls_last(), "text"]
     return placed.sortWithinPartitions(*order).mapInArrow(walk, schema)
 
 
