@@ -133,6 +133,11 @@ def clean_label(c: Column) -> Column:
     return F.greatest(half_up(c), F.lit(0).cast("long"))
 
 
+def label_base(atlas: DataFrame) -> DataFrame:
+    """The voxels of an atlas that have a label."""
+    return atlas.where("label > 0")
+
+
 def min_voxels(summary: DataFrame, n: float, column: str = "voxels") -> DataFrame:
     return summary if int(n) <= 1 else summary.where(F.col(column) >= int(n))
 

@@ -832,4 +832,4 @@ def fn_event_strings(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), scalars.safe_filename(name).alias("file"), scalars.short_hash(F.col("event_type")).alias("digest"))
 
 
-from . import grid_queries, group_queries, source_queries, tree_queries  # noqa: E402, F401  they register their queries
+from . import asset_queries, grid_queries, group_queries, source_queries, tree_queries  # noqa: E402, F401  they register their queries

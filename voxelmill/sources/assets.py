@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.elementwise import clean_label, label_base
+from . import nifti
+
 SUPPORTED = "supported"
 MIN_MODEL_BYTES = 100_000
 
@@ -25,6 +28,19 @@ def load_atlas(assets: DataFrame, asset_id: str, meta_dims) -> tuple[int, ...]:
     return tuple(row.dims)
 
 
+def read_atlas(spark: SparkSession, assets: DataFrame, asset_id: str, folder: str) -> DataFrame:
+    """vid, x, y, z, label of a supported atlas, from its NIfTI file under the folder; raises where its grid isn't the manifest's or it isn't there.
+
+    Labels are rounded, and background is left out.
+    """
+    row = lookup(assets, asset_id)
+    path = f"{folder}/{row.filename}"
+    meta = nifti.read_meta(spark, path).select("nx", "ny", "nz").first()
+    load_atlas(assets, asset_id, tuple(meta))
+    voxels = nifti.read_voxels(spark, path, scaled=True, nonzero=True)
+    return label_base(voxels.select("vid", "x", "y", "z", clean_label(F.col("value")).cast("int").alias("label")))
+
+
 def repeated_ids(*registries: DataFrame) -> DataFrame:
     """Ids that occur more than once over all registries."""
     ids = registries[0].select("id")
