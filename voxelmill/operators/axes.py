@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grids import let
 from .stats import moments
 
 #: Rotations of each of the three pairs of axes; six sweeps take any symmetric matrix of three rows to rounding.
@@ -17,11 +17,6 @@ _PAIRS = ((0, 1), (0, 2), (1, 2))
 _AT = {(0, 0): 0, (0, 1): 1, (0, 2): 2, (1, 1): 3, (1, 2): 4, (2, 2): 5}
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _place(i: int, j: int) -> int:
     return _AT[min(i, j), max(i, j)]
 

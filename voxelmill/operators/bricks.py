@@ -47,22 +47,27 @@ def _sizes(at, dims, side: int) -> tuple[int, ...]:
     return tuple(min(side, n - b * side) for b, n in zip(at, dims, strict=True))
 
 
-def to_bricks(volume: DataFrame, dims, values: tuple[str, ...] = ("value",), side: int = SIDE) -> DataFrame:
-    """Bricks of voxel rows (volume_id, x, y, z and values); voxels that have no row are 0, and bricks without any row are left out."""
+def to_bricks(volume: DataFrame, dims, values: tuple[str, ...] = ("value",), side: int = SIDE, channels: int = 0) -> DataFrame:
+    """Bricks of voxel rows (volume_id, x, y, z and values); voxels that have no row are 0, and bricks without any row are left out.
+
+    With ``channels`` the one value belongs to the channel (0, 1, ...) that the column ``channel`` names.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows.iloc[0]
         at = [int(head[c]) for c in KEY[1:]]
         dims = [int(head[c]) for c in DIMS]
-        data = np.zeros((len(values), *_sizes(at, dims, side)))
+        data = np.zeros((channels or len(values), *_sizes(at, dims, side)))
         place = tuple(rows[c].to_numpy() - b * side for c, b in zip("xyz", at, strict=True))
-        for k, v in enumerate(values):
+        if channels:
+            data[(rows["channel"].to_numpy(), *place)] = rows[values[0]].to_numpy(float)
+        for k, v in enumerate(values if not channels else ()):
             data[k][place] = rows[v].to_numpy(float)
         return pd.DataFrame({"volume_id": [head["volume_id"]], **{c: [v] for c, v in zip([*KEY[1:], *DIMS], [*at, *dims], strict=True)}, "reach": [np.abs(data).max(initial=0.0)], "data": [data.tobytes()]})
 
     rows = volume.join(as_meta(volume, dims), "volume_id")
     rows = rows.withColumns({f"b{c}": F.floor(F.col(c) / side).cast("int") for c in "xyz"})
-    kept = rows.select(*KEY, *DIMS, "x", "y", "z", *values)
+    kept = rows.select(*KEY, *DIMS, "x", "y", "z", *values, *(["channel"] if channels else []))
     schema = "volume_id string, bx int, by int, bz int, nx int, ny int, nz int, reach double, data binary"
     return bucketed(kept.groupBy(*KEY).applyInPandas(work, schema))
 

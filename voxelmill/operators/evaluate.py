@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from . import grids
 from .elementwise import finite
+from .morphology import component_summary, label_components
+from .stats import moments
 
 
 def confusion(pred: DataFrame, truth: DataFrame, case: list[str]) -> DataFrame:
@@ -128,3 +132,34 @@ def majority(masks: list[DataFrame], votes: int) -> DataFrame:
     for m in masks[1:]:
         stacked = stacked.unionAll(m.distinct())
     return stacked.groupBy(*stacked.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= votes).drop("_n")
+
+
+def candidate_report(predictions: DataFrame, prediction_meta: DataFrame, truth: DataFrame, truth_meta: DataFrame, reference: str | None = None, tolerance: float = 0.01) -> DataFrame:
+    """One row for each case and mode: its scores on the truth's grid with what tells why they differ.
+
+    predictions: case, mode, x, y, z, sparse on grids of their own (prediction_meta: case, mode, nx, ny, nz, affine); truth: case, x, y, z on those of
+    truth_meta (case, nx, ny, nz, affine). Predictions are resampled to the truth's grid; then come tp, fp, fn and the scores, the number of components with the largest and the
+    five largest sizes, centroid (cx, cy, cz) and box (x0 to z1, ends exclusive) in voxels, the share of the truth's field of view that the prediction's covers with a
+    warning, and with a ``reference`` mode the Dice gap to it and whether that is within the tolerance. Modes that predict nothing have null figures and no components.
+    """
+    name = F.concat_ws("#", F.col("case").cast("string"), F.col("mode")).alias("volume_id")
+    candidates = written(prediction_meta.select(name, "case", "mode", *grids.DIMS, "affine"))
+    target = written(candidates.select("volume_id", "case").join(truth_meta, "case").select("volume_id", *grids.DIMS, "affine"))
+    own = predictions.select(name, "x", "y", "z").distinct()
+    found = written(grids.resample_mask(own, candidates.select("volume_id", *grids.DIMS, "affine"), target))
+    true = candidates.select("volume_id", "case").join(truth.select("case", "x", "y", "z"), "case").drop("case")
+    place = F.struct("x", "y", "z").alias("vid")
+    counts = confusion(found.select("volume_id", place), true.select("volume_id", place), ["volume_id"])
+    every = candidates.select("volume_id", "case", "mode").join(counts, "volume_id", "left").fillna(0, ["tp", "fp", "fn"])
+    comps = component_summary(label_components(found, target))
+    middle = moments(found).select("volume_id", "cx", "cy", "cz")
+    ends = grids.boxes(found.withColumn("value", F.lit(1)), target).drop("empty")
+    views = grids.view_overlap(candidates, target, ["volume_id"]).select("volume_id", F.col("overlap").alias("fov_overlap"), "warning")
+    out = scores(every)
+    for more in (comps, middle, ends, views):
+        out = out.join(more, "volume_id", "left")
+    out = out.drop("volume_id").fillna(0, ["components", "largest"])
+    if reference is None:
+        return out
+    gaps = gap_analysis(out.select("case", "mode", "dice"), ["case"], reference, tolerance).select("case", "mode", "gap", "reached")
+    return out.join(gaps, ["case", "mode"], "left")

@@ -6,6 +6,7 @@ two grids are arrays of three rows of four numbers, computed for each volume, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,26 +23,35 @@ def _cell(m: Column, i: int, j: int) -> Column:
     return m[i][j]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there: without it, maps of maps grow with each step."""
+    return F.transform(F.array(value), use)[0]
+
+
 def inverse_of(affine: Column) -> Column:
     """The inverse of an affine by its adjugate; raises where it has none."""
-    a = [[_cell(affine, i, j) for j in range(4)] for i in range(3)]
-    minor = lambda i, j: a[(i + 1) % 3][(j + 1) % 3] * a[(i + 2) % 3][(j + 2) % 3] - a[(i + 1) % 3][(j + 2) % 3] * a[(i + 2) % 3][(j + 1) % 3]
-    det = reduce(lambda x, y: x + y, (a[0][j] * minor(0, j) for j in range(3)))
-    det = F.when(F.abs(det) >= LEAST, det).otherwise(F.raise_error(F.lit("the affine can't be inverted")))
-    rows = []
-    for i in range(3):
-        turned = [minor(j, i) / det for j in range(3)]
-        rows.append(F.array(*turned, -reduce(lambda x, y: x + y, (t * a[j][3] for j, t in enumerate(turned)))))
-    return F.array(*rows)
+
+    def solved(m: Column) -> Column:
+        a = [[_cell(m, i, j) for j in range(4)] for i in range(3)]
+        minor = lambda i, j: a[(i + 1) % 3][(j + 1) % 3] * a[(i + 2) % 3][(j + 2) % 3] - a[(i + 1) % 3][(j + 2) % 3] * a[(i + 2) % 3][(j + 1) % 3]
+        det = reduce(lambda x, y: x + y, (a[0][j] * minor(0, j) for j in range(3)))
+        det = F.when(F.abs(det) >= LEAST, det).otherwise(F.raise_error(F.lit("the affine can't be inverted")))
+        turned = let(det, lambda d: F.array(*(F.array(*(minor(j, i) / d for j in range(3))) for i in range(3))))
+        shift = lambda t, i: -reduce(lambda x, y: x + y, (t[i][j] * a[j][3] for j in range(3)))
+        return let(turned, lambda t: F.array(*(F.array(*(t[i][j] for j in range(3)), shift(t, i)) for i in range(3))))
+
+    return let(affine, solved)
 
 
 def composed(first: Column, second: Column) -> Column:
     """The map that takes a point by ``second``, then by ``first``."""
-    rows = []
-    for i in range(3):
-        line = [reduce(lambda x, y: x + y, (_cell(first, i, k) * _cell(second, k, j) for k in range(3))) for j in range(4)]
-        rows.append(F.array(*line[:3], line[3] + _cell(first, i, 3)))
-    return F.array(*rows)
+
+    def product(f: Column, s: Column) -> Column:
+        line = lambda i: [reduce(lambda x, y: x + y, (_cell(f, i, k) * _cell(s, k, j) for k in range(3))) for j in range(4)]
+        rows = [(line(i), _cell(f, i, 3)) for i in range(3)]
+        return F.array(*(F.array(*r[:3], r[3] + shift) for r, shift in rows))
+
+    return let(first, lambda f: let(second, lambda s: product(f, s)))
 
 
 def image(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

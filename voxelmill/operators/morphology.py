@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import bricks
-from .geometry import AT, grid, inside, linear_id
+from .geometry import AT, grid, linear_id
 from .graph import components
 from .stats import percentile_mask
 
@@ -50,12 +50,17 @@ def _block_labels(x: np.ndarray, y: np.ndarray, z: np.ndarray, ids: np.ndarray,
 
 
 def label_components(mask: DataFrame, dims, block: int = 32) -> DataFrame:
-    """Adds ``component``: the least linear id of the voxel's component of 26 neighbours.
+    """Adds ``component``: the least linear id of the voxel's component of 26 neighbours. ``dims`` are three numbers, or a table of each volume's own grid.
 
     Components are found within blocks of ``block`` voxels a side; then only voxels at the blocks' borders look for neighbours in other
     blocks, by an equality join on shifted coordinates, and star steps join the labels of blocks. Nodes are pairs of volume_id and label.
     """
-    cells = mask.withColumns({f"_b{c}": F.floor(F.col(c) / block).cast("int") for c in "xyz"}).withColumn("_id", linear_id(dims).cast("long"))
+    if isinstance(dims, DataFrame):
+        own = mask.join(dims.select("volume_id", F.col("nx").alias("_nx"), F.col("ny").alias("_ny")), "volume_id")
+        cells = own.withColumn("_id", (F.col("x") + F.col("_nx") * (F.col("y") + F.col("_ny") * F.col("z"))).cast("long")).drop("_nx", "_ny")
+    else:
+        cells = mask.withColumn("_id", linear_id(dims).cast("long"))
+    cells = cells.withColumns({f"_b{c}": F.floor(F.col(c) / block).cast("int") for c in "xyz"})
     schema, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.schema.fields), mask.columns
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +76,7 @@ def label_components(mask: DataFrame, dims, block: int = 32) -> DataFrame:
     away = F.lit(False)
     for c in "xyz":
         away = away | (F.floor(F.col(c) / block) != F.floor(F.col(f"{c}0") / block))
-    near = _shifted(border, _HALF, ["_l"]).where(away & inside(dims, "x", "y", "z")).join(border.select(*AT, F.col("_l").alias("_m")), AT)
+    near = _shifted(border, _HALF, ["_l"]).where(away).join(border.select(*AT, F.col("_l").alias("_m")), AT)
     node = lambda c: F.struct(F.col("volume_id").alias("v"), F.col(c).alias("i"))
     links = written(near.where("_l <> _m").select(node("_l").alias("a"), node("_m").alias("b")).distinct())
     if links.isEmpty():

@@ -14,7 +14,7 @@ from ..session import written
 from .elementwise import below, p99_normalise, z_score_nonzero
 from .geometry import AT, centre_pad, centre_unpad, crop, grid, orient, orient_back, patch_voxels, place_back, resize_labels, resize_linear, spaced_dims
 from .morphology import dilate, keep_largest_and_fill, remove_small
-from .score import FLIPS, blend, score_patches, sliding_window
+from .score import FLIPS, blended, score_patches, sliding_window
 from .stats import bounding_box
 
 #: Axes and flips from right-anterior-superior to left-inferior-anterior.
@@ -73,21 +73,21 @@ def segment(volume: DataFrame, dims, spacing, scorer, patch, target=None, zyx: b
     return mask
 
 
-def segment_channels(channels: DataFrame, dims, patch, scorer, classes: int = 1, overlap: float = 0.625, threshold: float = 0.5, least: int = 30, sigma: float = 8.0) -> DataFrame:
+def segment_channels(channels: DataFrame, dims, patch, scorer, count: int, classes: int = 1, overlap: float = 0.625, threshold: float = 0.5, least: int = 30, sigma: float = 8.0) -> DataFrame:
     """The mask of dense volumes of several channels (volume_id, channel, x, y, z, value), each normalised by its nonzero values.
 
-    The scorer maps channels by patch to logits of two classes by patch; ``classes`` is the class whose softmax counts.
+    ``count`` is how many channels there are. The scorer maps channels by patch to logits of two classes by patch; ``classes`` is the class whose softmax counts.
     """
     own = F.concat_ws("#", "volume_id", F.col("channel").cast("string"))
     volumes = channels.select(own.alias("volume_id"), F.col("volume_id").alias("of"), "channel", "x", "y", "z", "value")
     normal = z_score_nonzero(volumes).select(F.col("of").alias("volume_id"), "channel", "x", "y", "z", "value")
-    voxels = patch_voxels(normal, padded_dims(dims, patch), patch, overlap)  # voxels that padding adds are zeros of the patches
 
     def probability(block):
         logits = scorer(block)
         e = np.exp(logits - logits.max(0))
         return e[classes] / np.maximum(e.sum(0), 1e-12)
 
-    mixed = blend(score_patches(voxels, patch, probability), patch, sigma)
+    # Padding to the patch size adds zeros, which patches hold anyway.
+    mixed = blended(normal, padded_dims(dims, patch), patch, probability, overlap, sigma, channels=count)
     mask = mixed.where((F.col("w") > 0) & (F.col("p") / F.col("w") >= threshold)).select(*AT)
     return remove_small(mask, dims, least) if least > 1 else mask

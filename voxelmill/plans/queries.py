@@ -561,7 +561,7 @@ mixed AS (SELECT x + 16 * y + 256 * z AS vid, sum(q * w) / sum(w) AS p FROM (SEL
 @query(f"{_WINDOW.replace('WAYS', '(1, 0.5::DOUBLE), (-1, 0.5::DOUBLE)')} SELECT vid, {M('p')} AS p FROM mixed")
 def inf1_sliding_window(spark, sf):
     """All flips: what the scorer takes from one side it takes from both, half each."""
-    probability, _ = score.sliding_window(written(S.volume(spark, sf)), DIMS, (8, 8, 8), _slope_scorer, sigma=2.0, flips=score.FLIPS)
+    probability, _ = score.sliding_window(written(S.volume(spark, sf)), DIMS, (8, 8, 8), _slope_scorer, sigma=2.0, flips=score.FLIPS, side=7)
     return probability.select(geometry.linear_id(DIMS).cast("int").alias("vid"), micro(F.col("p")).alias("p"))
 
 
@@ -594,7 +594,7 @@ def inf4_two_channels(spark, sf):
     v = written(S.volume(spark, sf))
     at = ["volume_id", "x", "y", "z"]
     both = v.select(*at, F.lit(0).alias("channel"), "value").unionByName(v.select(*at, F.lit(1).alias("channel"), F.col("n").cast("double").alias("value")))
-    return steps.segment_channels(both, DIMS, (6, 6, 6), _two_logits, least=1, overlap=0.25).select("x", "y", "z")
+    return steps.segment_channels(both, DIMS, (6, 6, 6), _two_logits, 2, least=1, overlap=0.25).select("x", "y", "z")
 
 
 def _near_middle(block):
@@ -832,4 +832,4 @@ def fn_event_strings(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), scalars.safe_filename(name).alias("file"), scalars.short_hash(F.col("event_type")).alias("digest"))
 
 
-from . import asset_queries, grid_queries, group_queries, source_queries, tree_queries  # noqa: E402, F401  they register their queries
+from . import asset_queries, grid_queries, group_queries, report_queries, source_queries, tree_queries  # noqa: E402, F401  they register their queries
