@@ -14,9 +14,9 @@ import re
 
 import numpy as np
 
-#: Words of each of the two generations that a process keeps, and the longest word kept: some 320 MB at most, whatever the corpus. Others are
-#: encoded again when they come up; ids don't depend on it.
-KEPT_WORDS, KEPT_LENGTH = 700_000, 48
+#: Words of each of the two generations that a process keeps, and the longest word kept: some 320 MB at most, whatever the corpus, and 460 MB
+#: where spaces lead, as those words are more. Others are encoded again when they come up; ids don't depend on it.
+KEPT_WORDS, KEPT_LEADING, KEPT_LENGTH = 700_000, 1_000_000, 48
 #: All characters that Python takes for white space; the tokenizers' own lists are parts of it.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _MARKS = ".,!?;:#$%&*|)]}"
@@ -79,7 +79,7 @@ class Encoder:
     def _keep(self, found: dict[str, bytes]) -> None:
         """Words in use are kept: a full generation becomes the older one, of which only words that come up again go on."""
         self.known.update((w, c) for w, c in found.items() if len(w) <= KEPT_LENGTH)
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > (KEPT_LEADING if self.spaces == "leading" else KEPT_WORDS):
             self.known, self.older = {}, self.known
 
     def encode(self, texts: list[str]) -> list[bytes]:
