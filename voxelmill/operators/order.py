@@ -33,7 +33,7 @@ def value_ranks(rows: DataFrame, groups: list[str], column: str) -> DataFrame:
 
     Equal values are counted before they are shuffled, so however often one comes up, a range holds it once.
     """
-    counts = rows.groupBy(*groups, column).agg(F.count(F.lit(1)).alias("c"))
+    counts = written(rows.groupBy(*groups, column).agg(F.count(F.lit(1)).alias("c")))  # else the rows would be computed again to find the ranges
     out = _dealt(counts, groups, [column], F.col("c"))
     here = Window.partitionBy(*groups, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("first", F.coalesce(F.sum("c").over(here), F.lit(0)) + F.col("_before")).drop("_part", "_before")
