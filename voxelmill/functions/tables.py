@@ -11,7 +11,11 @@ from ..operators.geometry import patch_starts
 
 
 class VoxelBox:
-    """voxel_box(TABLE(volume_id, x, y, z) PARTITION BY volume_id): one row for each volume. A partition is read row by row; only its ends are kept."""
+    """voxel_box(TABLE(volume_id, x, y, z) PARTITION BY volume_id): one row for each run of a volume's rows. A partition is read row by row; only its ends are kept.
+
+    Spark leaves out the shuffle of PARTITION BY where a join below has one, and may then turn that join into a broadcast and read its shuffle where
+    it lies: a volume's rows are in several tasks then. So queries put the boxes of a volume together by GROUP BY, with sum, min and max.
+    """
 
     def __init__(self):
         self.name, self.n, self.low, self.high = None, 0, [None] * 3, [None] * 3

@@ -68,7 +68,8 @@ def geo15_patches_in_sql(spark, sf):
     _bright(written(S.grid_volumes(spark, sf))).createOrReplaceTempView("bright_voxels")
     return spark.sql(
         """
-        WITH boxes AS (SELECT * FROM voxel_box(TABLE(SELECT volume_id, x, y, z FROM bright_voxels) PARTITION BY volume_id)),
+        WITH parts AS (SELECT * FROM voxel_box(TABLE(SELECT volume_id, x, y, z FROM bright_voxels) PARTITION BY volume_id)),
+        boxes AS (SELECT volume_id, sum(n) AS n, min(x0) AS x0, min(y0) AS y0, min(z0) AS z0, max(x1) AS x1, max(y1) AS y1, max(z1) AS z1 FROM parts GROUP BY volume_id),
         patches AS (SELECT volume_id, n, x0 + px AS px, y0 + py AS py, z0 + pz AS pz FROM boxes, LATERAL voxel_patches(x1 - x0, y1 - y0, z1 - z0, 5, 0.25D))
         SELECT p.volume_id, any_value(p.n) AS n, px, py, pz, count(v.volume_id) AS voxels FROM patches p
         LEFT JOIN bright_voxels v ON v.volume_id = p.volume_id AND v.x >= px AND v.x < px + 5 AND v.y >= py AND v.y < py + 5 AND v.z >= pz AND v.z < pz + 5
