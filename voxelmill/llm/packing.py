@@ -240,10 +240,10 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str = "dropped", room: int =
     stop = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, spaces).encode
+        found = encoder(tokenizer, spaces)
         for batch in slices(batches, True):
-            out = []
-            coded = encode([t or "" for t in batch.column("text").to_pylist()])
+            out, texts = [], batch.column("text")
+            coded = found.encode_column(texts) if spaces == "dropped" else found.encode([t or "" for t in texts.to_pylist()])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 ids += stop
                 for k, a in enumerate(range(0, len(ids), 4 * room)):

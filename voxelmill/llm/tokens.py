@@ -11,12 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of each of the two generations that a process keeps, and the longest word kept: some 320 MB at most, whatever the corpus, and 530 MB
 #: where spaces lead, as those words are more. Others are encoded again when they come up; ids don't depend on it.
 KEPT_WORDS, KEPT_LEADING, KEPT_LENGTH = 700_000, 1_150_000, 48
+#: Words whose ids are gathered at once.
+GATHERED = 1 << 18
 #: All characters that Python takes for white space; the tokenizers' own lists are parts of it.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _MARKS = ".,!?;:#$%&*|)]}"
@@ -32,6 +39,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.spaces = spaces
+        rule = self.library.normalizer
+        self.folds = rule is not None and rule.normalize_str(string.ascii_letters) == string.ascii_letters.lower()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -44,44 +53,70 @@ class Encoder:
         return text.split(" ")
 
     def _learn(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of single words; the library takes lists of words and says which word each id belongs to."""
-        lists = [words[a : a + 256] for a in range(0, len(words), 256)]
-        coded = self.library.encode_batch([[lead + w for w in x] for x in lists], is_pretokenized=True, add_special_tokens=False)
+        """Ids of single words; the library says which word each id belongs to.
+
+        It takes lists of words, or where it drops spaces, words of letters alone as one text, which is faster: each is one word to it too, and
+        where it counts others, as some letters are changed to more, they are given as a list.
+        """
+        joined = [w for w in words if w.isalpha()] if self.spaces == "dropped" else []
+        single = [w for w in words if not w.isalpha()] if joined else words
         out = {}
-        for x, c in zip(lists, coded, strict=True):
-            raw = np.array(c.ids, "<u4").tobytes()
-            ends = 4 * np.searchsorted(np.array(c.word_ids, np.int64), np.arange(len(x)), side="right")
-            at = 0
-            for w, end in zip(x, ends.tolist(), strict=True):
-                out[w] = raw[at:end]
-                at = end
+        for texts, some in ((True, joined), (False, single)):
+            lists = [some[a : a + 256] for a in range(0, len(some), 256)]
+            coded = self.library.encode_batch([" ".join(x) if texts else [lead + w for w in x] for x in lists], is_pretokenized=not texts, add_special_tokens=False)
+            for x, c in zip(lists, coded, strict=True):
+                of = c.word_ids
+                if texts and (not of or of[-1] + 1 != len(x)):
+                    c = self.library.encode(x, is_pretokenized=True, add_special_tokens=False)
+                    of = c.word_ids
+                raw = np.array(c.ids, "<u4").tobytes()
+                ends = 4 * np.searchsorted(np.array(of, np.int64), np.arange(len(x)), side="right")
+                at = 0
+                for w, end in zip(x, ends.tolist(), strict=True):
+                    out[w] = raw[at:end]
+                    at = end
         return out
 
-    def _learn_words(self, words: set[str], lead: str) -> dict[str, bytes]:
-        """As _learn, but the marks at a word's end, which always are tokens of their own, are cut off first: fewer words are new then."""
-        plain, cut = set(), {}
+    def _learn_words(self, words: Iterable[str], lead: str) -> dict[str, bytes]:
+        """As _learn, but the marks at a word's end, which always are tokens of their own, are cut off first, and where the library takes
+        capital letters for small ones, so is done here: fewer words are new then."""
+        plain, made = set(), []
         for w in words:
             core = w.rstrip(_MARKS)
-            if len(core) < len(w) and core and core[-1].isalnum():
-                cut[w] = core, w[len(core) :]
-                plain.add(core)
-            else:
-                plain.add(w)
-        marks = {m for _, m in cut.values()}.difference(self.marks)
+            if not core or not core[-1].isalnum():
+                core = w
+            key = core.lower() if self.folds and core.isascii() else core
+            plain.add(key)
+            if key != w:
+                made.append((w, key, w[len(core) :]))
+        marks = {m for _, _, m in made}.difference(self.marks)
         self.marks.update(self._learn(list(marks), ""))
-        learnt = self._learn([w for w in plain if w not in self.known], lead)
-        get = lambda w: learnt[w] if w in learnt else self.known[w]
-        whole = {w: get(core) + self.marks[m] for w, (core, m) in cut.items()}
+        kept = {w: c for w in plain if (c := self.known.get(w, self.older.get(w))) is not None}
+        learnt = self._learn([w for w in plain if w not in kept], lead)
+        kept |= learnt
+        learnt.update((w, kept[key] + self.marks[m]) for w, key, m in made)
         if len(self.marks) > KEPT_LENGTH * 1000:
             self.marks = {}
-        return learnt | whole
+        return learnt
 
     def _keep(self, found: dict[str, bytes]) -> None:
         """Words in use are kept: a full generation becomes the older one, of which only words that come up again go on."""
-        self.known.update((w, c) for w, c in found.items() if len(w) <= KEPT_LENGTH)
+        for w in [w for w in found if len(w) > KEPT_LENGTH]:
+            del found[w]
+        self.known.update(found)
         if len(self.known) > (KEPT_LEADING if self.spaces == "leading" else KEPT_WORDS):
             self.known, self.older = {}, self.known
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words."""
+        ids = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
+        learnt = {w: self.older[w] for w in new if w in self.older}
+        learnt |= self._learn_words([w for w in new if w not in learnt], "")
+        ids = [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        self._keep(learnt)
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes. Texts that hold the string of a special token are left to the library whole."""
         out, at = [b""] * len(texts), []
@@ -119,6 +154,31 @@ class Encoder:
             self._keep(learnt)
         return out
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """As encode, for a column of texts where spaces are dropped: Arrow cuts them and numbers their words, and ids are gathered by those numbers. Null is empty."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for x in self.special:
+            special |= pc.match_substring(texts, x, ignore_case=True).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        start = np.cumsum(size) - size
+        flat, at = np.frombuffer(b"".join(words), "<u4"), coded.indices.to_numpy()
+        raw = []
+        for a in range(0, len(at), GATHERED):
+            some = at[a : a + GATHERED]
+            n = size[some]
+            place = np.repeat(start[some] - (np.cumsum(n) - n), n)
+            raw.append(flat[place + np.arange(len(place))].tobytes())
+        raw = b"".join(raw)
+        ends = 4 * np.concatenate(([0], np.cumsum(size[at])))[cut.offsets.to_numpy()]
+        out = [raw[a:b] for a, b in pairwise(ends.tolist())]
+        for k in np.flatnonzero(special).tolist():
+            out[k] = self.encode([texts[k].as_py()])[0]
+        return out
+
 
 def encoder(path: str, spaces: str) -> Encoder:
     """One encoder per process and file, so that worker reuse keeps its words."""
