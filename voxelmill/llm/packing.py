@@ -242,9 +242,8 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str = "dropped", room: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = encoder(tokenizer, spaces)
         for batch in slices(batches, True):
-            out, texts = [], batch.column("text")
-            coded = found.encode_column(texts) if spaces == "dropped" else found.encode([t or "" for t in texts.to_pylist()])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+            out = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found.encode_column(batch.column("text")), strict=True):
                 ids += stop
                 for k, a in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[a : a + 4 * room]

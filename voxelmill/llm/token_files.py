@@ -133,13 +133,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str
         context = TaskContext.get()
         fs, path = filesystem(f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.zst")
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        encode, n_docs, n_tokens, out = encoder(tokenizer, spaces).encode, 0, 0, None
+        encode, n_docs, n_tokens, out = encoder(tokenizer, spaces).encode_column, 0, 0, None
         for batch in slices(batches, True):
             if out is None:
                 out = fs.open_output_stream(path, compression=None)
                 writer = Writer(out)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 writer.add(doc_id, ids + stop)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
         if out is not None:
